@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_extract, quality, secret_scan
+from . import bpe, exact_dedup, html_extract, packing, quality, secret_scan
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -28,6 +28,11 @@ def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(spark, pages, html_extract.trained(spark), keep=("url",))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    return packing.pack(spark, documents(spark, sf_dir), vocabulary_path())
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents; labels of held-out rows are never read by the model."""
     docs = documents(spark, sf_dir)
@@ -61,6 +66,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
+    "op3_packing": op3_packing,
     "op4_quality": op4_quality,
     "op6_secrets": op6_secrets,
     "op7_exact_dedup": op7_exact_dedup,
