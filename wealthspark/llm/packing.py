@@ -9,12 +9,14 @@ most ``capacity`` counts, whatever the corpus.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -145,17 +147,49 @@ def layout(plan: Configurations) -> dict[str, np.ndarray]:
     return dict(zip(("key", "rank", "times", "sequence", "offset", "length"), table.T))
 
 
+class Tokens:
+    """The vocabulary's ids by a compiled tokeniser; texts beyond ``LONG`` by our own encoder, whose memory does not grow with a run of one character."""
+
+    LONG = 1_000_000
+
+    def __init__(self, spec: str):
+        self.spec, data, letters = spec, json.loads(spec), bpe.byte_letters()
+        self.special = {t["content"]: t["id"] for t in data.get("added_tokens") or []}
+        ranks = {bytes(map(letters.__getitem__, t)): i for t, i in data["model"]["vocab"].items() if t not in self.special}
+        self.coder = tiktoken.Encoding("vocabulary", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
+
+    def encode(self, text: str) -> bytes:
+        if len(text) > self.LONG:
+            return bpe.encoder_of(self.spec).encode([text])[0]
+        if any(s in text for s in self.special):
+            ids = self.coder.encode(text, allowed_special="all")
+        else:
+            ids = self.coder.encode_ordinary(text)
+        return np.array(ids, "<u4").tobytes()
+
+
+_tokens: dict[str, Tokens] = {}
+
+
+def tokens_of(spec: str) -> Tokens:
+    """Made once per Python worker."""
+    if spec not in _tokens:
+        _tokens.clear()
+        _tokens[spec] = Tokens(spec)
+    return _tokens[spec]
+
+
 def pieces(spark: SparkSession, docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document's ids and the end id, cut into pieces of ``capacity``; only a first piece may be shorter."""
     spec = spark.sparkContext.broadcast(bpe.vocabulary(vocabulary_path))
     end = np.array([END], "<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = bpe.encoder_of(spec.value)
+        coder = tokens_of(spec.value)
         for batch in batches:
             for ids, texts in bpe.slices(batch.column(0), batch.column(1)):
                 out: list[list] = [[], [], [], [], []]
-                for k, packed in enumerate(coder.encode(texts)):
+                for k, packed in enumerate(map(coder.encode, texts)):
                     packed += end
                     n = len(packed) // 4
                     cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
