@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_extract, near_dedup, packing, quality, secret_scan
+from . import bpe, exact_dedup, html_extract, near_dedup, packing, quality, secret_scan, substring_dedup
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -47,6 +47,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without passages that a smaller document has."""
+    out = substring_dedup.remove_repeats(spark, documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents: the written forms as a digest, and all spans."""
     found = secret_scan.scan(documents(spark, sf_dir))
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_dedup": op2_near_dedup,
     "op3_packing": op3_packing,
     "op4_quality": op4_quality,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_secrets": op6_secrets,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_bpe": op8_bpe,
@@ -95,6 +102,15 @@ r AS (SELECT a AS x, a AS y FROM l UNION SELECT r.x, l.b FROM r JOIN l ON r.y =
 c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
 SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(component_id, s.doc_id) AS component_id, coalesce(component_id, s.doc_id) = s.doc_id AS kept
 FROM s LEFT JOIN c ON s.doc_id = c.x""",
+    "op5_substring_dedup": f"""
+WITH w AS (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w),
+x AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS t FROM i),
+m AS (SELECT t, min(doc_id) AS least FROM x GROUP BY t),
+b AS (SELECT x.doc_id, unnest(range(i, i + 13)) AS p FROM x JOIN m ON x.t = m.t WHERE least < x.doc_id),
+g AS (SELECT doc_id, list(DISTINCT p) AS gone FROM b GROUP BY doc_id),
+k AS (SELECT w.doc_id, w, list_filter(w, lambda v, n: gone IS NULL OR NOT list_contains(gone, n)) AS kept FROM w LEFT JOIN g ON w.doc_id = g.doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - len(kept) AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k""",
     "op7_exact_dedup": f"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
