@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_extract, near_dedup, packing, quality, secret_scan, substring_dedup
+from . import bpe, exact_dedup, html_extract, lm_score, near_dedup, packing, quality, secret_scan, substring_dedup
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -75,6 +75,13 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by a model of those that are not held out."""
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    out = lm_score.score(spark, documents(spark, sf_dir), F.coalesce(~held, F.lit(True)))
+    return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_near_dedup": op2_near_dedup,
@@ -84,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secrets": op6_secrets,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_bpe": op8_bpe,
+    "op10_lm_score": op10_lm_score,
 }
 
 #: Words of a text: what stands between the six ASCII white-space characters.
