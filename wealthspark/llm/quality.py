@@ -153,3 +153,21 @@ def score(spark: SparkSession, docs: DataFrame, model: Neighbours, id: str = "do
 def held_out(id: str = "doc_id", parts: int = 5) -> Column:
     """Rows never learned from: crc32 of the id's text divisible by ``parts``."""
     return F.crc32(F.col(id).cast("string").cast("binary")) % parts == 0
+
+
+def accepted(spark: SparkSession, docs: DataFrame, model: Neighbours, least: float = 0.3, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is at least ``least``."""
+    shared = spark.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start = 0
+            for _, texts in slices(batch.column(at), batch.column(at)):
+                part = batch.slice(start, len(texts))
+                start += len(texts)
+                yield part.filter(pa.array(shared.value.scores(np.stack([vector(t) for t in texts])) >= least))
+
+    names = [f"c{k}" for k in range(len(docs.columns))]  # clashing names do not matter inside
+    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields))
+    return docs.toDF(*names).mapInArrow(work, schema).toDF(*docs.columns)
