@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import spatial, survey
+from .queries import metrics, spatial, survey
 from .queries.base import ORACLE_SQL, QUERIES
 
 FLAGSHIP = QUERIES["GX1_population_features"]
 
-__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "spatial", "survey"]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "metrics", "spatial", "survey"]
