@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import running
+
 OUTPUTS = ("mean", "std")
 
 
@@ -17,10 +19,14 @@ def gini(df: DataFrame, column: str, by: Iterable[str] = ()) -> DataFrame:
     """
     by = list(by)
     counted = df.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("k"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    low = F.least(F.min("v").over(w), F.lit(0.0))
-    before = F.coalesce(F.sum("k").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counted.select(*by, "k", (F.col("v") - low + 1e-7).alias("x"), before.alias("before"))
+    if by:
+        w = Window.partitionBy(*by)
+        low = F.min("v").over(w)
+        counted = counted.withColumn("upto", F.sum("k").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        low = F.col("low")
+        counted = running(counted, "v", {"upto": "k"}).crossJoin(F.broadcast(df.agg(F.min(column).alias("low"))))  # one row
+    ranked = counted.select(*by, "k", (F.col("v") - F.least(low, F.lit(0.0)) + 1e-7).alias("x"), (F.col("upto") - F.col("k")).alias("before"))
     # ranks before + 1 .. before + k add up to k * before + k (k + 1) / 2
     ranks = F.col("k") * F.col("before") + F.col("k") * (F.col("k") + 1) / 2
     sums = ranked.groupBy(*by).agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("x")).alias("sx"), F.sum(F.col("x") * ranks).alias("sr"))
