@@ -3,9 +3,9 @@
 Independent trees start with all documents. A node of a tree picks two of the signature's coordinates by a hash of its own
 path; a document goes on to the child that its minwise token at such a coordinate names. Similar sets agree at most
 coordinates, so they meet in a small node with a probability that stays high at any depth, and four trees together miss a pair at
-the threshold about once in 10^4. Small nodes are compared exhaustively. A large node is first compared with some
-of its own members; what then is one component needs no more pairs, and if few others are left those are compared
-with the whole node, else it branches again. Links are confirmed on the full sets.
+the threshold about once in 10^4. Small nodes are compared exhaustively. In a large node each document is first compared
+with some of the others and confirmed against the most alike; what then is one component needs no more pairs. If few others are
+left, those are compared with the whole node, else it branches again. Links are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -15,24 +15,27 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import slices
 from .shared import written
 from .words import joined, mix, word_numbers
 
-COORDINATES = 96
+#: Minwise tokens that trees branch on; those that long sketches compare (the first are the same), one byte of each.
+COORDINATES, LONG = 96, 512
 TREES = 4
 #: Nodes up to this size are compared exhaustively; also the length of the lists that larger nodes are compared with.
 SMALL = 48
-DEEPEST = 6
+#: Documents outside a node's largest component may be this share of it, or ``SMALL``, to be compared with all of it at once.
+FEW = 0.25
+DEEPEST = 5
 #: Standard deviations below the expected number of equal coordinates at which a pair is not looked at further.
-SLACK = 5.0
+SLACK = 4.0
 
 _random = np.random.Generator(np.random.PCG64(20))
-_TIMES = _random.integers(1, 2**63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
-_PLUS = _random.integers(0, 2**63, COORDINATES, np.uint64)
+_TIMES = _random.integers(1, 2**63, LONG, np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _random.integers(0, 2**63, LONG, np.uint64)
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -49,9 +52,9 @@ def shingles(text: str | None, k: int) -> np.ndarray:
 
 def signature(tokens: np.ndarray) -> np.ndarray:
     """The minwise token at each coordinate, as 32 bits."""
-    least = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(tokens), 2048):
-        np.minimum(least, (tokens[k : k + 2048, None] * _TIMES + _PLUS).min(axis=0), out=least)
+    least = np.full(LONG, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(tokens), 256):
+        np.minimum(least, (tokens[k : k + 256, None] * _TIMES + _PLUS).min(axis=0), out=least)
     return (mix(least) & np.uint64(0xFFFFFFFF)).astype("<u4")
 
 
@@ -59,18 +62,21 @@ def _signatures(k: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, texts in slices(batch.column(0), batch.column(1)):
-                sizes, keys, signs = [], [], []
+                sizes, keys, signs, longs = [], [], [], []
                 for text in texts:
                     tokens = shingles(text, k)
                     sizes.append(len(tokens))
                     if len(tokens):
                         both = np.array([tokens.sum(dtype=np.uint64), mix(tokens ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)], "<u8")
                         keys.append(len(tokens).to_bytes(4, "little") + both.tobytes())
-                        signs.append(signature(tokens).tobytes())
+                        sign = signature(tokens)
+                        signs.append(sign[:COORDINATES].tobytes())
+                        longs.append((sign & 0xFF).astype(np.uint8).tobytes())
                     else:
                         keys.append(None)
                         signs.append(None)
-                yield pa.record_batch([ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())], ["id", "n_shingles", "key", "sign"])
+                        longs.append(None)
+                yield pa.record_batch([ids, pa.array(sizes, pa.int64()), *(pa.array(c, pa.binary()) for c in (keys, signs, longs))], ["id", "n_shingles", "key", "sign", "long"])
 
     return work
 
@@ -94,8 +100,8 @@ def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _alike(a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
     out = np.zeros(len(a), np.int32)
-    for k in range(0, len(a), 65_536):
-        out[k : k + 65_536] = (a[k : k + 65_536] == b[k : k + 65_536]).sum(axis=1)
+    for k in range(0, len(a), 16_384):
+        out[k : k + 16_384] = (a[k : k + 16_384] == b[k : k + 16_384]).sum(axis=1)
     return np.where(out >= least, out, 0)
 
 
@@ -130,8 +136,8 @@ def _within(least: int):
     return work
 
 
-def _against(least: int):
-    """Each row (id, low, group, list of (id, low, group)): its pairs with the list's members of other groups."""
+def _against(least: int, width: int, best: bool = False):
+    """Each row (id, low, group, list of (id, low, group)): its pairs with the list's members of other groups, or the most alike of them."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,11 +146,16 @@ def _against(least: int):
                 flat = part.column(3).flatten()
                 sizes = np.diff(part.column(3).offsets.to_numpy())
                 row = np.repeat(np.arange(part.num_rows), sizes)
-                low = _matrix(part.column(1), np.uint8, COORDINATES)
+                low = _matrix(part.column(1), np.uint8, width)
                 ids, group = part.column(0).to_numpy()[row], part.column(2).to_numpy()[row]
                 use = np.flatnonzero(group != flat.field(2).to_numpy())
-                other = _matrix(flat.field(1), np.uint8, COORDINATES)
-                yield _found(ids[use], flat.field(0).to_numpy()[use], _alike(low[row[use]], other[use], least))
+                other = _matrix(flat.field(1), np.uint8, width)
+                other_ids, n = flat.field(0).to_numpy(), _alike(low[row[use]], other[use], least)
+                if best:
+                    order = np.lexsort((other_ids[use], -n, row[use]))
+                    first = order[np.concatenate([[True], np.diff(row[use][order]) != 0])] if len(order) else order
+                    use, n = use[first], n[first]
+                yield _found(ids[use], other_ids[use], n)
 
     return work
 
@@ -209,75 +220,60 @@ def _lists(rows: DataFrame, by: list[str], *columns: str) -> DataFrame:
 
 
 def linked(spark: SparkSession, reps: DataFrame, docs: DataFrame, k: int, percent: int, trees: int, small: int, deepest: int) -> DataFrame:
-    """(id, component) of the representatives that have a link; ``reps``: id, sign, one for each distinct set."""
-    expected = COORDINATES * percent / 100
-    least = int(expected - SLACK * (expected * (1 - percent / 100)) ** 0.5)
-    roots = F.explode(F.array(*[F.lit(int(mix(np.array([t + 1], np.uint64)).view(np.int64)[0])) for t in range(trees)]))
-    rows = reps.select(roots.alias("node"), "id", "sign").mapInArrow(_children, "node long, id long, low binary")
-    links = open_pairs = labels = None
+    """(id, component) of the representatives that have a link; ``reps``: id, sign, long, one for each distinct set."""
 
-    def grouped(of: DataFrame) -> DataFrame:
-        if labels is None:
-            return of.withColumn("group", F.col("id"))
-        return of.join(labels, "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component")
+    def least(width: int) -> int:
+        """Equal coordinates that a pair at the threshold has but for a chance of about 3 in 10^5."""
+        expected = width * percent / 100
+        return int(expected - SLACK * (expected * (1 - percent / 100)) ** 0.5)
 
-    def crossing(pairs: DataFrame) -> DataFrame:
+    roots = F.explode(F.array(*[F.lit(int(mix(np.array([t + 1], np.uint64)).view(np.int64)[0])) for t in range(trees)]))
+    rows = reps.select(roots.alias("node"), "id", "sign").mapInArrow(_children, "node long, id long, low binary")
+    rows = written(spark, rows)
+    sizes = written(spark, rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    few = rows.join(sizes.filter(F.col("n") <= small), "node")
+    pairs = _lists(few, ["node"], "id", "low").select("members").mapInArrow(_within(least(COORDINATES)), PAIRS)
+    # each large node against one member of each of `small` random parts of it
+    many = rows.join(sizes.filter(F.col("n") > small).select("node"), "node")
+    leader = many.groupBy("node", F.pmod(F.xxhash64("id", "node"), F.lit(small)).alias("part")).agg(F.min("id").alias("id")).select("node", "id")
+    leaders = _lists(many.join(leader, ["node", "id"]).withColumn("group", F.col("id")), ["node"], "id", "low", "group")
+    starred = many.join(leaders, "node").select("id", "low", F.col("id").alias("group"), "members")
+    pairs = pairs.union(starred.mapInArrow(_against(least(COORDINATES), COORDINATES, best=True), PAIRS))
+    pairs = written(spark, pairs.groupBy("a", "b").agg(F.max("alike").alias("alike")))
+    # a forest first: each document's best earlier partner
+    forest = pairs.groupBy("b").agg(F.max(F.struct("alike", -F.col("a"))).alias("best")).select((-F.col("best")["col2"]).alias("a"), "b")
+    links = confirmed(spark, forest, docs, k, percent)
+    labels = components(spark, links)
+
+    def crossing(of: DataFrame) -> DataFrame:
         """Pairs between different components."""
-        if labels is None:
-            return pairs
-        ends = pairs
         for end in ("a", "b"):
-            ends = ends.join(labels.toDF(end, f"of_{end}"), end, "left")
-        return ends.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select(pairs.columns)
-
-    def settle(pairs: DataFrame, forest: bool) -> None:
-        """Confirm pairs (of a forest: each document's best earlier one) and find the components anew."""
-        nonlocal links, labels
-        if forest:
-            pairs = pairs.groupBy("b").agg(F.max(F.struct("alike", -F.col("a"))).alias("best")).select((-F.col("best")["col2"]).alias("a"), "b")
-        new = confirmed(spark, pairs, docs, k, percent)
-        links = new if links is None else links.union(new)
-        labels = components(spark, links)
+            of = of.join(labels.toDF(end, f"of_{end}"), end, "left")
+        return of.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
 
+    found, many = [crossing(pairs)], many.select("node", "id")
     for depth in range(1, deepest + 1):
-        rows = written(spark, rows)
-        sizes = written(spark, rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-        few = rows.join(sizes.filter(F.col("n") <= small), "node")
-        pairs = _lists(few, ["node"], "id", "low").select("members").mapInArrow(_within(least), PAIRS)
-        large = sizes.filter(F.col("n") > small).select("node")
-        any_large = large.limit(1).count() > 0
-        if any_large:
-            many = written(spark, rows.join(large, "node"))
-            # each large node against one member of each of `small` random parts of it
-            leader = many.groupBy("node", F.pmod(F.xxhash64("id", "node"), F.lit(small)).alias("part")).agg(F.min("id").alias("id")).select("node", "id")
-            leaders = _lists(many.join(leader, ["node", "id"]).withColumn("group", F.col("id")), ["node"], "id", "low", "group")
-            starred = many.join(leaders, "node").select("id", "low", F.col("id").alias("group"), "members")
-            pairs = pairs.union(starred.mapInArrow(_against(least), PAIRS))
-        pairs = written(spark, pairs.groupBy("a", "b").agg(F.max("alike").alias("alike")))
-        settle(pairs, forest=True)
-        rest = written(spark, crossing(pairs))
-        open_pairs = rest if open_pairs is None else open_pairs.union(rest)
-        if not any_large:
-            break
-        # what is left of the large nodes: members outside each one's largest component
-        many = written(spark, grouped(many))
+        # what is left of a node: members outside its largest component
+        many = written(spark, many.join(labels, "id", "left").select("node", "id", F.coalesce("component", "id").alias("group")))
         shares = many.groupBy("node", "group").agg(F.count(F.lit(1)).alias("n")).groupBy("node")
         shares = shares.agg(F.sum("n").alias("n"), F.max(F.struct("n", "group")).alias("main"))
-        shares = written(spark, shares.select("node", F.col("main.group").alias("main"), (F.col("n") - F.col("main.n")).alias("others")).filter("others > 0"))
-        ends = shares if depth == deepest else shares.filter(F.col("others") <= small)
-        blocks = F.ceil(F.col("others") / small)  # one, but in the last round
-        outside = many.join(ends, "node").filter("group <> main").withColumn("block", F.pmod(F.xxhash64("id"), blocks))
-        whole = many.join(_lists(outside, ["node", "block"], "id", "low", "group"), "node").select("id", "low", "group", "members")
-        pairs = whole.mapInArrow(_against(least), PAIRS).groupBy("a", "b").agg(F.max("alike").alias("alike"))
-        open_pairs = open_pairs.union(written(spark, pairs))
-        again = shares.filter(F.col("others") > small).select("node")
-        if depth == deepest or not again.limit(1).count():
+        shares = shares.select("node", "n", F.col("main.group").alias("main"), (F.col("n") - F.col("main.n")).alias("others")).filter("others > 0")
+        shares = written(spark, shares.withColumn("ends", (F.col("others") <= F.greatest(F.lit(small), F.col("n") * FEW)) | F.lit(depth == deepest)))
+        ends = shares.filter("ends").select("node", "main", F.ceil(F.col("others") / small).alias("blocks"))
+        whole = many.join(ends, "node").join(reps.select("id", F.col("long").alias("low")), "id").select("node", "id", "low", "group", "main", "blocks")
+        whole = written(spark, whole)
+        lists = _lists(whole.filter("group <> main").withColumn("block", F.pmod(F.xxhash64("id"), "blocks")), ["node", "block"], "id", "low", "group")
+        compared = whole.join(lists, "node").select("id", "low", "group", "members").mapInArrow(_against(least(LONG), LONG), PAIRS)
+        found.append(crossing(written(spark, compared.select("a", "b").distinct())))
+        again = shares.filter("NOT ends").select("node")
+        if not again.limit(1).count():
             break
-        rows = many.join(again, "node").select("node", "id").join(reps, "id").select("node", "id", "sign").mapInArrow(_children, "node long, id long, low binary")
-    rest = written(spark, crossing(open_pairs).groupBy("a", "b").agg(F.max("alike").alias("alike")))
-    if rest.limit(1).count():
-        settle(rest, forest=False)
-    return labels
+        many = many.join(again, "node").select("node", "id").join(reps.select("id", "sign"), "id").select("node", "id", "sign")
+        many = many.mapInArrow(_children, "node long, id long, low binary").select("node", "id")
+    rest = written(spark, reduce(DataFrame.union, found).distinct())
+    if not rest.limit(1).count():
+        return labels
+    return components(spark, links.union(confirmed(spark, rest, docs, k, percent)))
 
 
 def near_duplicates(
@@ -293,10 +289,10 @@ def near_duplicates(
     gives an empty table.
     """
     docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    signs = written(spark, docs.mapInArrow(_signatures(k), "id long, n_shingles long, key binary, sign binary"))
+    signs = written(spark, docs.mapInArrow(_signatures(k), "id long, n_shingles long, key binary, sign binary, long binary"))
     full = signs.filter("key IS NOT NULL AND id IS NOT NULL")
     same = written(spark, full.groupBy("key").agg(F.min("id").alias("rep")))
-    reps = full.join(same.select("key", F.col("rep").alias("id")), ["key", "id"]).select("id", "sign").dropDuplicates(["id", "sign"])
+    reps = full.join(same.select("key", F.col("rep").alias("id")), ["key", "id"]).select("id", "sign", "long").dropDuplicates(["id"])
     reps = written(spark, reps)
     labels = linked(spark, reps, docs, k, percent, trees, small, deepest)
     named = same.join(labels.toDF("rep", "component"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
