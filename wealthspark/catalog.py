@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import metrics, spatial, stats, survey
+from .queries import jobs, metrics, spatial, stats, survey
 from .queries.base import ORACLE_SQL, QUERIES
 
 FLAGSHIP = QUERIES["GX1_population_features"]
 
-__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "metrics", "spatial", "stats", "survey"]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "jobs", "metrics", "spatial", "stats", "survey"]
