@@ -2,7 +2,8 @@
 
 Consecutive windows whose smallest three-word sequence (the minimiser, by hash) is the same one travel as one packed string of words
 to the minimiser's bucket. Equal windows have equal minimisers, so a bucket sees all places of its windows; sorting them there finds
-each window's smallest document id. A word travels as 32 bits, a window as 32 * k bits that are compared in full.
+each window's smallest document id. A word travels as 48 bits of its hash, as a place in its package's sorted list of words; windows
+are compared in all their words.
 """
 
 from __future__ import annotations
@@ -27,18 +28,31 @@ _INVERSE = np.uint64(pow(int(_FACTOR), -1, 1 << 64))
 _RUN = np.dtype([("id", "<i8"), ("mark", "<i8"), ("start", "<i4"), ("n", "<i4")])
 
 
+def _planes(a: np.ndarray) -> bytes:
+    """All first bytes, then all second bytes, and so on: small numbers then compress well."""
+    return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _of_planes(data: bytes, n: int, at: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * n, at).reshape(8, n).T).view("<u8").ravel()
+
+
 def _packed(runs: np.ndarray, words: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.int64(len(runs)).tobytes() + runs["id"].tobytes() + runs["mark"].tobytes() + runs["start"].tobytes() + runs["n"].tobytes() + words.tobytes())
+    distinct, places = np.unique(words, return_inverse=True)
+    head = np.array([len(runs), len(distinct), len(words)], "<i8").tobytes()
+    parts = [head, *(np.ascontiguousarray(runs[name]).tobytes() for name in _RUN.names), _planes(np.diff(distinct, prepend=np.uint64(0))), _planes(places)]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     data = zstandard.ZstdDecompressor().decompress(blob)
-    n = int(np.frombuffer(data, "<i8", 1)[0])
-    runs, at = np.empty(n, _RUN), 8
+    n, n_distinct, n_words = np.frombuffer(data, "<i8", 3).tolist()
+    runs, at = np.empty(n, _RUN), 24
     for name in _RUN.names:
         runs[name] = np.frombuffer(data, _RUN[name], n, at)
         at += n * _RUN[name].itemsize
-    return runs, np.frombuffer(data, "<u4", -1, at)
+    distinct = np.cumsum(_of_planes(data, n_distinct, at), dtype=np.uint64)
+    return runs, distinct[_of_planes(data, n_words, at + 8 * n_distinct).astype(np.int64)]
 
 
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -85,10 +99,10 @@ def super_kmers(ids: np.ndarray, marks: np.ndarray, numbers: list[np.ndarray], k
     smallest = runs["id"][by][head][np.cumsum(head) - 1]
     settled = np.zeros(len(runs), bool)
     settled[by] = runs["id"][by] > smallest
-    yield int(bucket[0]), True, _packed(runs[settled], words[:0].astype("<u4"))
+    yield int(bucket[0]), True, _packed(runs[settled], words[:0])
     go = np.flatnonzero(~settled)
     go = go[np.argsort(bucket[go], kind="stable")]
-    short = (words >> np.uint64(32)).astype("<u4")
+    short = words >> np.uint64(16)
     edges = np.flatnonzero(np.diff(bucket[go])) + 1
     for part in np.split(go, edges):
         if len(part):
