@@ -194,13 +194,13 @@ def gx10(spark, d):
     return rounded(features.audience_features(place(spark, d), view(spark, d, "fx_answer"), PROFILES))
 
 
-@query("ST1_served_answers", f"SELECT place_id, profile, round(active_users, 6) AS active_users, answers FROM {ANSWERS}")
+@query("ST1_served_answers", f"SELECT place_id, profile, round(active_users, 4) AS active_users, answers FROM {ANSWERS}")
 def st1(spark, d):
     path, name = folder(spark, "answers"), f"served_{uuid.uuid4().hex}"
     files.append_json(view(spark, d, "fx_answer").drop("ts").repartition(3), path)
     stream = answers.arriving(spark, path)
     answers.serve(stream, name, folder(spark, "state"), once=True).awaitTermination()
-    return rounded(spark.table(name))
+    return rounded(spark.table(name), 4)
 
 
 @query("AG45_roads_buildings_classes", f"SELECT p.place_id, count(*) AS n, round(min(sqrt((p.x - t.x) ** 2 + (p.y - t.y) ** 2)), 3) AS distance FROM {xy('fx_place')} p JOIN {xy('fx_poi')} t ON t.x BETWEEN p.x - 2500 AND p.x + 2500 AND t.y BETWEEN p.y - 2500 AND p.y + 2500 GROUP BY p.place_id")
@@ -220,11 +220,11 @@ def ag46(spark, d):
     return rounded(made.fillna(0.0), 3)
 
 
-@query("AG42_zonal_pixels", f"SELECT p.place_id, count(*) AS n, round(median(t.population), 6) AS median FROM {xy('fx_place')} p JOIN {xy('fx_tile')} t ON t.x BETWEEN p.x - 2000 AND p.x + 2000 AND t.y BETWEEN p.y - 2000 AND p.y + 2000 GROUP BY p.place_id")
+@query("AG42_zonal_pixels", f"SELECT p.place_id, count(*) AS n, round(median(t.population), 9) AS median FROM {xy('fx_place')} p JOIN {xy('fx_tile')} t ON t.x BETWEEN p.x - 2000 AND p.x + 2000 AND t.y BETWEEN p.y - 2000 AND p.y + 2000 GROUP BY p.place_id")
 def ag42(spark, d):
     tiles = points(spark, d, "fx_tile").select("x", "y", F.col("population").alias("avg_rad"), F.lit(1.0).alias("area"))
     made = features.night_lights(points(spark, d, "fx_place"), tiles, halves={"2km": 2000.0})
-    return rounded(made.select("place_id", F.col("NTLL_count_2km").alias("n"), F.col("NTLL_median_2km").alias("median")))
+    return rounded(made.select("place_id", F.col("NTLL_count_2km").alias("n"), F.col("NTLL_median_2km").alias("median")), 9)
 
 
 @query("AG3_box_counts", f"SELECT p.place_id, round(coalesce(sum(t.population), 0), 6) AS total, count(t.tile_id) AS n FROM {xy('fx_place')} p LEFT JOIN {xy('fx_tile')} t ON t.x BETWEEN p.x - 300 AND p.x + 300 AND t.y BETWEEN p.y - 300 AND p.y + 300 GROUP BY p.place_id")
@@ -422,7 +422,7 @@ def job1(spark, d):
     return rounded(made.select("place_id", "mean_wi", "std_wi", "counts", F.col("mean_wi_cat").alias("category")))
 
 
-@query("JOB2_place_features", "SELECT count(*) AS places, 21 AS columns FROM fx_place")
+@query("JOB2_place_features", "SELECT count(*) AS places, 22 AS columns FROM fx_place")
 def job2(spark, d):
     made = jobs.place_features(place(spark, d), view(spark, d, "fx_tile"), view(spark, d, "fx_cell"))
     return made.agg(F.count(F.lit(1)).alias("places")).withColumn("columns", F.lit(len(made.columns) - len(place(spark, d).columns) + 4))
