@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_extract, lm_score, near_dedup, packing, quality, secret_scan, substring_dedup
+from . import bpe, exact_dedup, html_extract, lm_score, near_dedup, packing, quality, search, secret_scan, substring_dedup
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -75,6 +75,13 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op9_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each document whose id is divisible by 100, by its whole text."""
+    docs = documents(spark, sf_dir)
+    found = search.search(spark, docs, docs.filter(F.col("doc_id") % 100 == 0))
+    return found.withColumn("score", F.round("score", 4))
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored by a model of those that are not held out."""
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
@@ -91,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secrets": op6_secrets,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_bpe": op8_bpe,
+    "op9_search": op9_search,
     "op10_lm_score": op10_lm_score,
 }
 
@@ -123,4 +131,12 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - len(kept) AS BIG
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(d.t) AS text_sha256 FROM d JOIN g ON d.t = g.t""",
+    "op9_search": f"""
+WITH w AS (SELECT doc_id, {WORDS.format(f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')")} AS w FROM documents),
+g AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w), t AS (SELECT doc_id, len(w) AS dl, unnest(w) AS t FROM w),
+f AS (SELECT doc_id, t, any_value(dl) AS dl, count(*) AS tf FROM t GROUP BY doc_id, t), d AS (SELECT t, count(*) AS df FROM f GROUP BY t),
+s AS (SELECT q.doc_id AS query_id, p.doc_id, round(sum(ln(1 + (g.n - df + 0.5) / (df + 0.5)) * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * p.dl / mean))), 6) AS score
+      FROM f q JOIN f p ON q.t = p.t JOIN d ON d.t = q.t, g WHERE q.doc_id % 100 = 0 GROUP BY q.doc_id, p.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INT) AS rank, doc_id, round(score, 4) AS score FROM r WHERE rank <= 10""",
 }
