@@ -194,13 +194,13 @@ def gx10(spark, d):
     return rounded(features.audience_features(place(spark, d), view(spark, d, "fx_answer"), PROFILES))
 
 
-@query("ST1_served_answers", f"SELECT place_id, profile, round(active_users, 4) AS active_users, answers FROM {ANSWERS}")
+@query("ST1_served_answers", f"SELECT place_id, profile, round(active_users, 9) AS active_users, answers FROM {ANSWERS}")
 def st1(spark, d):
     path, name = folder(spark, "answers"), f"served_{uuid.uuid4().hex}"
     files.append_json(view(spark, d, "fx_answer").drop("ts").repartition(3), path)
     stream = answers.arriving(spark, path)
     answers.serve(stream, name, folder(spark, "state"), once=True).awaitTermination()
-    return rounded(spark.table(name), 4)
+    return rounded(spark.table(name), 9)
 
 
 @query("AG45_roads_buildings_classes", f"SELECT p.place_id, count(*) AS n, round(min(sqrt((p.x - t.x) ** 2 + (p.y - t.y) ** 2)), 3) AS distance FROM {xy('fx_place')} p JOIN {xy('fx_poi')} t ON t.x BETWEEN p.x - 2500 AND p.x + 2500 AND t.y BETWEEN p.y - 2500 AND p.y + 2500 GROUP BY p.place_id")
