@@ -268,10 +268,17 @@ def ordered_pairs(countries: DataFrame, column: str = "country") -> DataFrame:
 
 
 def overlaps(intervals: DataFrame, id: str, lo: str, hi: str) -> DataFrame:
-    """JN25: pairs of intervals that overlap. Between neighbours in start order it is enough to look at the largest end so far, so no pair is formed unless one does."""
-    a, b = intervals.alias("a"), intervals.alias("b")
-    on = (F.col(f"a.{id}") < F.col(f"b.{id}")) & (F.col(f"a.{lo}") < F.col(f"b.{hi}")) & (F.col(f"b.{lo}") < F.col(f"a.{hi}"))
-    return a.join(b, on).select(F.col(f"a.{id}").alias("a"), F.col(f"b.{id}").alias("b"))
+    """JN25: pairs (a < b) of intervals that overlap; ends that only touch do not.
+
+    Cells are as long as the longest interval, so each interval is in two at most: an equi-join. A pair is taken in the cell where its overlap begins.
+    """
+    longest = intervals.agg(F.coalesce(F.nullif(F.max(F.col(hi) - F.col(lo)), F.lit(0.0)), F.lit(1.0)).alias("size"))
+    rows = intervals.select(id, lo, hi).crossJoin(F.broadcast(longest))  # one row
+    rows = rows.withColumn("cell", F.explode(F.sequence(F.floor(F.col(lo) / F.col("size")), F.floor(F.col(hi) / F.col("size")))))
+    a, b = rows.alias("a"), rows.alias("b")
+    on = (F.col("a.cell") == F.col("b.cell")) & (F.col(f"a.{id}") < F.col(f"b.{id}")) & (F.col(f"a.{lo}") < F.col(f"b.{hi}")) & (F.col(f"b.{lo}") < F.col(f"a.{hi}"))
+    begins = F.floor(F.greatest(F.col(f"a.{lo}"), F.col(f"b.{lo}")) / F.col("a.size"))
+    return a.join(b, on).filter(F.col("a.cell") == begins).select(F.col(f"a.{id}").alias("a"), F.col(f"b.{id}").alias("b"))
 
 
 def hour_interval(events: DataFrame, intervals: DataFrame, hour: str = "hour") -> DataFrame:

@@ -431,3 +431,82 @@ def job2(spark, d):
 @query("JOB3_evaluation", "WITH r AS (SELECT country, model, epoch, (sqrt(avg((true_mean - pred_mean) ** 2)) + sqrt(avg((true_std - pred_std) ** 2))) / 2 AS rmse FROM fx_pred GROUP BY ALL), m AS (SELECT country, model, avg(rmse) AS rmse, count(*) AS runs FROM r GROUP BY country, model) SELECT country, model, round(rmse, 6) AS rmse_overall, runs FROM m QUALIFY row_number() OVER (PARTITION BY country ORDER BY rmse, model) = 1")
 def job3(spark, d):
     return rounded(jobs.evaluation(view(spark, d, "fx_pred"), ["country", "model"], ["country"]).select("country", "model", "rmse_overall", "runs"))
+
+
+# the extension surface
+
+
+class StandIn:
+    """UX1: an adapter of the stand-in survey."""
+
+    def __init__(self, spark, d):
+        self.spark, self.d = spark, d
+
+    def households(self) -> DataFrame:
+        return cleaned(self.spark, self.d).withColumn("place_id", F.col("hv001").cast("long"))
+
+    def clusters(self) -> DataFrame:
+        return place(self.spark, self.d).drop("mean_wi", "std_wi")
+
+
+@query("UX1_survey_adapter", f"SELECT p.ccode, count(*) AS clusters, round(avg(c.mean_iwi), 6) AS mean_wi FROM fx_place p JOIN {CLUSTERS} c ON p.place_id = c.hv001 AND p.year = c.year GROUP BY p.ccode")
+def ux1(spark, d):
+    adapter = StandIn(spark, d)
+    made = jobs.ground_truth(adapter.households(), adapter.clusters(), spark.createDataFrame(TIERS, "variable string, tier string, code int"), BETAS, ["place_id", "year"])
+    return rounded(made.groupBy("ccode").agg(F.count(F.lit(1)).alias("clusters"), F.avg("mean_wi").alias("mean_wi")))
+
+
+IN_AREA = "p.lon > q.x0 AND p.lon < q.x0 + q.w AND p.lat > q.y0 AND p.lat < q.y0 + q.w"
+
+
+@query("UX2_own_aggregates", f"SELECT q.poly_id, round(max(p.mean_wi) - min(p.mean_wi), 6) AS span, count(DISTINCT p.ccode) AS countries FROM fx_polygon q LEFT JOIN fx_place p ON {IN_AREA} GROUP BY q.poly_id")
+def ux2(spark, d):
+    from ..operators import spatial
+
+    own = {"span": F.max("mean_wi") - F.min("mean_wi"), "countries": F.countDistinct("ccode")}
+    return rounded(spatial.zonal(place(spark, d), polygons(spark, d), "mean_wi", own).select("poly_id", "span", "countries"))
+
+
+@query("JN17_polygon_attributes", f"SELECT q.poly_id, q.name, round(q.w, 6) AS w, n FROM fx_polygon q JOIN (SELECT q.poly_id, count(p.place_id) AS n FROM fx_polygon q LEFT JOIN fx_place p ON {IN_AREA} GROUP BY q.poly_id) c ON q.poly_id = c.poly_id")
+def jn17(spark, d):
+    from ..operators import spatial
+
+    return rounded(spatial.zonal(place(spark, d), polygons(spark, d), "place_id", {"n": F.count("place_id")}).select("poly_id", "name", "w", "n"))
+
+
+@query("UX3_row_expressions", "SELECT event_id, round(n_baseline / nullif(length_km - 1, 0), 6) AS pull, CASE WHEN start_node = end_node THEN 'within' ELSE 'across' END AS kind FROM fx_move")
+def ux3(spark, d):
+    m = view(spark, d, "fx_move")
+    return rounded(m.select("event_id", features.gravity(F.col("n_baseline"), F.col("length_km") - 1, 1.0).alias("pull"), F.when(F.col("start_node") == F.col("end_node"), "within").otherwise("across").alias("kind")))
+
+
+@query("UX4_group_expressions", "SELECT country, settlement, count(CASE WHEN pred_mean > true_mean THEN 1 END) AS over_, round(max(pred_mean) - min(true_mean), 6) AS span FROM fx_pred GROUP BY country, settlement")
+def ux4(spark, d):
+    p = view(spark, d, "fx_pred")
+    return rounded(p.groupBy("country", "settlement").agg(F.count_if(F.col("pred_mean") > F.col("true_mean")).alias("over_"), (F.max("pred_mean") - F.min("true_mean")).alias("span")))
+
+
+@query("UX5_row_generators", "SELECT place_id, CAST(unnest(range(year, 2020)) AS INT) AS year FROM fx_place")
+def ux5(spark, d):
+    return place(spark, d).select("place_id", F.explode(F.sequence("year", F.lit(2019))).alias("year"))
+
+
+@query("SRC4_zipped_csv", "SELECT ccode, year, count(*) AS n FROM fx_place GROUP BY ccode, year")
+def src4(spark, d):
+    import io
+    import zipfile
+
+    path = folder(spark, "zips")
+    counted = place(spark, d).groupBy("ccode", "year").agg(F.count(F.lit(1)).alias("n")).collect()  # a row per country and year
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for country in sorted({r["ccode"] for r in counted}):
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as z:
+            for r in counted:
+                if r["ccode"] == country:
+                    z.writestr(f"{r['year']}.csv", f"ccode,year,n\n{r['ccode']},{r['year']},{r['n']}\n")
+        at = fs.Path(f"{path}/{country}.zip")
+        out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
+        out.write(bytearray(held.getvalue()))
+        out.close()
+    return files.read_zips(spark, path, ["ccode", "year", "n"]).select("ccode", F.col("year").cast("int").alias("year"), F.col("n").cast("long").alias("n"))

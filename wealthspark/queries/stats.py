@@ -117,8 +117,12 @@ def gx13(spark, d):
     return rounded(compare.comparison(points(spark, d, "fx_map"), "M1", "M2").select("n", "rmse", "mean_b", "ks"))
 
 
-@query("AG37_normality", f"""SELECT country, n, round(zs * zs + zk * zk, 6) AS k2, round(exp(-(zs * zs + zk * zk) / 2), 6) AS p, exp(-(zs * zs + zk * zk) / 2) > 0.05 AS normal FROM (SELECT *, (1 - 2 / (9 * a) - sign(1 + x * sqrt(2 / (a - 4))) * cbrt((1 - 2 / a) / abs(1 + x * sqrt(2 / (a - 4))))) / sqrt(2 / (9 * a)) AS zk FROM (SELECT *, 6 + 8 / rb * (2 / rb + sqrt(1 + 4 / (rb * rb))) AS a FROM
-(SELECT *, (kurt + 3 - 3.0 * (n - 1) / (n + 1)) / sqrt(24.0 * n * (n - 2) * (n - 3) / ((n + 1.0) * (n + 1) * (n + 3) * (n + 5))) AS x, 6.0 * (n * n - 5.0 * n + 2) / ((n + 7.0) * (n + 9)) * sqrt(6.0 * (n + 3) * (n + 5) / (n * (n - 2.0) * (n - 3))) AS rb FROM {SKEW_Z.format(MOMENTS.format(by='country', v='true_mean - pred_mean', t='fx_pred'))})))""")
+def normal_sql(by: str, v: str, table: str) -> str:
+    return f"""SELECT {by}, n, zs * zs + zk * zk AS k2, exp(-(zs * zs + zk * zk) / 2) AS p FROM (SELECT *, (1 - 2 / (9 * a) - sign(1 + x * sqrt(2 / (a - 4))) * cbrt((1 - 2 / a) / abs(1 + x * sqrt(2 / (a - 4))))) / sqrt(2 / (9 * a)) AS zk FROM (SELECT *, 6 + 8 / rb * (2 / rb + sqrt(1 + 4 / (rb * rb))) AS a FROM
+(SELECT *, (kurt + 3 - 3.0 * (n - 1) / (n + 1)) / sqrt(24.0 * n * (n - 2) * (n - 3) / ((n + 1.0) * (n + 1) * (n + 3) * (n + 5))) AS x, 6.0 * (n * n - 5.0 * n + 2) / ((n + 7.0) * (n + 9)) * sqrt(6.0 * (n + 3) * (n + 5) / (n * (n - 2.0) * (n - 3))) AS rb FROM {SKEW_Z.format(MOMENTS.format(by=by, v=v, t=table))})))"""
+
+
+@query("AG37_normality", f"SELECT country, n, round(k2, 6) AS k2, round(p, 6) AS p, p > 0.05 AS normal FROM ({normal_sql('country', 'true_mean - pred_mean', 'fx_pred')})")
 def ag37(spark, d):
     p = view(spark, d, "fx_pred").withColumn("e", F.col("true_mean") - F.col("pred_mean"))
     return rounded(stats.normality(p, ["country"], "e"))
@@ -130,7 +134,7 @@ def ag37_others(spark, d):
     return rounded(stats.anderson_darling(p, ["ccode"], "mean_wi").join(stats.shapiro(p, ["ccode"], "mean_wi").drop("n"), "ccode"))
 
 
-@query("AG38_gaussian_share")
+@query("AG38_gaussian_share", f"SELECT CAST(cluster_id % 5 AS INT) AS quintile, round(avg(CASE WHEN p > 0.05 THEN 1.0 ELSE 0 END), 6) AS share, count(*) AS clusters FROM ({normal_sql('cluster_id', 'pred_mean', '(SELECT * FROM fx_pred WHERE cluster_id IN (SELECT cluster_id FROM fx_pred GROUP BY cluster_id HAVING count(*) >= 8))')}) GROUP BY 1")
 def ag38(spark, d):
     p = view(spark, d, "fx_pred").withColumn("quintile", (F.col("cluster_id") % 5).cast("int"))
     return rounded(stats.gaussian_share(p, ["cluster_id"], "pred_mean", "quintile"))
