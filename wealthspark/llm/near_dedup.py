@@ -1,9 +1,9 @@
 """Near-duplicates by a chosen-path similarity join over minwise tokens.
 
-Independent trees start with all documents. A node of a tree picks two of the signature's coordinates by a hash of its own
-path; a document goes on to the child that its minwise token at such a coordinate names. Similar sets agree at most
-coordinates, so they meet in a small node with a probability that stays high at any depth, and four trees together miss a pair at
-the threshold about once in 10^4. Small nodes are compared exhaustively. In a large node each document is first compared
+Independent trees start with all documents. A node of a tree picks coordinates of the signature by a hash of its own
+path: two at the root, below it one, or two in a quarter of the nodes. A document goes on to the child that its minwise token at such a
+coordinate names. Similar sets agree at most coordinates, so they meet again: a pair at the threshold is missed by all trees about once in
+10^4 two levels deep and once in 10^3 four levels deep, while less similar pairs meet less with every level. Small nodes are compared exhaustively. In a large node each document is first compared
 with some of the others and confirmed against the most alike; what then is one component needs no more pairs. If few others are
 left, those are compared with the whole node, else it branches again. Links are confirmed on the full sets.
 """
@@ -24,7 +24,7 @@ from .words import joined, mix, word_numbers
 
 #: Minwise tokens that trees branch on; those that long sketches compare (the first are the same), one byte of each.
 COORDINATES, LONG = 96, 512
-TREES = 4
+TREES = 5
 #: Nodes up to this size are compared exhaustively; also the length of the lists that larger nodes are compared with.
 SMALL = 48
 #: Documents outside a node's largest component may be this share of it, or ``SMALL``, to be compared with all of it at once.
@@ -85,17 +85,23 @@ def _matrix(column: pa.Array, kind: str, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
-def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, id, sign) -> (child, id, the signature's low bytes), for both coordinates that a node picks."""
+def _children(batches: Iterator[pa.RecordBatch], root: bool = False) -> Iterator[pa.RecordBatch]:
+    """(node, id, sign) -> (child, id, the signature's low bytes), for each coordinate that the node picks."""
     for batch in batches:
         nodes = batch.column(0).to_numpy().view(np.uint64)
         sign = _matrix(batch.column(2), "<u4", COORDINATES)
         low = pa.array(map(bytes, (sign & 0xFF).astype(np.uint8)), pa.binary())
         first = (mix(nodes) % np.uint64(COORDINATES)).astype(np.int64)
         step = 1 + (mix(nodes + np.uint64(1)) % np.uint64(COORDINATES - 1)).astype(np.int64)
-        for c in (first, (first + step) % COORDINATES):
-            child = joined(joined(nodes, c.astype(np.uint64)), sign[np.arange(len(c)), c].astype(np.uint64))
-            yield pa.record_batch([pa.array(child.view(np.int64)), batch.column(1), low], ["node", "id", "low"])
+        twice = np.flatnonzero(root | (mix(nodes + np.uint64(2)) % np.uint64(4) == 0))
+        for use, c in ((np.arange(len(nodes)), first), (twice, (first + step)[twice] % COORDINATES)):
+            child = joined(joined(nodes[use], c.astype(np.uint64)), sign[use, c].astype(np.uint64))
+            at = pa.array(use)
+            yield pa.record_batch([pa.array(child.view(np.int64)), batch.column(1).take(at), low.take(at)], ["node", "id", "low"])
+
+
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _children(batches, root=True)
 
 
 def _alike(a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
@@ -136,26 +142,46 @@ def _within(least: int):
     return work
 
 
-def _against(least: int, width: int, best: bool = False):
-    """Each row (id, low, group, list of (id, low, group)): its pairs with the list's members of other groups, or the most alike of them."""
+def _best(least: int):
+    """Each row (id, low, list of (id, low)): the most alike other member of the list, if it is alike enough."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                flat = part.column(2).flatten()
+                row = np.repeat(np.arange(part.num_rows), np.diff(part.column(2).offsets.to_numpy()))
+                ids, others = part.column(0).to_numpy()[row], flat.field(0).to_numpy()
+                n = _alike(_matrix(part.column(1), np.uint8, COORDINATES)[row], _matrix(flat.field(1), np.uint8, COORDINATES), least)
+                n[ids == others] = 0
+                order = np.lexsort((others, -n, row))
+                first = order[np.concatenate([[True], np.diff(row[order]) != 0])] if len(order) else order
+                yield _found(ids[first], others[first], n[first])
+
+    return work
+
+
+def _against(least: int):
+    """Each row (node, id, long, group, nodes, list of the same but the node): its pairs with the list's members of other groups.
+
+    ``nodes`` are all nodes in which the document is compared like this: a pair is given in the first that both share.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                flat = part.column(3).flatten()
-                sizes = np.diff(part.column(3).offsets.to_numpy())
-                row = np.repeat(np.arange(part.num_rows), sizes)
-                low = _matrix(part.column(1), np.uint8, width)
-                ids, group = part.column(0).to_numpy()[row], part.column(2).to_numpy()[row]
-                use = np.flatnonzero(group != flat.field(2).to_numpy())
-                other = _matrix(flat.field(1), np.uint8, width)
-                other_ids, n = flat.field(0).to_numpy(), _alike(low[row[use]], other[use], least)
-                if best:
-                    order = np.lexsort((other_ids[use], -n, row[use]))
-                    first = order[np.concatenate([[True], np.diff(row[use][order]) != 0])] if len(order) else order
-                    use, n = use[first], n[first]
-                yield _found(ids[use], other_ids[use], n)
+                flat = part.column(5).flatten()
+                row = np.repeat(np.arange(part.num_rows), np.diff(part.column(5).offsets.to_numpy()))
+                node, ids, others = part.column(0).to_pylist(), part.column(1).to_numpy()[row], flat.field(0).to_numpy()
+                use = np.flatnonzero(part.column(3).to_numpy()[row] != flat.field(2).to_numpy())
+                n = np.zeros(len(row), np.int32)
+                n[use] = _alike(_matrix(part.column(2), np.uint8, LONG)[row[use]], _matrix(flat.field(1), np.uint8, LONG)[use], least)
+                hit = np.flatnonzero(n)
+                mine, theirs = part.column(4), flat.field(3)
+                first = [node[r] == min(set(mine[r].as_py()).intersection(theirs[j].as_py())) for r, j in zip(row[hit].tolist(), hit.tolist())]
+                hit = hit[np.array(first, bool)]
+                yield _found(ids[hit], others[hit], n[hit])
 
     return work
 
@@ -228,7 +254,7 @@ def linked(spark: SparkSession, reps: DataFrame, docs: DataFrame, k: int, percen
         return int(expected - SLACK * (expected * (1 - percent / 100)) ** 0.5)
 
     roots = F.explode(F.array(*[F.lit(int(mix(np.array([t + 1], np.uint64)).view(np.int64)[0])) for t in range(trees)]))
-    rows = reps.select(roots.alias("node"), "id", "sign").mapInArrow(_children, "node long, id long, low binary")
+    rows = reps.select(roots.alias("node"), "id", "sign").mapInArrow(_roots, "node long, id long, low binary")
     rows = written(spark, rows)
     sizes = written(spark, rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     few = rows.join(sizes.filter(F.col("n") <= small), "node")
@@ -236,9 +262,8 @@ def linked(spark: SparkSession, reps: DataFrame, docs: DataFrame, k: int, percen
     # each large node against one member of each of `small` random parts of it
     many = rows.join(sizes.filter(F.col("n") > small).select("node"), "node")
     leader = many.groupBy("node", F.pmod(F.xxhash64("id", "node"), F.lit(small)).alias("part")).agg(F.min("id").alias("id")).select("node", "id")
-    leaders = _lists(many.join(leader, ["node", "id"]).withColumn("group", F.col("id")), ["node"], "id", "low", "group")
-    starred = many.join(leaders, "node").select("id", "low", F.col("id").alias("group"), "members")
-    pairs = pairs.union(starred.mapInArrow(_against(least(COORDINATES), COORDINATES, best=True), PAIRS))
+    starred = many.join(_lists(many.join(leader, ["node", "id"]), ["node"], "id", "low"), "node").select("id", "low", "members")
+    pairs = pairs.union(starred.mapInArrow(_best(least(COORDINATES)), PAIRS))
     pairs = written(spark, pairs.groupBy("a", "b").agg(F.max("alike").alias("alike")))
     # a forest first: each document's best earlier partner
     forest = pairs.groupBy("b").agg(F.max(F.struct("alike", -F.col("a"))).alias("best")).select((-F.col("best")["col2"]).alias("a"), "b")
@@ -261,9 +286,10 @@ def linked(spark: SparkSession, reps: DataFrame, docs: DataFrame, k: int, percen
         shares = written(spark, shares.withColumn("ends", (F.col("others") <= F.greatest(F.lit(small), F.col("n") * FEW)) | F.lit(depth == deepest)))
         ends = shares.filter("ends").select("node", "main", F.ceil(F.col("others") / small).alias("blocks"))
         whole = many.join(ends, "node").join(reps.select("id", F.col("long").alias("low")), "id").select("node", "id", "low", "group", "main", "blocks")
-        whole = written(spark, whole)
-        lists = _lists(whole.filter("group <> main").withColumn("block", F.pmod(F.xxhash64("id"), "blocks")), ["node", "block"], "id", "low", "group")
-        compared = whole.join(lists, "node").select("id", "low", "group", "members").mapInArrow(_against(least(LONG), LONG), PAIRS)
+        places = whole.groupBy("id").agg(F.collect_set("node").alias("nodes"))  # at most the trees' paths of one document
+        whole = written(spark, whole.join(places, "id"))
+        lists = _lists(whole.filter("group <> main").withColumn("block", F.pmod(F.xxhash64("id"), "blocks")), ["node", "block"], "id", "low", "group", "nodes")
+        compared = whole.join(lists, "node").select("node", "id", "low", "group", "nodes", "members").mapInArrow(_against(least(LONG)), PAIRS)
         found.append(crossing(written(spark, compared.select("a", "b").distinct())))
         again = shares.filter("NOT ends").select("node")
         if not again.limit(1).count():
