@@ -11,7 +11,6 @@ left, those are compared with the whole node, else it branches again. Links are
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .shared import written
+from .shared import partitions, written
 from .words import joined, mix, word_numbers
 
 #: Minwise tokens that trees branch on; those that long sketches compare (the first are the same), one byte of each.
@@ -30,6 +29,8 @@ SMALL = 48
 #: Documents outside a node's largest component may be this share of it, or ``SMALL``, to be compared with all of it at once.
 FEW = 0.25
 DEEPEST = 5
+#: In a large node so many documents, and so many outside its largest component, are compared in one go; parts and blocks are dealt apart.
+PART, BLOCK = 2000, 256
 #: Standard deviations below the expected number of equal coordinates at which a pair is not looked at further.
 SLACK = 4.0
 
@@ -161,27 +162,53 @@ def _best(least: int):
     return work
 
 
-def _against(least: int):
-    """Each row (node, id, long, group, nodes, list of the same but the node): its pairs with the list's members of other groups.
+def _linked(tokens: np.ndarray, others: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are similar enough."""
+    if len(tokens) > len(others):
+        tokens, others = others, tokens
+    at = np.searchsorted(others, tokens)
+    both = int((others[np.minimum(at, len(others) - 1)] == tokens).sum())
+    return 100 * both >= percent * (len(tokens) + len(others) - both)
 
-    ``nodes`` are all nodes in which the document is compared like this: a pair is given in the first that both share.
+
+def _against(least: int, percent: int):
+    """Rows (node, part, block, member, id, long, group, nodes, tokens), sorted by the first four: in each block of each part of a node,
+    some documents outside its largest component (member 0), then the part's documents (member 1). Gives the links between them.
+
+    Pairs of one group are left out. Long sketches choose the pairs whose full sets are compared. ``nodes`` are all nodes in which
+    the document is compared like this: a pair belongs to the first that both share.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, outside = None, [], None
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                flat = part.column(5).flatten()
-                row = np.repeat(np.arange(part.num_rows), np.diff(part.column(5).offsets.to_numpy()))
-                node, ids, others = part.column(0).to_pylist(), part.column(1).to_numpy()[row], flat.field(0).to_numpy()
-                use = np.flatnonzero(part.column(3).to_numpy()[row] != flat.field(2).to_numpy())
-                n = np.zeros(len(row), np.int32)
-                n[use] = _alike(_matrix(part.column(2), np.uint8, LONG)[row[use]], _matrix(flat.field(1), np.uint8, LONG)[use], least)
-                hit = np.flatnonzero(n)
-                mine, theirs = part.column(4), flat.field(3)
-                first = [node[r] == min(set(mine[r].as_py()).intersection(theirs[j].as_py())) for r, j in zip(row[hit].tolist(), hit.tolist())]
-                hit = hit[np.array(first, bool)]
-                yield _found(ids[hit], others[hit], n[hit])
+            for k in range(0, batch.num_rows, 128):
+                part = batch.slice(k, 128)
+                keys = list(zip(*(part.column(c).to_pylist() for c in range(4))))
+                ids, groups, nodes = part.column(4).to_numpy(), part.column(6).to_numpy(), part.column(7).to_pylist()
+                longs, tokens = _matrix(part.column(5), np.uint8, LONG), part.column(8).to_pylist()
+                links: list[tuple[int, int]] = []
+                start = 0
+                while start < len(keys):
+                    end = start + 1
+                    while end < len(keys) and keys[end] == keys[start]:
+                        end += 1
+                    if keys[start][:3] != key:
+                        key, held, outside = keys[start][:3], [], None
+                    if keys[start][3] == 0:
+                        held.append((ids[start:end], longs[start:end], groups[start:end], nodes[start:end], tokens[start:end]))
+                    elif held:
+                        if outside is None:
+                            outside = [np.concatenate([h[c] for h in held]) for c in range(3)] + [[x for h in held for x in h[c]] for c in (3, 4)]
+                        for r in range(start, end):
+                            n = (outside[1] == longs[r]).sum(axis=1)
+                            mine = set(nodes[r])
+                            for j in np.flatnonzero((n >= least) & (outside[2] != groups[r]) & (outside[0] != ids[r])).tolist():
+                                if key[0] == min(mine.intersection(outside[3][j])) and _linked(np.frombuffer(tokens[r], "<u8"), np.frombuffer(outside[4][j], "<u8"), percent):
+                                    links.append((min(int(ids[r]), int(outside[0][j])), max(int(ids[r]), int(outside[0][j]))))
+                    start = end
+                if links:
+                    yield pa.record_batch([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
 
     return work
 
@@ -201,24 +228,21 @@ def _sets(k: int):
 def _confirm(percent: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
+            good = [_linked(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), percent) for x, y in zip(batch.column(2), batch.column(3))]
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     return work
 
 
+def sets_of(spark: SparkSession, docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(id, tokens) of the documents with these ids."""
+    sets = docs.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(_sets(k), "id long, tokens binary")
+    return written(spark, sets.dropDuplicates(["id"]))
+
+
 def confirmed(spark: SparkSession, pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough. ``docs``: id, text."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = docs.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(_sets(k), "id long, tokens binary").dropDuplicates(["id"])
-    sets = written(spark, sets)
+    sets = sets_of(spark, docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), k)
     first, second = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
     both = pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "x", "y")
     return written(spark, both.mapInArrow(_confirm(percent), "a long, b long"))
@@ -276,7 +300,7 @@ def linked(spark: SparkSession, reps: DataFrame, docs: DataFrame, k: int, percen
             of = of.join(labels.toDF(end, f"of_{end}"), end, "left")
         return of.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
 
-    found, many = [crossing(pairs)], many.select("node", "id")
+    many = many.select("node", "id")
     for depth in range(1, deepest + 1):
         # what is left of a node: members outside its largest component
         many = written(spark, many.join(labels, "id", "left").select("node", "id", F.coalesce("component", "id").alias("group")))
@@ -284,22 +308,24 @@ def linked(spark: SparkSession, reps: DataFrame, docs: DataFrame, k: int, percen
         shares = shares.agg(F.sum("n").alias("n"), F.max(F.struct("n", "group")).alias("main"))
         shares = shares.select("node", "n", F.col("main.group").alias("main"), (F.col("n") - F.col("main.n")).alias("others")).filter("others > 0")
         shares = written(spark, shares.withColumn("ends", (F.col("others") <= F.greatest(F.lit(small), F.col("n") * FEW)) | F.lit(depth == deepest)))
-        ends = shares.filter("ends").select("node", "main", F.ceil(F.col("others") / small).alias("blocks"))
-        whole = many.join(ends, "node").join(reps.select("id", F.col("long").alias("low")), "id").select("node", "id", "low", "group", "main", "blocks")
+        ends = shares.filter("ends").select("node", "main", F.ceil(F.col("n") / PART).cast("int").alias("parts"), F.ceil(F.col("others") / BLOCK).cast("int").alias("blocks"))
+        whole = many.join(ends, "node")
         places = whole.groupBy("id").agg(F.collect_set("node").alias("nodes"))  # at most the trees' paths of one document
-        whole = written(spark, whole.join(places, "id"))
-        lists = _lists(whole.filter("group <> main").withColumn("block", F.pmod(F.xxhash64("id"), "blocks")), ["node", "block"], "id", "low", "group", "nodes")
-        compared = whole.join(lists, "node").select("node", "id", "low", "group", "nodes", "members").mapInArrow(_against(least(LONG)), PAIRS)
-        found.append(crossing(written(spark, compared.select("a", "b").distinct())))
+        full = places.join(reps.select("id", F.col("long").alias("low")), "id").join(sets_of(spark, docs, places.select("id"), k), "id")
+        whole = written(spark, whole.join(full, "id"))
+        columns = ["node", "part", "block", "member", "id", "low", "group", "nodes", "tokens"]
+        part, block = F.pmod(F.xxhash64("id"), "parts").cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), "blocks").cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        members = whole.withColumns({"part": part, "member": F.lit(1)}).withColumn("block", each("blocks")).select(columns)
+        outside = whole.filter("group <> main").withColumns({"block": block, "member": F.lit(0)}).withColumn("part", each("parts")).select(columns)
+        dealt = outside.union(members).repartition(partitions(spark), "node", "part", "block").sortWithinPartitions("node", "part", "block", "member")
+        links = links.union(written(spark, dealt.mapInArrow(_against(least(LONG), percent), "a long, b long")))
         again = shares.filter("NOT ends").select("node")
         if not again.limit(1).count():
             break
         many = many.join(again, "node").select("node", "id").join(reps.select("id", "sign"), "id").select("node", "id", "sign")
         many = many.mapInArrow(_children, "node long, id long, low binary").select("node", "id")
-    rest = written(spark, reduce(DataFrame.union, found).distinct())
-    if not rest.limit(1).count():
-        return labels
-    return components(spark, links.union(confirmed(spark, rest, docs, k, percent)))
+    return components(spark, links.union(confirmed(spark, crossing(pairs), docs, k, percent)))
 
 
 def near_duplicates(
