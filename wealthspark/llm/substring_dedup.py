@@ -2,7 +2,7 @@
 
 Consecutive windows whose smallest three-word sequence (the minimiser, by hash) is the same one travel as one packed string of words
 to the minimiser's bucket. Equal windows have equal minimisers, so a bucket sees all places of its windows; sorting them there finds
-each window's smallest document id. A word travels as 48 bits of its hash, as a place in its package's sorted list of words; windows
+each window's smallest document id. A word travels as 40 bits of its hash, as a place in its package's sorted list of words; windows
 are compared in all their words.
 """
 
@@ -102,7 +102,7 @@ def super_kmers(ids: np.ndarray, marks: np.ndarray, numbers: list[np.ndarray], k
     yield int(bucket[0]), True, _packed(runs[settled], words[:0])
     go = np.flatnonzero(~settled)
     go = go[np.argsort(bucket[go], kind="stable")]
-    short = words >> np.uint64(16)
+    short = words >> np.uint64(24)
     edges = np.flatnonzero(np.diff(bucket[go])) + 1
     for part in np.split(go, edges):
         if len(part):
