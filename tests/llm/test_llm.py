@@ -283,6 +283,28 @@ def test_log_frequency_filter():
     assert cut > first  # a bound too small for all levels keeps the upper ones
 
 
+def test_lm_score_keeps_every_level(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm_score, "FILTER_BITS", 1 << 12, raising=False)  # no bound may leave a level out
+    got = rows(lm_score.score(spark, docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2))
+    tokens = {i: [0, *WORD.findall(lower(t or "")), None] for i, t in all_texts().items()}
+    counts, pairs = collections.Counter(), collections.Counter()
+    for i, w in tokens.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            counts.update(w)
+            pairs.update(zip(w, w[1:]))
+    n = sum(counts.values()) - counts[0]
+    same = 0
+    for i, w in tokens.items():
+        want = 0
+        for a, b in zip(w, w[1:]):
+            base = (counts[b] + 1) / (n + len(counts))
+            pair = min(0.75 * 2 ** pairs[a, b].bit_length() - 0.5, counts[a], counts[b]) if pairs[a, b] else 0
+            want += math.log10(0.3 * pair / counts[a] + 0.7 * base if counts[a] else base)
+        assert got[i]["score"] >= want - 1e-6  # a false level may only be added
+        same += got[i]["score"] == pytest.approx(want)
+    assert same > len(tokens) / 2
+
+
 def test_search(spark, docs, empty):
     words = {i: WORD.findall(lower(t or "")) for i, t in all_texts().items()}
     n, mean = len(words), sum(map(len, words.values())) / len(words)
