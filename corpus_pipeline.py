@@ -7,6 +7,7 @@ result is written as Parquet in the shared folder and read again as the next one
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wealthspark.llm import exact_dedup, near_dedup, packing, quality, secret_scan
 from wealthspark.llm.queries import vocabulary_path
@@ -19,16 +20,34 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.accepted(spark, docs, quality.train(docs, labels))
 
 
+def _rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(row, doc): the documents with a number for each row, stored so that all who read it see the same numbers."""
+    return written(spark, docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")))
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are equal after lower-casing A-Z, the one with the largest id."""
-    kept = exact_dedup.exact_duplicates(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Of documents that are equal after lower-casing A-Z, the one with the largest id.
+
+    Each row is judged by itself: of rows with one text and one id a single one stays, and different texts under one id are different
+    documents. A null id is below all others.
+    """
+    rows = _rows(spark, docs)
+    judged = exact_dedup.exact_duplicates(rows.select(F.struct("doc.doc_id", "row").alias("key"), "doc.text"), id="key")
+    return rows.join(judged.filter("kept").select("key.row"), "row", "left_semi").select("doc.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 or more on five-word shingles, the one with the smallest id."""
-    kept = near_dedup.near_duplicates(spark, docs, k=5, percent=80).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Of documents linked by a similarity of 0.8 or more on five-word shingles, the one with the smallest id.
+
+    Each row is judged by itself: of linked rows with one id a single one stays, and different texts under one id are different documents.
+    Rows with a null id are linked with nothing and stay.
+    """
+    rows = _rows(spark, docs)
+    named = rows.filter("doc.doc_id IS NOT NULL").select("row", "doc.doc_id", "doc.text")
+    judged = near_dedup.near_duplicates(spark, named, k=5, percent=80, id="row").select("row", "component_id")
+    first = named.select("row", "doc_id").join(judged, "row").groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    kept = first.select("first.row").union(rows.filter("doc.doc_id IS NULL").select("row"))
+    return rows.join(kept, "row", "left_semi").select("doc.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -406,3 +406,62 @@ def test_pipeline(spark, data):
     packed = pipeline.run(spark, data).collect()
     t = tokenizer()
     assert sum(r["length"] for r in packed) == sum(len(t.encode(x, add_special_tokens=False).ids) + 1 for x in left)
+
+
+def test_pipeline_judges_rows(spark, data, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    good, alone = [], set()
+    for r in pipeline.keep_quality(spark, docs, data).orderBy("doc_id").collect():
+        words = lower(r["text"] or "").split()
+        if 60 <= len(words) <= 400 and not secret_scan.find(r["text"]) and not alone & set(zip(words, words[1:], words[2:])):
+            alone |= set(zip(words, words[1:], words[2:]))
+            good.append(r.asDict())
+    assert len(good) >= 7
+    a, b, c, d, e, f, g = good[:7]
+    top = 10**6
+    near = lambda r, id: {**r, "doc_id": id, "text": r["text"] + " changed"}
+    made = [
+        a, a, {**a, "text": a["text"].upper()},  # repeated rows
+        {**b, "doc_id": None}, {**b, "doc_id": None},  # a null id alone
+        c, {**c, "doc_id": None},  # equal, one without id
+        d, {**d, "doc_id": c["doc_id"]},  # a copy under an id whose other row is kept
+        e, near(e, top), near(e, a["doc_id"]),  # near copies; the smallest id has another text too
+        f, near(f, None),  # a near copy without id
+        g, near(g, g["doc_id"]),  # near copies under one id
+    ]
+    spark.createDataFrame(made, docs.schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{data}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    passed = [r.asDict() for r in pipeline.keep_quality(spark, spark.createDataFrame(made, docs.schema), str(tmp_path)).collect()]
+    assert len(passed) == len(made)
+
+    of_text = {}
+    for r in passed:
+        old = of_text.setdefault(lower(r["text"]), r)
+        if (r["doc_id"] is not None, r["doc_id"]) > (old["doc_id"] is not None, old["doc_id"]):
+            of_text[lower(r["text"])] = r
+    want, left = [], []
+    for r in of_text.values():
+        w = lower(r["text"]).split()
+        (want if r["doc_id"] is None else left).append((r["doc_id"], {tuple(w[i : i + 5]) for i in range(len(w) - 4)}))
+    while left:
+        group = [left.pop()]
+        for one in group:
+            found = [x for x in left if 10 * len(x[1] & one[1]) >= 8 * len(x[1] | one[1])]
+            group += found
+            left = [x for x in left if x not in found]
+        want.append(min(group, key=lambda x: x[0]))
+    want = collections.Counter(i for i, _ in want)
+
+    here = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in pipeline.STAGES[:-1]:
+        here = stage(spark, here, str(tmp_path)).cache()
+    kept = here.collect()
+    assert collections.Counter(r["doc_id"] for r in kept) == want
+    packed, t = collections.Counter(), tokenizer()
+    for r in pipeline.run(spark, str(tmp_path)).collect():
+        packed[r["doc_id"]] += r["length"]
+    tokens = collections.Counter()
+    for r in kept:
+        tokens[r["doc_id"]] += len(t.encode(r["text"], add_special_tokens=False).ids) + 1
+    assert packed.keys() == tokens.keys() and sum(packed.values()) == pytest.approx(sum(tokens.values()), abs=2)
