@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from wealthspark import catalog
+from wealthspark.fixtures import table, view
 from wealthspark.functions import geo, wealth
 from wealthspark.operators import features, metrics, relocate, sampling, spatial, stats, survey, tables
 from wealthspark.sources import files
@@ -180,3 +182,11 @@ def test_stream_and_table_agree(spark, tmp_path):
     files.append_json(rows, f"{tmp_path}/in")
     answers.serve(answers.arriving(spark, f"{tmp_path}/in"), "served_case", f"{tmp_path}/state", once=True).awaitTermination()
     assert values(spark.table("served_case"), "place_id", "active_users", "answers") == [(1, 3.0, 2)]
+
+
+def test_every_order_is_a_segment(spark, data):
+    orders = {r[0] for r in table(spark, data, "orders").select("o_orderkey").collect()}
+    assert {r[0] for r in view(spark, data, "fx_segment").select("seg_id").collect()} == orders
+    places = {r[0] for r in view(spark, data, "fx_place").select("place_id").collect()}
+    got = {r[0] for r in catalog.QUERIES["SC6_point_to_segment"](spark, data).select("place_id").collect()}
+    assert got <= places & orders and len(got) > 0.9 * len(places & orders)  # a segment without length has no distance

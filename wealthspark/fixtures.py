@@ -53,7 +53,7 @@ VIEWS: dict[str, str] = {
  CAST(-1 AS DOUBLE) + CAST((o_orderkey * 2796203) % 100049 AS DOUBLE) / CAST(100049 AS DOUBLE) AS lat1,
  CAST(29 AS DOUBLE) + CAST((o_orderkey * 6700417) % 100043 AS DOUBLE) / CAST(100043 AS DOUBLE) + CAST((o_orderkey * 131) % 41 - 20 AS DOUBLE) / CAST(500 AS DOUBLE) AS lon2,
  CAST(-1 AS DOUBLE) + CAST((o_orderkey * 2796203) % 100049 AS DOUBLE) / CAST(100049 AS DOUBLE) + CAST((o_orderkey * 137) % 37 - 18 AS DOUBLE) / CAST(500 AS DOUBLE) AS lat2
- FROM orders WHERE o_orderkey % 10 = 0""",
+ FROM orders""",
     "fx_poi": """SELECT CAST(p_partkey AS BIGINT) AS poi_id, p_type AS amenity,
  CAST(29 AS DOUBLE) + CAST((p_partkey * 6291469) % 100057 AS DOUBLE) / CAST(100057 AS DOUBLE) AS lon,
  CAST(-1 AS DOUBLE) + CAST((p_partkey * 12582917) % 100069 AS DOUBLE) / CAST(100069 AS DOUBLE) AS lat FROM part""",
