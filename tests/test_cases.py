@@ -190,3 +190,9 @@ def test_every_order_is_a_segment(spark, data):
     places = {r[0] for r in view(spark, data, "fx_place").select("place_id").collect()}
     got = {r[0] for r in catalog.QUERIES["SC6_point_to_segment"](spark, data).select("place_id").collect()}
     assert got <= places & orders and len(got) > 0.9 * len(places & orders)  # a segment without length has no distance
+
+
+def test_transfer_takes_all_ordered_pairs(spark, data):
+    countries = {r[0] for r in view(spark, data, "fx_place").select("ccode").collect()}
+    got = {tuple(r) for r in catalog.QUERIES["ML7_transfer"](spark, data).select("source", "target").collect()}
+    assert got == {(a, b) for a in countries for b in countries if a != b}

@@ -402,8 +402,8 @@ def ml6(spark, d):
 @query("ML7_transfer")
 def ml7(spark, d):
     m = matrix(spark, d)
-    fitted = {c: models.fit(m.filter(F.col("ccode") == c), SMALL) for c in ("C0", "C1")}
-    return rounded(models.transfers(fitted, m.filter(F.col("ccode").isin("C0", "C1"))))
+    countries = sorted(r[0] for r in m.select("ccode").distinct().collect())
+    return rounded(models.transfers({c: models.fit(m.filter(F.col("ccode") == c), SMALL) for c in countries}, m))
 
 
 @query("AG49_importance")
