@@ -27,12 +27,34 @@ def written(spark: SparkSession, df: DataFrame, compression: str = "zstd") -> Da
 
     The table goes when the session's file system closes.
     """
+    return _written(spark, df, compression)[0]
+
+
+def _written(spark: SparkSession, df: DataFrame, compression: str) -> tuple[DataFrame, str]:
     path = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+class Tables:
+    """Tables that one operator writes in the shared folder; those that nothing reads any more are dropped before the session ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, compression: str = "zstd") -> DataFrame:
+        out, path = _written(self.spark, df, compression)
+        self.paths[out] = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables (as ``write`` gave them) whose readers have all been written themselves."""
+        for table in tables:
+            at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.paths.pop(table))
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def partitions(spark: SparkSession) -> int:
