@@ -23,16 +23,16 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
 #: Least bits per character in some window, by the characters that the candidate uses.
 LEAST_BITS = {"hex": 3.0, "alphanumeric": 3.7, "base64": 3.7, "letters": 4.0}
-#: What looks random but is known to be harmless: identifiers, numbers, paths, placeholders, words joined by marks.
+#: What looks random but is known to be harmless: identifiers, numbers, paths, words joined by marks. No part can match one text in two
+#: ways, so each takes time in proportion to the candidate.
 ALLOWED = re.compile(
     r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}"
     r"|[0-9+/_=-]+"
-    r"|[A-Z]?[a-z]+(?:[-_/=+]+[A-Z]?[a-z]+)*[0-9]{0,4}"
-    r"|[A-Z]+(?:[-_/=+]+[A-Z]+)*[0-9]{0,4}"
+    r"|[A-Za-z]+(?:[-_/=+]+[A-Za-z]+)*[0-9]{0,4}"
     r"|(?:[A-Za-z]{1,15}[0-9]{0,2}[-_/=+]+){2,}[A-Za-z]{0,15}[0-9]{0,4}"
-    r"|.*(?:example|placeholder|xxxxxx|000000|123456789|abcdefgh).*",
-    re.IGNORECASE | re.ASCII,
 )
+#: Strings whose presence marks a placeholder.
+PLACEHOLDERS = ("example", "placeholder", "xxxxxx", "000000", "123456789", "abcdefgh")
 _PART = [0.0] + [n / WINDOW * math.log2(WINDOW / n) for n in range(1, WINDOW + 1)]
 
 
@@ -69,11 +69,14 @@ def looks_random(text: str) -> bool:
             return False
     elif not (re.search("[0-9]", text) and re.search("[A-Za-z]", text)) or ALLOWED.fullmatch(text):
         return False
+    low = text.lower()
+    if any(p in low for p in PLACEHOLDERS):
+        return False
     return most_entropy(text) >= LEAST_BITS[kind]
 
 
 def find(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind's number, end) in order; offsets in code points. An entropy span never overlaps a written form."""
+    """(start, kind's number, end) in order; offsets in code points. Entropy judges every candidate, also those in or around a written form."""
     out = []
     low = text.lower()
     if any(h in low for h in ASSIGN_HINTS):
@@ -83,7 +86,7 @@ def find(text: str) -> list[tuple[int, int, int]]:
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text, start, end)]
         out += [(m.start(), 2, m.end()) for m in HEX.finditer(text, start, end)]
     for start, end in runs:
-        if not any(s < end and start < e for s, _, e in out if _ < 3) and looks_random(text[start:end]):
+        if looks_random(text[start:end]):
             out.append((start, 3, end))
     return sorted(out)
 
