@@ -5,7 +5,7 @@ coordinates; deeper nodes pick two coordinates each by a hash of their path. Sim
 again: a pair at the threshold that branches for ever is missed by a tree with a chance of 1/16 and by three trees once in 4000, while
 less similar pairs part. Small nodes are compared exhaustively by sketches of 256 minwise bytes. A large node is first dealt in parts, each with some
 members that all parts share. Only the most alike pair of each document is confirmed at first; what then is one component needs no more
-pairs. A large node whose documents are mostly one component is settled by comparing the others with all, any other node branches
+pairs. A large node is settled by comparing the documents outside its largest component with all, if that takes few cells; else it branches
 again. Pairs that still join two components are confirmed on full sets where they lie together, and only links leave that task.
 """
 
@@ -28,9 +28,10 @@ from .words import joined, mix, word_numbers
 COORDINATES, SKETCH = 64, 256
 TREES = 3
 #: Nodes up to this size are compared exhaustively; larger ones are dealt in parts of about this size, each with so many shared members.
-SMALL, LEADERS = 1024, 32
-#: A large node does not branch if its documents outside the largest component are no more than a block, or than this share of it and so many blocks.
-BLOCK, FEW, BLOCKS = 256, 0.25, 16
+SMALL, LEADERS = 2048, 32
+#: A large node does not branch if its documents outside the largest component are no more than a block, or if its parts times their blocks
+#: are no more than this.
+BLOCK, CELLS = 512, 64
 #: At this depth the documents outside the largest component are compared with all others of the node, however many they are.
 DEEPEST = 6
 #: Standard deviations below the expected number of equal coordinates at which a pair is not looked at further.
@@ -399,8 +400,8 @@ def linked(tables: Tables, signs: DataFrame, same: DataFrame, docs: DataFrame, k
         shares = many.groupBy("node", "group").agg(F.count(F.lit(1)).alias("n")).groupBy("node")
         shares = shares.agg(F.sum("n").alias("n"), F.max(F.struct("n", "group")).alias("main"))
         shares = shares.select("node", F.col("main.group").alias("main"), F.col("n"), (F.col("n") - F.col("main.n")).alias("others")).filter("others > 0")
-        ends = (F.col("others") <= BLOCK) | ((F.col("others") <= F.col("n") * FEW) & (F.col("others") <= BLOCK * BLOCKS)) | F.lit(depth == deepest)
-        shares = shares.withColumns({"ends": ends, "parts": n_parts, "blocks": F.ceil(F.col("others") / BLOCK).cast("int")})
+        shares = shares.withColumns({"parts": n_parts, "blocks": F.ceil(F.col("others") / BLOCK).cast("int")})
+        shares = shares.withColumn("ends", (F.col("blocks") <= 1) | (F.col("parts") * F.col("blocks").cast("long") <= CELLS) | F.lit(depth == deepest))
         many = tables.write(many.join(shares, "node"))
         last = many.filter("ends")
         part, block = F.pmod(F.xxhash64("rep"), "parts").cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), "blocks").cast("int")
