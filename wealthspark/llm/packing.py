@@ -1,10 +1,11 @@
 """Best-fit packing of token pieces by a configuration linear program over the histogram of their lengths.
 
 A configuration is a multiset of lengths that fits a sequence. The program (fewest configurations that cover every length's count)
-is solved by multiplicative weights: each step prices the lengths, finds the dearest configuration by a knapsack
-dynamic program, takes as much of it as its scarcest length allows and lowers the prices of what it covered. The
-solution is rounded down, and what is left is packed best fit, longest first, again by counts. All of this works on at
-most ``capacity`` counts, whatever the corpus.
+is solved by multiplicative weights: each step prices the lengths, a knapsack dynamic program gives the dearest configuration and, for each
+length, the dearest that holds it; those within a small share of the dearest are taken as often as their scarcest length
+allows, and the prices of what they cover fall. The steps end when the cover is within a stated gap of the prices' lower bound. The
+solution is rounded in the order of its weights while the counts last, and what is left is packed best fit, longest first, into what
+room there is. All of this works on at most ``capacity`` counts, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -25,64 +26,85 @@ from .shared import partitions, written
 
 CAPACITY = 2048
 END = 0
-#: Steps of the multiplicative weights and their rate. More steps bring the program nearer to its optimum; every length is packed all the same.
-STEPS, RATE = 500, 0.5
-#: Shares of the fractional solution that are tried as the rounding's start; the rounding with the fewest sequences is taken.
-PARTS = (1.0, 0.95, 0.9, 0.8, 0.65, 0.5, 0.35, 0.2, 0.1)
+#: The rate at which prices fall, the gap between cover and bound at which the steps end, and the most steps: fewer only leave a wider gap,
+#: every length is packed all the same.
+RATE, GAP, STEPS = 0.1, 0.01, 6
+#: Programs that are tried: the share of all tokens, in the shortest lengths, that is left out of the program to fill its sequences up; the share
+#: of the dearest value that a configuration may be below it; and the share of the rounded sequences that is kept.
+TRIED = ((0.02, 1e-9, 1.0), (0.05, 1e-9, 1.0), (0.1, 1e-9, 1.0), (0.02, 0.0005, 1.0), (0.02, 0.004, 0.75), (0.05, 0.004, 0.75))
 
 Configurations = list[tuple[tuple[tuple[int, int], ...], int]]  # ((length, times), ...), how many sequences
 
 
-def dearest(prices: np.ndarray, capacity: int) -> dict[int, int]:
-    """The configuration of the largest total price: unbounded knapsack over lengths 1 to ``capacity``; -inf: not to be used."""
-    best, taken = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    back = np.zeros(capacity + 1)  # best, from the right
+def knapsack(prices: np.ndarray, capacity: int) -> np.ndarray:
+    """The largest total price within each room up to ``capacity``, any length any number of times. Prices of -inf are not used."""
+    best = np.zeros(capacity + 1)
+    lengths = np.flatnonzero(prices > -np.inf)
+    worth, upto = prices[lengths], np.searchsorted(lengths, np.arange(capacity + 1), "right").tolist()
     for c in range(1, capacity + 1):
-        with_item = prices[1 : c + 1] + back[capacity + 1 - c :]
-        k = int(with_item.argmax())
-        if with_item[k] > best[c - 1]:
-            best[c], taken[c] = with_item[k], k + 1
-        else:
-            best[c] = best[c - 1]
-        back[capacity - c] = best[c]
-    out: dict[int, int] = defaultdict(int)
-    c = capacity
-    while c > 0:
-        if taken[c]:
-            out[int(taken[c])] += 1
-            c -= int(taken[c])
-        else:
-            c -= 1
-    return dict(out)
-
-
-def fractional(counts: np.ndarray, capacity: int, steps: int = STEPS, rate: float = RATE) -> dict[tuple[tuple[int, int], ...], float]:
-    """Configurations and how often each is used, a fractional cover scaled to the total length of the items."""
-    lengths = np.arange(capacity + 1)
-    used = counts > 0
-    prices = np.where(used, lengths / capacity, -np.inf)
-    cover, found = np.zeros(capacity + 1), defaultdict(float)
-    for _ in range(steps):
-        if not used.any() or (cover[used] >= 1).all():
+        best[c] = max(best[c - 1], (worth[: upto[c]] + best[c - lengths[: upto[c]]]).max(initial=0.0))
+    return best
+
+
+def dear(prices: np.ndarray, best: np.ndarray, left: np.ndarray, start: int, room: int, slack: float) -> dict[int, int]:
+    """A configuration of length ``start`` and more, less than ``slack`` below the dearest: at each room the length of which most is left."""
+    out, lengths = {start: 1}, np.flatnonzero(left > 0)
+    room -= start
+    while room > 0:
+        lengths = lengths[: int(np.searchsorted(lengths, room, "right"))]
+        loss = best[room] - prices[lengths] - best[room - lengths]
+        good = lengths[loss <= slack]
+        if not len(good):
             break
-        chosen = dearest(prices, capacity)
-        if not chosen:
+        n = int(good[(left[good] * good).argmax()])
+        if out.get(n, 0) >= left[n]:
+            lengths = lengths[lengths != n]
+            continue
+        slack -= max(0.0, best[room] - prices[n] - best[room - n])
+        out[n] = out.get(n, 0) + 1
+        room -= n
+    return out
+
+
+def fractional(counts: np.ndarray, capacity: int, near: float, steps: int = STEPS, rate: float = RATE, gap: float = GAP) -> tuple[dict[tuple[tuple[int, int], ...], float], float]:
+    """Configurations and how often each is used to cover all counts, and a lower bound of any cover's size."""
+    lengths, used = np.arange(capacity + 1), counts > 0
+    prices = np.where(used, lengths / capacity, -np.inf)
+    cover, found, bound = np.zeros(capacity + 1), defaultdict(float), 0.0
+    for _ in range(steps if used.any() else 0):
+        best = knapsack(prices, capacity)
+        top = best[capacity]
+        bound = max(bound, float((counts * np.where(used, prices, 0)).sum()) / top)
+        value = np.where(used, prices + best[capacity - lengths], -np.inf)
+        left = counts.astype(np.int64).copy()
+        for n in sorted(np.flatnonzero(value >= (1 - near) * top).tolist(), reverse=True):
+            while left[n] > 0:
+                chosen = dear(prices, best, left, n, capacity, value[n] - (1 - near) * top)
+                if sum(prices[m] * k for m, k in chosen.items()) < (1 - near) * top:
+                    break
+                share = min(int(left[m]) // k for m, k in chosen.items())
+                found[tuple(sorted(chosen.items(), reverse=True))] += share
+                for m, k in chosen.items():
+                    left[m] -= share * k
+        fresh = np.where(used, 1 - left / np.maximum(counts, 1), 0)
+        cover += fresh
+        prices[used] *= np.exp(-rate * fresh[used])
+        prices[used] /= prices[used].max()
+        least = cover[used].min()
+        if least > 0 and sum(found.values()) / least <= (1 + gap) * bound:
             break
-        share = min(counts[n] / k for n, k in chosen.items())
-        found[tuple(sorted(chosen.items(), reverse=True))] += share
-        for n, k in chosen.items():
-            part = share * k / counts[n]
-            cover[n] += part
-            prices[n] *= np.exp(-rate * part)
-    total = sum(x * sum(n * k for n, k in config) for config, x in found.items())
-    whole = float((counts * lengths).sum())
-    return {config: x * min(1.0, whole / total) for config, x in found.items()} if total else {}
-
-
-def best_fit(counts: np.ndarray, capacity: int) -> Configurations:
-    """Best fit, longest first, on counts: bins with the same content move together."""
+    least = cover[used].min() if used.any() else 0.0
+    return {config: x / (least or 1.0) for config, x in found.items()}, bound
+
+
+def best_fit(counts: np.ndarray, capacity: int, begun: Configurations = ()) -> Configurations:
+    """Best fit, longest first, on counts, also into the rooms of sequences that are begun: bins with the same content move together."""
     bins: dict[int, dict[tuple[int, ...], int]] = defaultdict(lambda: defaultdict(int))  # free room -> content -> bins
     room = np.zeros(capacity + 1, bool)
+    for config, number in begun:
+        free = capacity - sum(n * k for n, k in config)
+        bins[free][tuple(n for n, k in config for _ in range(k))] += number
+        room[free] = True
     for n in range(capacity, 0, -1):
         left = int(counts[n])
         while left:
@@ -112,25 +134,48 @@ def best_fit(counts: np.ndarray, capacity: int) -> Configurations:
     return sorted(out)
 
 
-def rounded(counts: np.ndarray, capacity: int, solution: dict[tuple[tuple[int, int], ...], float], part: float) -> Configurations:
-    """``part`` of the solution, rounded down; best fit for what that leaves."""
+def rounded(counts: np.ndarray, capacity: int, solution: dict[tuple[tuple[int, int], ...], float], part: float = 1.0) -> tuple[Configurations, np.ndarray]:
+    """Whole numbers of the solution's configurations, by weight and each at least once while its lengths last, the first ``part`` of
+    them; the counts that are left."""
     left, out = counts.copy(), []
     for config, x in sorted(solution.items(), key=lambda c: (-c[1], c[0])):
-        number = min(int(part * x), *(int(left[n]) // k for n, k in config))
+        number = min(max(1, int(x)), *(int(left[n]) // k for n, k in config))
         if number > 0:
             out.append((config, number))
             for n, k in config:
                 left[n] -= number * k
-    return out + best_fit(left, capacity)
+    most = part * sum(number for _, number in out)
+    before = np.cumsum([0, *(number for _, number in out)])[:-1]
+    for config, number in (x for x, n in zip(out, before) if n >= most):
+        for n, k in config:
+            left[n] += number * k
+    return [x for x, n in zip(out, before) if n < most], left
 
 
-def configurations(counts: np.ndarray, capacity: int = CAPACITY) -> Configurations:
-    """Configurations that use every item once, by the best of some roundings. ``counts[n]``: items of length n."""
+def planned(counts: np.ndarray, capacity: int) -> tuple[Configurations, int]:
+    """Configurations that use every item once, and how many of the sequences are the program's.
+
+    Each program of ``TRIED`` is filled up best fit. The fewest sequences win, then the most from the program; best fit alone is
+    taken only where every program needs more.
+    """
     left = counts.astype(np.int64).copy()
     full: Configurations = [(((capacity, 1),), int(left[capacity]))] if left[capacity] else []
     left[capacity] = 0
-    solution = fractional(left.astype(float), capacity)
-    return full + min((rounded(left, capacity, solution, part) for part in PARTS), key=lambda plan: sum(number for _, number in plan))
+    sequences = lambda plan: sum(number for _, number in plan)
+    plans = [(best_fit(left, capacity), 0)]
+    tokens = np.cumsum(left * np.arange(capacity + 1))
+    for share, near, part in TRIED if tokens[-1] else ():
+        inside = left.copy()
+        inside[: int(np.searchsorted(tokens, share * tokens[-1]))] = 0
+        begun, rest = rounded(inside, capacity, fractional(inside.astype(float), capacity, near)[0], part)
+        plans.append((best_fit(rest + left - inside, capacity, begun), sequences(begun)))
+    plan, of_program = min(plans, key=lambda x: (sequences(x[0]), -x[1]))
+    return full + plan, of_program
+
+
+def configurations(counts: np.ndarray, capacity: int = CAPACITY) -> Configurations:
+    """Configurations that use every item once. ``counts[n]``: items of length n."""
+    return planned(counts, capacity)[0]
 
 
 def layout(plan: Configurations) -> dict[str, np.ndarray]:
