@@ -225,8 +225,34 @@ def test_configurations_use_every_item():
             used[a] += b * n
     bound = max(math.ceil((counts * np.arange(201)).sum() / 200), counts[101:].sum())  # no two items over one half share a sequence
     assert (used == counts).all() and sum(n for _, n in plan) <= 1.01 * bound
-    best = packing.dearest(np.array([-np.inf, -np.inf, 3.0, 5.0, -np.inf, 8.0]), 5)
-    assert sum(a * b for a, b in best.items()) <= 5 and best in ({2: 1, 3: 1}, {5: 1})
+    assert packing.knapsack(np.array([-np.inf, -np.inf, 3.0, 5.0, -np.inf, 8.0]), 5).tolist() == [0, 0, 3, 5, 6, 8]
+
+
+def test_program_carries_the_packing():
+    """At production size: most sequences are the program's, no more than best fit alone needs, and the bound is a bound."""
+    r = np.random.default_rng(1)
+    capacity = packing.CAPACITY
+    for items, share in ((np.clip(r.lognormal(5.5, 1, 20_000).astype(int), 1, capacity), 0.6), (r.integers(1, capacity, 50_000), 0.3)):
+        counts = np.bincount(items, minlength=capacity + 1)
+        plan, of_program = packing.planned(counts, capacity)
+        alone = sum(n for _, n in packing.best_fit(counts, capacity))
+        needed = sum(n for _, n in plan)
+        used = np.zeros(capacity + 1, int)
+        for config, n in plan:
+            assert sum(a * b for a, b in config) <= capacity
+            for a, b in config:
+                used[a] += b * n
+        assert (used == counts).all() and needed <= alone and of_program >= share * needed
+        counts[capacity] = 0
+        assert packing.fractional(counts.astype(float), capacity, 0.01)[1] <= needed + 1e-6
+
+
+def test_text_of_a_million_characters():
+    """Texts on both sides of the length at which another encoder takes over get the library's ids."""
+    p, t = packing.Tokens(bpe.vocabulary(vocabulary_path())), tokenizer()
+    for n in (packing.Tokens.LONG - 3, packing.Tokens.LONG + 5):
+        text = ("Word É, 12's <|endoftext|> " * (n // 20 + 1))[:n]
+        assert np.frombuffer(p.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
 def entropy(s):
@@ -245,6 +271,52 @@ def test_secrets(spark, docs, empty):
     assert "abcdef123456" not in secret_scan.redacted(df).filter("doc_id = 1").first()["text"]
 
 
+def test_secret_scan_is_linear():
+    import time
+
+    for slug in ("ab-" * 5000 + "12345678", "Ab12-" * 5000 + "x" * 20 + "12345678", "aB" * 5000 + "-" * 5000 + "1!"):
+        start = time.perf_counter()
+        secret_scan.find(slug)
+        assert time.perf_counter() - start < 1
+
+
+def test_base_spans_by_the_written_patterns(spark, data):
+    """The registered query on all documents: each kind by its own pattern, one pass each, without the operator's shortcuts."""
+    from wealthspark.llm.queries import op6_secrets
+
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
+    kinds = (("assign", assign, 2, 6), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile("[0-9a-f]+"), 0, 24))
+    got = rows(op6_secrets(spark, data))
+    for r in spark.read.parquet(f"{data}/documents.parquet").collect():
+        spans = []
+        for k, (kind, pattern, part, least) in enumerate(kinds):
+            spans += [(m.start(), k, m.end(), kind) for m in pattern.finditer(r["text"] or "") if m.end(part) - m.start(part) >= least]
+        found = got[r["doc_id"]]
+        assert [found[f"n_{k[0]}"] for k in kinds] == [sum(s[3] == k[0] for s in spans) for k in kinds]
+        base = ",".join(f"{kind}:{s}:{e}" for s, _, e, kind in sorted(spans))
+        assert found["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+        assert set(base.split(",")) - {""} <= set(found["spans"].split(","))
+
+
+def test_planted_secrets(spark, data):
+    """Random strings of each class among the documents' words: recall, and precision on documents without any."""
+    import string
+
+    r = random.Random(5)
+    classes = {"base64": string.ascii_letters + string.digits + "+/", "alphanumeric": string.ascii_letters + string.digits, "lower": string.ascii_lowercase + string.digits, "upper hex": "0123456789ABCDEF", "letters": string.ascii_letters}
+    plain = [x["text"] for x in spark.read.parquet(f"{data}/documents.parquet").collect() if x["text"] and not secret_scan.find(x["text"])]
+    for name, letters in classes.items():
+        caught = 0
+        for text in plain[:200]:
+            words = text.split(" ")
+            secret = "".join(r.choice(letters) for _ in range(40))
+            words.insert(r.randrange(len(words) + 1), secret)
+            caught += secret in {" ".join(words)[s:e] for s, k, e in secret_scan.find(" ".join(words)) if k == 3}
+        assert caught >= 0.9 * len(plain[:200]), (name, caught)
+    harmless = ["123e4567-e89b-12d3-a456-426614174000", "a-long-slug-of-many-words-2024", "/usr/local/share/applications/list", "2024-01-31/2025-02-28/0001", "EXAMPLE0000EXAMPLE1111KEY", "thisisonelongplainword", "CamelCaseNamesOfThings", "path/to/file_v2/other_part_3"]
+    assert not [x for x in harmless if secret_scan.find(x)]
+
+
 def test_incremental_entropy():
     r = random.Random(2)
     for _ in range(50):

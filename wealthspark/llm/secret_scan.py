@@ -49,13 +49,13 @@ def most_entropy(text: str, window: int = WINDOW) -> float:
     counts: dict[str, int] = {}
     bits = most = 0.0
     for k, c in enumerate(text):
-        n = counts.get(c, 0)
-        counts[c] = n + 1
-        bits += _PART[n + 1] - _PART[n]
         if k >= window:
             n = counts[text[k - window]]
             counts[text[k - window]] = n - 1
             bits += _PART[n - 1] - _PART[n]
+        n = counts.get(c, 0)
+        counts[c] = n + 1
+        bits += _PART[n + 1] - _PART[n]
         if k >= window - 1 and bits > most:
             most = bits
     return most
