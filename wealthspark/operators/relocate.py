@@ -84,6 +84,12 @@ def within_allowance(df: DataFrame, id: str = "cluster_id", rural: str = "rural"
     return out.withColumns(reset | {distance: F.when(F.col("back"), 0.0).otherwise(F.col(distance))}).drop("back")
 
 
+def distance_distribution(df: DataFrame, rural: str = "rural", distance: str = "pplace_cluster_distance", width: float = 1000.0, bins: int = 10) -> DataFrame:
+    """REL5: by settlement, how many rows moved so far: bins of ``width`` metres, the last one open; count and mean of each."""
+    bin = F.least(F.floor(F.col(distance) / width), F.lit(bins - 1)).cast("int").alias("bin")
+    return df.groupBy(rural, bin).agg(F.count(F.lit(1)).alias("n"), F.avg(distance).alias("mean"))
+
+
 def grouped(df: DataFrame, keys: list[str], targets: tuple[str, ...] = ("mean_wi", "std_wi")) -> DataFrame:
     """REL4: means of the targets per place; missing keys are one group."""
     return df.groupBy(*keys).agg(*[F.avg(t).alias(t) for t in targets], F.count(F.lit(1)).alias("n"))

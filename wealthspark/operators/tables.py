@@ -49,10 +49,12 @@ def matrix(df: DataFrame, names: list[str], to: str = "features", vector: str |
     return VectorAssembler(inputCols=inputs, outputCol=to).transform(df).drop("_vector")
 
 
-def feature_counts(spark: SparkSession, columns: list[str]) -> DataFrame:
-    """AG24: the number of features of each source, from the schema."""
-    rows = spark.createDataFrame([(c, source_of(c)) for c in feature_names(columns)], "feature string, source string")
-    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+def feature_counts(df: DataFrame, ids: list[str]) -> DataFrame:
+    """AG24: of each source the number of features that ``df`` has, and of values that are there, in one pass over the rows."""
+    names = feature_names([c for c in df.columns if c not in ids])
+    counted = df.agg(*[F.count(c).alias(c) for c in names])
+    rows = counted.select(F.explode(F.array(*[F.struct(F.lit(source_of(c)).alias("source"), F.col(c).alias("n_values")) for c in names])).alias("f"))
+    return rows.groupBy("f.source").agg(F.count(F.lit(1)).alias("n"), F.sum("f.n_values").alias("n_values"))
 
 
 def grid(df: DataFrame, **lists: list) -> DataFrame:

@@ -112,19 +112,24 @@ def rel1(spark, d):
     return rounded(relocate.relocate(survey_clusters(spark, d), towns(spark, d), "ruc").select("cluster_id", "OSMID", "pplace_cluster_distance"), 3)
 
 
-@query("REL3_allowance", """WITH b AS (SELECT place_id, rural, std_wi * 1000 AS d, std_wi * 1000 > CASE rural WHEN 0 THEN 2000 ELSE 5000 END AS beyond FROM fx_place),
-k AS (SELECT place_id, row_number() OVER (PARTITION BY rural ORDER BY (place_id * 7919 + 0) % 100003, place_id) AS k FROM b WHERE beyond), n AS (SELECT rural, round(count(*) * CASE rural WHEN 0 THEN 0.0 ELSE 0.01 END) AS may FROM fx_place GROUP BY rural)
-SELECT b.place_id, round(CASE WHEN k.k > n.may THEN 0.0 ELSE b.d END, 6) AS distance FROM b JOIN n ON b.rural = n.rural LEFT JOIN k ON b.place_id = k.place_id""")
-def rel3(spark, d):
+ALLOWED = """b AS (SELECT place_id, rural, std_wi * 1000 AS d, std_wi * 1000 > CASE rural WHEN 0 THEN 2000 ELSE 5000 END AS beyond FROM fx_place),
+k AS (SELECT place_id, row_number() OVER (PARTITION BY rural ORDER BY (place_id * 7919 + 0) % 100003, place_id) AS k FROM b WHERE beyond), n AS (SELECT rural, round(count(*) * CASE rural WHEN 0 THEN 0.0 ELSE 0.01 END) AS may FROM fx_place GROUP BY rural),
+allowed AS (SELECT b.place_id, b.rural, CASE WHEN k.k > n.may THEN 0.0 ELSE b.d END AS distance FROM b JOIN n ON b.rural = n.rural LEFT JOIN k ON b.place_id = k.place_id)"""
+
+
+def allowed(spark, d) -> DataFrame:
     p = place(spark, d).select("place_id", "rural", (F.col("std_wi") * 1000).alias("distance"))
-    return rounded(relocate.within_allowance(p, "place_id", "rural", "distance", order=shuffled()).select("place_id", "distance"))
+    return relocate.within_allowance(p, "place_id", "rural", "distance", order=shuffled())
+
+
+@query("REL3_allowance", f"WITH {ALLOWED} SELECT place_id, round(distance, 6) AS distance FROM allowed")
+def rel3(spark, d):
+    return rounded(allowed(spark, d).select("place_id", "distance"))
 
 
-@query("SO5_random_revert", "SELECT rural, count(*) AS beyond FROM fx_place WHERE std_wi * 1000 > CASE rural WHEN 0 THEN 2000 ELSE 5000 END GROUP BY rural HAVING rural > 5 UNION ALL SELECT 1, CAST(round(count(*) * 0.01) AS BIGINT) FROM fx_place WHERE rural = 1")
+@query("SO5_random_revert", f"WITH {ALLOWED} SELECT place_id, rural, round(distance, 6) AS distance FROM allowed WHERE distance > CASE rural WHEN 0 THEN 2000 ELSE 5000 END")
 def so5(spark, d):
-    p = place(spark, d).select("place_id", "rural", (F.col("std_wi") * 1000).alias("distance"))
-    kept = relocate.within_allowance(p, "place_id", "rural", "distance", seed=3)
-    return kept.filter(F.col("distance") > F.when(F.col("rural") == 0, 2000).otherwise(5000)).groupBy("rural").agg(F.count(F.lit(1)).alias("beyond"))
+    return rounded(allowed(spark, d).filter(F.col("distance") > F.when(F.col("rural") == 0, 2000).otherwise(5000)))
 
 
 @query("REL4_grouped", "SELECT osmid, round(avg(mean_wi), 6) AS mean_wi, round(avg(std_wi), 6) AS std_wi, count(*) AS n FROM (SELECT *, CASE WHEN place_id % 5 <> 0 THEN place_id % 50 END AS osmid FROM fx_place) GROUP BY osmid")
@@ -132,9 +137,9 @@ def rel4(spark, d):
     return rounded(relocate.grouped(place(spark, d).withColumn("osmid", F.expr("CASE WHEN place_id % 5 <> 0 THEN place_id % 50 END")), ["osmid"]))
 
 
-@query("REL5_distance_distribution", "SELECT rural, CAST(least(9, floor(std_wi)) AS INT) AS bin, count(*) AS n FROM fx_place GROUP BY 1, 2")
+@query("REL5_distance_distribution", f"WITH {ALLOWED} SELECT rural, CAST(least(9, floor(distance / 1000)) AS INT) AS bin, count(*) AS n, round(avg(distance), 6) AS mean FROM allowed GROUP BY 1, 2")
 def rel5(spark, d):
-    return place(spark, d).groupBy("rural", F.least(F.lit(9), F.floor("std_wi")).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return rounded(relocate.distance_distribution(allowed(spark, d), distance="distance"))
 
 
 EDGES = """s AS (SELECT start_node, end_node, dayname(date_time) AS d, strftime(date_time, '%H:%M') AS t, coalesce(n_baseline, 1) AS v, length_km FROM fx_move),
@@ -176,8 +181,9 @@ def gx9(spark, d):
 
 @query("GX8_mobility_features")
 def gx8(spark, d):
-    spots = points(spark, d, "fx_place").filter("place_id < 40").select(F.col("place_id").alias("node"), "x", "y")
-    return rounded(features.mobility(points(spark, d, "fx_place"), features.edge_weights(view(spark, d, "fx_move")), spots))
+    edges = features.edge_weights(view(spark, d, "fx_move"))
+    spots = points(spark, d, "fx_place").select(F.col("place_id").alias("node"), "x", "y").join(features.nodes(edges).select("node"), "node", "left_semi")
+    return rounded(features.mobility(points(spark, d, "fx_place"), edges, spots))
 
 
 ANSWERS = "(SELECT place_id, profile, avg(coalesce(users, (users_lower_bound + users_upper_bound) / 2, (mau_lower_bound + mau_upper_bound) / 2)) AS active_users, count(*) AS answers FROM fx_answer GROUP BY place_id, profile)"
@@ -220,11 +226,19 @@ def ag46(spark, d):
     return rounded(made.fillna(0.0), 3)
 
 
-@query("AG42_zonal_pixels", f"SELECT p.place_id, count(*) AS n, round(median(t.population), 9) AS median FROM {xy('fx_place')} p JOIN {xy('fx_tile')} t ON t.x BETWEEN p.x - 2000 AND p.x + 2000 AND t.y BETWEEN p.y - 2000 AND p.y + 2000 GROUP BY p.place_id")
+@query(
+    "AG42_zonal_pixels",
+    f"""WITH r AS (SELECT p.place_id, t.population AS v FROM {xy('fx_place')} p LEFT JOIN {xy('fx_tile')} t ON t.x BETWEEN p.x - 2000 AND p.x + 2000 AND t.y BETWEEN p.y - 2000 AND p.y + 2000),
+    e AS (SELECT place_id, quantile_cont(v, 0.33) AS p33, quantile_cont(v, 0.66) AS p66 FROM r GROUP BY place_id)
+    SELECT r.place_id, count(v) AS count, round(sum(v), 6) AS sum, round(min(v), 9) AS min, round(max(v), 9) AS max, round(avg(v), 9) AS mean, round(median(v), 9) AS median, round(avg(CASE WHEN v <= p33 THEN v END), 9) AS mean_low,
+    round(avg(CASE WHEN v >= p66 THEN v END), 9) AS mean_high, round(count(CASE WHEN v >= 10 THEN 1 END) / CAST(nullif(count(v), 0) AS DOUBLE), 9) AS share_lit, round(sum(CASE WHEN v >= 10 THEN v ELSE 0 END) / nullif(sum(v), 0), 9) AS share_lit_sum
+    FROM r JOIN e ON r.place_id = e.place_id GROUP BY r.place_id""",
+)
 def ag42(spark, d):
     tiles = points(spark, d, "fx_tile").select("x", "y", F.col("population").alias("avg_rad"), F.lit(1.0).alias("area"))
     made = features.night_lights(points(spark, d, "fx_place"), tiles, halves={"2km": 2000.0})
-    return rounded(made.select("place_id", F.col("NTLL_count_2km").alias("n"), F.col("NTLL_median_2km").alias("median")), 9)
+    names = ("count", "sum", "min", "max", "mean", "median", "mean_low", "mean_high", "share_lit", "share_lit_sum")
+    return rounded(made.select("place_id", *[F.col(f"NTLL_{n}_2km").alias(n) for n in names]), 9).withColumn("sum", F.round("sum", 6))
 
 
 @query("AG3_box_counts", f"SELECT p.place_id, round(coalesce(sum(t.population), 0), 6) AS total, count(t.tile_id) AS n FROM {xy('fx_place')} p LEFT JOIN {xy('fx_tile')} t ON t.x BETWEEN p.x - 300 AND p.x + 300 AND t.y BETWEEN p.y - 300 AND p.y + 300 GROUP BY p.place_id")
@@ -299,9 +313,11 @@ def src7(spark, d):
     return files.read_json(spark, path, "event_id long, profile string")
 
 
-@query("SRC16_vectors_by_id", "SELECT vec_id, label, len(embedding) AS width FROM embeddings")
+@query("SRC16_vectors_by_id", "SELECT vec_id, label, len(embedding) AS width, round(CAST(embedding[1] AS DOUBLE), 6) AS first, round(list_sum(list_transform(list_transform(embedding, lambda e: CAST(e AS DOUBLE)), lambda e, i: e * i)), 4) AS by_place FROM embeddings")
 def src16(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", "label", F.size("embedding").cast("long").alias("width"))
+    e = F.transform("embedding", lambda v: v.cast("double"))
+    by_place = F.aggregate(F.transform(e, lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    return table(spark, d, "embeddings").select("vec_id", "label", F.size("embedding").cast("long").alias("width"), F.round(e[0], 6).alias("first"), F.round(by_place, 4).alias("by_place"))
 
 
 @query("SRC17_materialized", "SELECT ccode, count(*) AS n FROM fx_place GROUP BY ccode")
@@ -321,11 +337,14 @@ def src9(spark, d):
     return rounded(files.read_polygons(spark, path).select("name", "x0", "y1"))
 
 
-@query("SRC8_tiers", "SELECT * FROM (VALUES ('hv201', 'UG', 2016, 'low', 10), ('hv201', 'UG', 2016, 'high', 50), ('hv201', 'UG', 2018, 'low', 11)) AS t(variable, country, year, tier, code)")
+@query("SRC8_tiers", "SELECT DISTINCT 'hv201' AS variable, 'N' || CAST(s_nationkey AS VARCHAR) AS country, CAST(2016 + s_suppkey % 3 AS INT) AS year, CASE WHEN s_suppkey % 2 = 0 THEN 'low' ELSE 'high' END AS tier, CAST(s_suppkey % 40 AS INT) AS code FROM supplier")
 def src8(spark, d):
-    path = folder(spark, "tiers")
-    text = '{"UG": {"2016": {"low": [10], "high": [50]}, "2018": {"low": [11]}}}'
-    table(spark, d, "region").limit(1).select(F.lit(text).alias("value")).coalesce(1).write.text(path)
+    path, key = folder(spark, "tiers"), F.col("s_suppkey")
+    tier = F.when(key % 2 == 0, "low").otherwise("high").alias("tier")
+    codes = table(spark, d, "supplier").groupBy(F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("country"), (2016 + key % 3).cast("string").alias("year"), tier).agg(F.collect_set((key % 40).cast("int")).alias("codes"))
+    nested = lambda df, by, name, value, to: df.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(name, value))).alias(to))
+    years = nested(nested(codes, ["country", "year"], "tier", "codes", "tiers"), ["country"], "year", "tiers", "years")
+    nested(years, [], "country", "years", "all").select(F.to_json("all").alias("value")).coalesce(1).write.text(path)  # as large as the dictionary
     return files.read_tiers(spark, path, "hv201")
 
 
@@ -341,15 +360,25 @@ def learned(spark, d) -> DataFrame:
 
 
 NAMES = ["population_closest_tile", "population_in_2km", "population_in_5km"]
-SMALL = {"maxIter": 2, "maxDepth": 2}
+#: Trees and their depth in the fitted models of these queries.
+FITTED = {"maxIter": 10, "maxDepth": 5}
 
 
-@query("FE2_training_table", "SELECT p.place_id, round(p.mean_wi, 6) AS mean_wi, 3 AS width FROM fx_place p JOIN embeddings e ON p.place_id = e.vec_id")
+@query("FE2_training_table", "WITH c AS (SELECT place_id, mean_wi, CAST(trunc(mean_wi * 10 / 100) AS INT) AS s FROM fx_place), n AS (SELECT s, count(*) AS n FROM c GROUP BY s), f AS (SELECT p.place_id, " + ", ".join(f"coalesce(max(CASE WHEN a.profile = '{v}' THEN active_users END), 0) AS {v}" for v in PROFILES) + f" FROM fx_place p LEFT JOIN {ANSWERS} a ON p.place_id = a.place_id GROUP BY p.place_id) SELECT c.place_id, round(mean_wi, 6) AS mean_wi, " + ", ".join(f'round("{v}", 6) AS {v}' for v in PROFILES) + ", round(1.0 / n, 9) AS weight FROM c JOIN n ON c.s = n.s JOIN f ON c.place_id = f.place_id")
 def fe2(spark, d):
     from pyspark.ml.functions import vector_to_array
 
-    t = models.training_table(learned(spark, d).select("place_id", "mean_wi", "cluster_rural"), learned(spark, d).select("place_id", *NAMES), ["place_id"], NAMES, "wINS")
-    return rounded(t.select("place_id", "mean_wi", F.size(vector_to_array("features")).alias("width")))
+    samples = place(spark, d).select("place_id", "mean_wi", F.col("rural").alias("cluster_rural"))
+    names = [f"FBM_{v}" for v in PROFILES]
+    t = models.training_table(samples, features.audience_features(place(spark, d), view(spark, d, "fx_answer"), PROFILES), ["place_id"], names, "wINS")
+    f = vector_to_array("features")
+    return rounded(t.select("place_id", "mean_wi", *[f[k].alias(v) for k, v in enumerate(PROFILES)])).join(t.select("place_id", F.round("weight", 9).alias("weight")), "place_id")
+
+
+@query("AG24_feature_counts", f"SELECT 'FBM' AS source, CAST(4 AS BIGINT) AS n, CAST((SELECT count(active_users) FROM {ANSWERS} a JOIN fx_place p ON a.place_id = p.place_id WHERE a.profile IN ('click', 'view', 'purchase', 'error')) AS BIGINT) AS n_values UNION ALL SELECT 'OCI', 9, 9 * count(*) FROM fx_place")
+def ag24(spark, d):
+    a = features.audience_features(place(spark, d), view(spark, d, "fx_answer"), PROFILES)
+    return tables.feature_counts(a.join(features.cells(points(spark, d, "fx_place"), points(spark, d, "fx_cell")), "place_id"), ["place_id"])
 
 
 @query("FE5_scaled", "SELECT place_id, round((mean_wi - lo) / (hi - lo), 6) AS scaled FROM fx_place, (SELECT min(mean_wi) AS lo, max(mean_wi) AS hi FROM fx_place)")
@@ -367,48 +396,48 @@ def matrix(spark, d):
 @query("ML1_learning_rates")
 def ml1(spark, d):
     m = matrix(spark, d)
-    return models.learning_rates(m.filter("fold < 2"), m.filter("fold = 2"), "mean_wi", [0.05, 0.5], trees=2)
+    return models.learning_rates(m.filter("fold < 2"), m.filter("fold = 2"), "mean_wi", [0.05, 0.1, 0.5])
 
 
 @query("ML2_classifier_rates")
 def ml2(spark, d):
     m = matrix(spark, d).withColumn("rich", (F.col("mean_wi") > 50).cast("double"))
-    return models.classifier_rates(m.filter("fold < 2"), m.filter("fold = 2"), "rich", [0.1], classes=2, trees=2)
+    return models.classifier_rates(m.filter("fold < 2"), m.filter("fold = 2"), "rich", [0.05, 0.1, 0.5], classes=2)
 
 
 @query("ML3_tuning")
 def ml3(spark, d):
-    return models.tune(matrix(spark, d), "mean_wi", [{"maxIter": 1, "maxDepth": 1}, {"maxIter": 2, "maxDepth": 2}])
+    return models.tune(matrix(spark, d), "mean_wi", [{"maxIter": 5, "maxDepth": 3}, FITTED])
 
 
 @query("ML4_fit_and_test")
 def ml4(spark, d):
     m = matrix(spark, d)
-    return rounded(models.evaluated(models.predict(models.fit(m.filter("fold < 2"), SMALL), m.filter("fold = 2")), ["ccode"]))
+    return rounded(models.evaluated(models.predict(models.fit(m.filter("fold < 2"), FITTED), m.filter("fold = 2")), ["ccode"]))
 
 
-@query("ML5_inference", "SELECT p.place_id, true AS predicted FROM fx_place p JOIN embeddings e ON p.place_id = e.vec_id")
+@query("ML5_inference")
 def ml5(spark, d):
     m = matrix(spark, d)
-    return models.predict(models.fit(m, SMALL, ("mean_wi",)), m).select("place_id", F.col("pred_mean_wi").isNotNull().alias("predicted"))
+    return models.predict(models.fit(m, FITTED, ("mean_wi",)), m).select("place_id", F.round("pred_mean_wi", 6).alias("pred_mean_wi"))
 
 
-@query("ML6_inference_with_vectors", "SELECT p.place_id, true AS predicted FROM fx_place p JOIN embeddings e ON p.place_id = e.vec_id")
+@query("ML6_inference_with_vectors")
 def ml6(spark, d):
     m = tables.matrix(learned(spark, d), NAMES, vector="embedding")
-    return models.predict(models.fit(m, SMALL, ("mean_wi",)), m).select("place_id", F.col("pred_mean_wi").isNotNull().alias("predicted"))
+    return models.predict(models.fit(m, FITTED, ("mean_wi",)), m).select("place_id", F.round("pred_mean_wi", 6).alias("pred_mean_wi"))
 
 
 @query("ML7_transfer")
 def ml7(spark, d):
     m = matrix(spark, d)
     countries = sorted(r[0] for r in m.select("ccode").distinct().collect())
-    return rounded(models.transfers({c: models.fit(m.filter(F.col("ccode") == c), SMALL) for c in countries}, m))
+    return rounded(models.transfers({c: models.fit(m.filter(F.col("ccode") == c), FITTED) for c in countries}, m))
 
 
 @query("AG49_importance")
 def ag49(spark, d):
-    return models.importance(spark, models.fit(matrix(spark, d), SMALL, ("mean_wi",)), NAMES)
+    return models.importance(spark, models.fit(matrix(spark, d), FITTED, ("mean_wi",)), NAMES)
 
 
 # whole jobs

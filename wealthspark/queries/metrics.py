@@ -151,17 +151,6 @@ def ag27(spark, d):
     return rounded(metrics.confusion(quintiles(spark, d), "tc", "pc", "true"))
 
 
-@query("AG24_feature_counts", "SELECT * FROM (VALUES ('FBP', 8), ('OCI', 9), ('OSM', 1)) AS t(source, n)")
-def ag24(spark, d):
-    from ..operators import tables
-    from .spatial import points
-
-    names = features.population(points(spark, d, "fx_place"), points(spark, d, "fx_tile")).columns[1:] + features.cells(points(spark, d, "fx_place"), points(spark, d, "fx_cell")).columns[1:]
-    counted = tables.feature_counts(spark, [*[n for n in names if n != "distance_closest_tile"], "university"])
-    first = view(spark, d, "fx_place").limit(1).select(F.lit(1).alias("one"))
-    return counted.join(F.broadcast(first), F.col("one") == 1).select("source", F.col("n").cast("int").alias("n"))
-
-
 @query("AG47_tuning_summary", "SELECT row_id, round((true_mean + pred_mean) / 2, 6) AS mean_loss, round(abs(true_mean - pred_mean) / 2, 6) AS std_loss, round(2.0, 6) AS mean_time, round(1.0, 6) AS std_time FROM fx_pred")
 def ag47(spark, d):
     return rounded(metrics.tuning_summary(pred(spark, d).withColumn("times", F.lit("1.0,3.0")), ["true_mean", "pred_mean"], "times", ["row_id"]))

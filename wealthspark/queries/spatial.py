@@ -114,10 +114,9 @@ def jn11(spark, d):
     return rounded(spatial.mutual_nearest(a, b, "id_a", "id_b", 10.0), 3)
 
 
-@query("JN12_nearest_feature", f"""SELECT t.poi_id, round(sqrt((p.x - t.x) ** 2 + (p.y - t.y) ** 2), 3) AS distance FROM {xy("fx_place")} p CROSS JOIN {xy("fx_poi")} t WHERE p.place_id = 1 ORDER BY distance, poi_id LIMIT 1""")
+@query("JN12_nearest_feature", f"""SELECT place_id, arg_min(poi_id, (d, poi_id)) AS poi_id, round(min(d), 3) AS distance FROM (SELECT p.place_id, t.poi_id, sqrt((p.x - t.x) ** 2 + (p.y - t.y) ** 2) AS d FROM {xy("fx_place")} p CROSS JOIN {xy("fx_poi")} t) GROUP BY place_id""")
 def jn12(spark, d):
-    one = points(spark, d, "fx_place").filter("place_id = 1")
-    return rounded(spatial.nearest(one, points(spark, d, "fx_poi"), "place_id", "poi_id", ties="lowest").select("poi_id", "distance"), 3)
+    return rounded(spatial.nearest(points(spark, d, "fx_place"), points(spark, d, "fx_poi"), "place_id", "poi_id", ties="lowest").select("place_id", "poi_id", "distance"), 3)
 
 
 BOXES = {"1mile": 1609.34, "2km": 2000.0, "5km": 5000.0, "10km": 10000.0}

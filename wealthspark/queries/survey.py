@@ -178,10 +178,10 @@ def jn3(spark, d):
     return survey.left_joined(view(spark, d, "fx_place").select("place_id"), [moves, answers], ["place_id"])
 
 
-@query("SRC15_wide_features", "SELECT p.place_id, p.rural, a.n AS answers FROM fx_place p LEFT JOIN (SELECT place_id, count(*) AS n FROM fx_answer GROUP BY 1) a ON p.place_id = a.place_id WHERE p.year = 2016")
+@query("SRC15_wide_features", "SELECT p.place_id, p.rural, a.n AS answers FROM fx_place p LEFT JOIN (SELECT place_id, count(*) AS n FROM fx_answer GROUP BY 1) a ON p.place_id = a.place_id")
 def src15(spark, d):
     answers = view(spark, d, "fx_answer").groupBy("place_id").agg(F.count(F.lit(1)).alias("answers"))
-    return survey.left_joined(view(spark, d, "fx_place").filter("year = 2016").select("place_id", "rural"), [answers], ["place_id"])
+    return survey.left_joined(view(spark, d, "fx_place").select("place_id", "rural"), [answers], ["place_id"])
 
 
 @query("JN4_samples_with_features", "SELECT p.place_id, p.mean_wi, e.label FROM fx_place p JOIN embeddings e ON p.place_id = e.vec_id")
@@ -247,9 +247,9 @@ def sc19(spark, d):
     return view(spark, d, "fx_place").select("place_id", wealth.stars(p).alias("three"), wealth.significance(p).alias("five"))
 
 
-@query("SC21_texts", "SELECT place_id, CAST(place_id AS VARCHAR) || ' (' || CAST(CAST(round(place_id * 100.0 / 3000 - 1e-9) AS BIGINT) AS VARCHAR) || '%)' AS share, CAST(rural AS DOUBLE) + 0.5 AS value, year FROM fx_place WHERE place_id % 15 <> 0")
+@query("SC21_texts", "SELECT place_id, CAST(place_id AS VARCHAR) || ' (' || CAST(CAST(round(place_id * 100.0 / 3000) AS BIGINT) AS VARCHAR) || '%)' AS share, CAST(rural AS DOUBLE) + 0.5 AS value, year FROM fx_place")
 def sc21(spark, d):
-    p = view(spark, d, "fx_place").filter("place_id % 15 <> 0")
+    p = view(spark, d, "fx_place")
     both = wealth.value_and_year(F.concat((F.col("rural") + 0.5).cast("string"), F.lit(" ("), F.col("year").cast("string"), F.lit(")")))
     return p.select("place_id", wealth.count_with_share(F.col("place_id"), F.lit(3000)).alias("share"), both["value"].alias("value"), both["year"].alias("year"))
 
