@@ -89,11 +89,6 @@ def rel0(spark, d):
     return relocate.relocate(survey_clusters(spark, d), towns(spark, d), "none").select("cluster_id", "OSMID", "pplace_cluster_distance")
 
 
-@query("REL2_options", "SELECT place_id AS cluster_id FROM fx_place")
-def rel2(spark, d):
-    return relocate.relocate(survey_clusters(spark, d), towns(spark, d), "none").select("cluster_id")
-
-
 @query(
     "WN4_candidates",
     f"SELECT p.place_id AS cluster_id, t.poi_id AS OSMID, round(sqrt((p.x - t.x) ** 2 + (p.y - t.y) ** 2), 3) AS distance FROM {xy('fx_place')} p JOIN {xy('fx_poi')} t ON p.rural = 0 AND t.poi_id % 3 = 0 AND t.x BETWEEN p.x - 1000 AND p.x + 1000 AND t.y BETWEEN p.y - 1000 AND p.y + 1000",
@@ -102,12 +97,38 @@ def wn4(spark, d):
     return rounded(relocate.candidates(survey_clusters(spark, d), towns(spark, d), 0), 3)
 
 
-@query("JN27_assignment")
+def greedy(name: str, candidates: str) -> str:
+    """Named subqueries that give each cluster of ``candidates`` (cluster_id, OSMID, distance) its nearest place that is still free, one
+    cluster after another in the order (number of candidates, id)."""
+    return f"""{name}_c AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY cluster_id) AS n FROM ({candidates})),
+{name}_g AS MATERIALIZED (SELECT row_number() OVER (ORDER BY n, cluster_id) AS k, * FROM (SELECT cluster_id, n, list(struct_pack(d := distance, osm := OSMID) ORDER BY distance, OSMID) AS options FROM {name}_c GROUP BY cluster_id, n)),
+{name}_r AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS cluster_id, CAST(NULL AS BIGINT) AS OSMID, CAST(NULL AS DOUBLE) AS distance UNION ALL
+SELECT k, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick.osm) END, cluster_id, pick.osm, pick.d FROM (SELECT g.k, g.cluster_id, r.taken, list_filter(g.options, lambda x: NOT list_contains(r.taken, x.osm))[1] AS pick FROM {name}_r r JOIN {name}_g g ON g.k = r.k + 1)),
+{name} AS MATERIALIZED (SELECT cluster_id, OSMID, distance FROM {name}_r WHERE OSMID IS NOT NULL)"""
+
+
+def in_reach(rural: int, year: int | None = None, taken: str | None = None) -> str:
+    half = {0: 1000, 1: 7500}[rural]
+    more = (f" AND p.year = {year}" if year else "") + (f" AND t.poi_id NOT IN (SELECT OSMID FROM {taken})" if taken else "")
+    return f"SELECT CAST(p.place_id AS BIGINT) AS cluster_id, CAST(t.poi_id AS BIGINT) AS OSMID, sqrt((p.x - t.x) ** 2 + (p.y - t.y) ** 2) AS distance FROM {xy('fx_place')} p JOIN {xy('fx_poi')} t ON p.rural = {rural} AND CAST(t.poi_id % 3 <> 0 AS INT) = {rural} AND t.x BETWEEN p.x - {half} AND p.x + {half} AND t.y BETWEEN p.y - {half} AND p.y + {half}{more}"
+
+
+RURAL = greedy("r19", in_reach(1, 2019)) + ",\n" + greedy("r16", in_reach(1, 2016, "r19"))
+URBAN = greedy("u19", in_reach(0, 2019)) + ",\n" + greedy("u16", in_reach(0, 2016, "u19"))
+MOVED = "SELECT p.place_id AS cluster_id, m.OSMID, round(coalesce(m.distance, 0), 3) AS pplace_cluster_distance FROM fx_place p LEFT JOIN ({}) m ON p.place_id = m.cluster_id"
+
+
+@query("REL2_options", f"WITH RECURSIVE {RURAL}\n" + MOVED.format("SELECT * FROM r19 UNION ALL SELECT * FROM r16"))
+def rel2(spark, d):
+    return rounded(relocate.relocate(survey_clusters(spark, d), towns(spark, d), "rc").select("cluster_id", "OSMID", "pplace_cluster_distance"), 3)
+
+
+@query("JN27_assignment", f"WITH RECURSIVE {greedy('j', in_reach(1))} SELECT cluster_id, OSMID, round(distance, 3) AS distance FROM j")
 def jn27(spark, d):
     return rounded(relocate.assign(relocate.candidates(survey_clusters(spark, d), towns(spark, d), 1)), 3)
 
 
-@query("REL1_relocated")
+@query("REL1_relocated", f"WITH RECURSIVE {RURAL},\n{URBAN}\n" + MOVED.format("SELECT * FROM r19 UNION ALL SELECT * FROM r16 UNION ALL SELECT * FROM u19 UNION ALL SELECT * FROM u16"))
 def rel1(spark, d):
     return rounded(relocate.relocate(survey_clusters(spark, d), towns(spark, d), "ruc").select("cluster_id", "OSMID", "pplace_cluster_distance"), 3)
 
