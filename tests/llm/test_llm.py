@@ -437,6 +437,18 @@ def test_html(spark, data):
         assert r["text"] == "\n\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
 
 
+def test_stray_end_tags_cost_nothing():
+    import time
+
+    times = []
+    for n in (4000, 16000):
+        start = time.perf_counter()
+        nodes, blocks = html_extract.parse("<div>" * n + "</section>" * n + "<p>Text.</p>" + "</div>" * n)
+        times.append(time.perf_counter() - start)
+        assert len(nodes) == n + 2 and [t for _, t in blocks] == ["Text."]
+    assert times[1] < 12 * times[0] + 0.2
+
+
 def test_marginals_are_exact():
     """Sum-product against all labelings of a small tree."""
     import itertools

@@ -64,6 +64,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """The block elements in page order (a parent before its children), and (node, text) of each block of text."""
     nodes, blocks = [Node("root", "", 0, -1, 0)], []
     stack: list[tuple[str, int, bool]] = [("root", 0, False)]  # tag, nearest block node, hidden
+    still_open: Counter = Counter()  # how often each tag is in the stack, so that a stray end tag costs no search
     links, run, run_node = 0, [], 0
 
     def close_run() -> None:
@@ -90,6 +91,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     def pop() -> None:
         nonlocal links
         tag, _, _ = stack.pop()
+        still_open[tag] -= 1
         if tag == "a" and links:
             links -= 1
         if tag in BLOCK:
@@ -107,7 +109,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if any(s[0] == tag for s in stack[1:]):
+            if still_open[tag] > 0:
                 block = tag in BLOCK
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == tag:
@@ -122,7 +124,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             at = end.end() if end else size
             continue
         if tag in BLOCK:
-            while len(stack) > 1 and stack[-1][0] not in BLOCK and any(s[0] == "p" for s in stack) and tag != "hr":
+            while len(stack) > 1 and stack[-1][0] not in BLOCK and still_open["p"] > 0 and tag != "hr":
                 pop()  # inline elements left open end with their paragraph
             if stack[-1][0] == "p":
                 pop()
@@ -150,6 +152,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             node = len(nodes) - 1
         if tag == "a":
             links += 1
+        still_open[tag] += 1
         stack.append((tag, node, hidden or tag in HIDDEN or "hidden" in m[3].lower().split()))
     close_run()
     return nodes, blocks
