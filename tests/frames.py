@@ -2,7 +2,7 @@
 
 
 def same_rows(got, want):
-    """Equal as bags, doubles within 1e-6; both pandas frames."""
+    """Equal as bags, numbers to four places (2e-4 at a rounding border); both pandas frames."""
     assert sorted(got.columns) == sorted(want.columns)
     assert len(got) == len(want)
 

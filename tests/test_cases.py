@@ -11,6 +11,7 @@ from wealthspark import catalog
 from wealthspark.fixtures import table, view
 from wealthspark.functions import geo, wealth
 from wealthspark.operators import features, metrics, relocate, sampling, spatial, stats, survey, tables
+from wealthspark.operators.order import running
 from wealthspark.sources import files
 from wealthspark.streaming import answers
 
@@ -196,3 +197,29 @@ def test_transfer_takes_all_ordered_pairs(spark, data):
     countries = {r[0] for r in view(spark, data, "fx_place").select("ccode").collect()}
     got = {tuple(r) for r in catalog.QUERIES["ML7_transfer"](spark, data).select("source", "target").collect()}
     assert got == {(a, b) for a in countries for b in countries if a != b}
+
+
+def test_running_totals_over_ranges_of_groups(spark):
+    rows = [(g, v, 1) for g in ("a", "b", None) for v in range(200)]
+    got = running(spark.createDataFrame(rows, "g string, v int, k int").repartition(7), "v", {"n": "k"}, ["g"]).collect()
+    assert len(got) == 600 and all(r["n"] == r["v"] + 1 for r in got)
+
+
+def test_ranks_of_groups_with_missing_values(spark):
+    rows = [("a", 1.0, 9), ("a", 1.0, 8), ("a", None, 1), (None, 2.0, 1), (None, None, 2), ("b", None, 1)]
+    got = metrics.average_rank(spark.createDataFrame(rows, "g string, v double, id int"), "v", ["g"])
+    assert values(got, "g", "id", "rank", "best") == sorted([("a", 9, 1.5, False), ("a", 8, 1.5, True), ("a", 1, 3.0, False), (None, 1, 1.0, True), (None, 2, 2.0, False), ("b", 1, 1.0, True)], key=str)
+
+
+def test_spearman_and_anderson_by_hand(spark):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 9, 120).astype(float)
+    y = x + rng.integers(0, 9, 120)
+    df = spark.createDataFrame([("g", float(a), float(b)) for a, b in zip(x, y)], "g string, x double, y double")
+    rank = lambda v: np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
+    assert stats.spearman(df, ["g"], "x", "y").first()["r"] == pytest.approx(np.corrcoef(rank(x), rank(y))[0, 1])
+    z = (np.sort(y) - y.mean()) / y.std(ddof=1)
+    low, i, n = np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in z]), np.arange(1, 121), 120
+    want = -n - ((2 * i - 1) * (np.log(low) + np.log(1 - low[::-1]))).sum() / n
+    assert stats.anderson_darling(df, ["g"], "y").first()["a2"] == pytest.approx(want)
+    assert stats.spearman(df.limit(0), ["g"], "x", "y").count() == 0

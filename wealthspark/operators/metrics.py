@@ -7,30 +7,27 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import running
+from ..sources.tables import cut
+from .order import average_ranks, beside, running
 
 OUTPUTS = ("mean", "std")
 
 
 def gini(df: DataFrame, column: str, by: Iterable[str] = ()) -> DataFrame:
-    """AG8, AG9: Gini coefficient per group: values shifted to be non-negative, plus 1e-7. Sorting is within each group; one row without groups.
+    """AG8, AG9: Gini coefficient per group: values shifted to be non-negative, plus 1e-7. One row without groups.
 
-    Equal values are counted before they are ranked, so the window sees distinct values only.
+    Equal values are counted before they are ranked, and ranks run over ranges of a group, so no task needs a whole group.
     """
     by = list(by)
-    counted = df.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("k"))
-    if by:
-        w = Window.partitionBy(*by)
-        low = F.min("v").over(w)
-        counted = counted.withColumn("upto", F.sum("k").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
-    else:
-        low = F.col("low")
-        counted = running(counted, "v", {"upto": "k"}).crossJoin(F.broadcast(df.agg(F.min(column).alias("low"))))  # one row
-    ranked = counted.select(*by, "k", (F.col("v") - F.least(low, F.lit(0.0)) + 1e-7).alias("x"), (F.col("upto") - F.col("k")).alias("before"))
+    counted = df.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("k"))
+    ranked = running(counted, "v", {"upto": "k"}, by).withColumn("before", F.col("upto") - F.col("k"))
     # ranks before + 1 .. before + k add up to k * before + k (k + 1) / 2
     ranks = F.col("k") * F.col("before") + F.col("k") * (F.col("k") + 1) / 2
-    sums = ranked.groupBy(*by).agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("x")).alias("sx"), F.sum(F.col("x") * ranks).alias("sr"))
-    return sums.select(*by, ((2 * F.col("sr") - (F.col("n") + 1) * F.col("sx")) / (F.col("n") * F.col("sx"))).alias("gini"))
+    sums = ranked.groupBy(*by).agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("v")).alias("sv"), F.sum(F.col("v") * ranks).alias("sr"), F.min("v").alias("low"))
+    # the shift enters both sums in closed form
+    n, shift = F.col("n"), 1e-7 - F.least("low", F.lit(0.0))
+    sx, sr = F.col("sv") + n * shift, F.col("sr") + shift * n * (n + 1) / 2
+    return sums.select(*by, ((2 * sr - (n + 1) * sx) / (n * sx)).alias("gini"))
 
 
 def regression(t: Column, p: Column, ddof: int = 1) -> dict[str, Column]:
@@ -199,7 +196,7 @@ def sample_weights(df: DataFrame, method: str, value: str = "mean_wi", rural: st
     def sizes(column: str) -> DataFrame:
         n = df.groupBy(column).agg(F.count(F.lit(1)).alias(f"n_{column}"))
         total = n.agg(F.sum(f"n_{column}").alias(f"all_{column}"), F.count(F.lit(1)).alias(f"k_{column}"))
-        return F.broadcast(n.crossJoin(F.broadcast(total)))  # classes: a handful of rows
+        return n.crossJoin(F.broadcast(total))  # total: one row
 
     balanced = lambda c: F.col(f"all_{c}") / (F.col(f"k_{c}") * F.col(f"n_{c}"))
     used = {"balanced_s": [rural], "balanced_ws": ["ses", rural], "wx": []}.get(method, ["ses"])
@@ -220,13 +217,13 @@ def sample_weights(df: DataFrame, method: str, value: str = "mean_wi", rural: st
 
 
 def average_rank(df: DataFrame, metric: str, by: Iterable[str] = ()) -> DataFrame:
-    """WN2: rank with ties at their average, missing values last; ``best`` marks one row (the first of rank order)."""
+    """WN2: rank with ties at their average, missing values last; ``best`` marks one row (the first of rank order, then of the other columns)."""
     by = list(by)
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    missing = F.when(F.col(metric).isNull(), 1).otherwise(0)
-    peers = F.count(F.lit(1)).over(Window.partitionBy(*by, metric))
-    rank = F.rank().over(w.orderBy(missing, metric))
-    return df.withColumns({"rank": rank + (peers - 1) / 2, "best": F.row_number().over(w.orderBy(missing, metric, *[c for c in df.columns if c not in (*by, metric)])) == 1})
+    rows = cut(df.withColumn("_row", F.monotonically_increasing_id()))
+    first = F.struct(F.col(metric).isNull().alias("_missing"), metric, *[c for c in df.columns if c not in (*by, metric)], "_row")
+    best = rows.groupBy(*by).agg(F.min(first).alias("_first")).select(F.col("_first._row").alias("_row"), F.lit(True).alias("_best"))
+    out = beside(rows, average_ranks(rows, metric, "rank", by), [*by, metric]).join(best, "_row", "left")
+    return out.select(*df.columns, "rank", F.coalesce("_best", F.lit(False)).alias("best"))
 
 
 def rescaled(df: DataFrame, column: str, base: DataFrame, base_column: str, name: str = "rescaled") -> DataFrame:

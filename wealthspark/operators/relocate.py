@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import cut
 from . import spatial
-from .sampling import mixed
+from .sampling import mixed, numbered
 
 #: The displacement of survey positions in metres by settlement (0 urban, 1 rural), the extra reach, the share of rows that may use it.
 MOST = {0: 2000.0, 1: 5000.0}
@@ -77,7 +77,7 @@ def within_allowance(df: DataFrame, id: str = "cluster_id", rural: str = "rural"
     most = F.when(F.col(rural) == 0, MOST[0]).otherwise(MOST[1])
     share = F.when(F.col(rural) == 0, ALLOWED[0]).otherwise(ALLOWED[1])
     sizes = df.groupBy(rural).agg(F.count(F.lit(1)).alias("n")).select(rural, F.round(F.col("n") * share).alias("may"))
-    beyond = df.filter(F.col(distance) > most).select(id, rural, F.row_number().over(Window.partitionBy(rural).orderBy(mixed(id, seed) if order is None else order, id)).alias("k"))
+    beyond = numbered(df.filter(F.col(distance) > most), mixed(id, seed) if order is None else order, id, "k", [rural]).select(id, rural, "k")
     back = beyond.join(F.broadcast(sizes), rural).filter(F.col("k") > F.col("may")).select(id, F.lit(True).alias("back"))  # two rows
     out = df.join(back, id, "left").withColumn("back", F.coalesce("back", F.lit(False)))
     reset = {c: F.when(~F.col("back"), F.col(c)) for c in ("OSMID", "pplace_rural") if c in df.columns}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import running
+
 
 def mixed(id: Column | str, seed: Column | int = 0) -> Column:
     """The order of a seeded shuffle: a hash of id and seed."""
@@ -25,26 +27,30 @@ def _quotas(df: DataFrame, runs: list[str], stratum: str, frac: float) -> DataFr
     """Per run and class: trunc(round(n * frac) * n_class / n); a row per class."""
     sizes = df.groupBy(*runs, stratum).agg(F.count(F.lit(1)).alias("n_class"))
     total = sizes.groupBy(*runs).agg(F.sum("n_class").alias("n")) if runs else sizes.agg(F.sum("n_class").alias("n"))
-    joined = sizes.join(F.broadcast(total), runs) if runs else sizes.crossJoin(F.broadcast(total))
+    joined = sizes.join(total, runs) if runs else sizes.crossJoin(F.broadcast(total))  # one row
     quota = F.floor(F.round(F.col("n") * frac) * F.col("n_class") / F.col("n"))
     return joined.select(*runs, stratum, quota.cast("long").alias("quota"))
 
 
+def numbered(df: DataFrame, order: Column, id: str, name: str, by: list[str]) -> DataFrame:
+    """The place of each row within its group, by ``order`` and id; a large group is numbered in ranges."""
+    marked = df.withColumns({"_order": F.struct(order.alias("a"), F.col(id).alias("b")), "_one": F.lit(1)})
+    return running(marked, "_order", {name: "_one"}, by).drop("_order", "_one")
+
+
 def stratified(df: DataFrame, stratum: str, id: str, frac: float, runs: tuple[str, ...] = (), order: Column | None = None) -> DataFrame:
     """SMP1: ``is_test``: of n rows, round(n * frac) train, of each class its truncated share; the rest is test. Membership by ``order`` (default: seeded hash of the id)."""
     runs = list(runs)
     order = mixed(id, F.col("seed") if "seed" in runs else 0) if order is None else order
-    w = Window.partitionBy(*runs, stratum).orderBy(order, id)
-    quotas = F.broadcast(_quotas(df, runs, stratum, frac))  # a row per class and run
-    ranked = df.withColumn("rank_in_class", F.row_number().over(w)).join(quotas, [*runs, stratum])
+    ranked = numbered(df, order, id, "rank_in_class", [*runs, stratum]).join(_quotas(df, runs, stratum, frac), [*runs, stratum])
     return ranked.withColumn("is_test", (F.col("rank_in_class") > F.col("quota")).cast("int")).drop("quota")
 
 
 def folds(df: DataFrame, stratum: str, id: str, k: int, runs: tuple[str, ...] = (), order: Column | None = None) -> DataFrame:
     """SMP2: a fold of 1 to k-1 for each training row, dealt in turn within its class; NULL for test rows. Expects the columns of ``stratified``."""
     order = mixed(id, F.col("seed") if "seed" in runs else 0) if order is None else order
-    w = Window.partitionBy(*runs, stratum, "is_test").orderBy(order, id)
-    return df.withColumn("fold", F.when(F.col("is_test") == 0, (F.row_number().over(w) - 1) % (k - 1) + 1).cast("int"))
+    dealt = numbered(df, order, id, "_turn", [*runs, stratum, "is_test"])
+    return dealt.withColumn("fold", F.when(F.col("is_test") == 0, (F.col("_turn") - 1) % (k - 1) + 1).cast("int")).drop("_turn")
 
 
 def roles(df: DataFrame, id: str, k: int, runs: tuple[str, ...] = ()) -> DataFrame:

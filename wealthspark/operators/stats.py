@@ -7,11 +7,11 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .order import running
+from .order import average_ranks, beside, running
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
@@ -61,15 +61,15 @@ def pearson(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     return df.groupBy(*by).agg(F.corr(a, b).alias("r"), F.count_if(both).alias("n")).withColumn("p", correlation_p("r", "n"))
 
 
-def _average_rank(column: str, by: list[str]) -> Column:
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(column)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, column)) - 1) / 2
-
-
 def spearman(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
-    """AG15: correlation of average ranks within each group."""
-    rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumns({"_a": _average_rank(a, by), "_b": _average_rank(b, by)})
-    return rows.groupBy(*by).agg(F.corr("_a", "_b").alias("r"), F.count(F.lit(1)).alias("n"))
+    """AG15: correlation of average ranks within each group. Equal pairs are counted first; the mean rank is (n + 1) / 2."""
+    rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    pairs = rows.groupBy(*by, a, b).agg(F.count(F.lit(1)).alias("_k"))
+    totals = pairs.groupBy(*by).agg(F.sum("_k").alias("_n"))
+    out = beside(beside(pairs, average_ranks(rows, a, "_a", by), [*by, a]), average_ranks(rows, b, "_b", by), [*by, b])
+    x, y, k = F.col("_a") - (F.col("_n") + 1) / 2, F.col("_b") - (F.col("_n") + 1) / 2, F.col("_k")
+    r = F.try_divide(F.sum(k * x * y), F.sqrt(F.sum(k * x * x)) * F.sqrt(F.sum(k * y * y)))
+    return beside(out, totals, by).groupBy(*by).agg(r.alias("r"), F.sum("_k").alias("n"))
 
 
 def mean_correlation(df: DataFrame, by: list[str], run: str, a: str, b: str) -> DataFrame:
@@ -110,7 +110,7 @@ def kde(df: DataFrame, by: list[str], column: str, support: DataFrame) -> DataFr
     """AG31: Gaussian density with Scott's bandwidth at the points of ``support`` (column ``spot``, a short table). Equal values are counted first."""
     counted = df.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("k"))
     stats = df.groupBy(*by).agg(F.stddev_samp(column).alias("s"), F.count(column).alias("n")).withColumn("h", F.col("s") * F.pow(F.col("n"), F.lit(-0.2)))
-    joined = counted.join(F.broadcast(stats), by) if by else counted.crossJoin(F.broadcast(stats))  # a row per group
+    joined = counted.join(stats, by) if by else counted.crossJoin(F.broadcast(stats))  # one row
     z = (F.col("spot") - F.col("v")) / F.col("h")
     dense = joined.crossJoin(F.broadcast(support)).groupBy(*by, "spot").agg((F.sum(F.col("k") * F.exp(-0.5 * z * z)) / (F.first("n") * F.first("h") * math.sqrt(2 * math.pi))).alias("density"))
     return dense
@@ -194,12 +194,16 @@ def normality(df: DataFrame, by: list[str], column: str, alpha: float = 0.05) ->
 
 
 def anderson_darling(df: DataFrame, by: list[str], column: str) -> DataFrame:
-    """AG37: A2 against the normal of the group's mean and sample deviation, from ranks within the group."""
-    w = Window.partitionBy(*by)
-    rows = df.filter(F.col(column).isNotNull()).select(*by, ((F.col(column) - F.avg(column).over(w)) / F.stddev_samp(column).over(w)).alias("z"), F.row_number().over(w.orderBy(column)).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
-    rows = rows.withColumns({"lo": F.log(normal_cdf("z")), "hi": F.log(normal_cdf(-F.col("z")))})
-    # sum of (2i - 1) ln F(z_i) + (2(n - i) + 1) ln(1 - F(z_i))
-    return rows.groupBy(*by).agg(F.first("n").alias("n"), (-F.first("n") - F.sum((2 * F.col("i") - 1) * F.col("lo") + (2 * (F.col("n") - F.col("i")) + 1) * F.col("hi")) / F.first("n")).alias("a2"))
+    """AG37: A2 against the normal of the group's mean and sample deviation. Equal values are counted first; ranks run over ranges of a group."""
+    rows = df.filter(F.col(column).isNotNull())
+    moments = rows.groupBy(*by).agg(F.avg(column).alias("_m"), F.stddev_samp(column).alias("_s"), F.count(F.lit(1)).alias("n"))
+    upto = running(rows.groupBy(*by, F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_k")), "_v", {"_upto": "_k"}, by)
+    out = beside(upto, moments, by).withColumn("z", F.try_divide(F.col("_v") - F.col("_m"), F.col("_s")))
+    out = out.withColumns({"lo": F.log(normal_cdf("z")), "hi": F.log(normal_cdf(-F.col("z")))})
+    # sum of (2i - 1) ln F(z_i) + (2(n - i) + 1) ln(1 - F(z_i)), i from _upto - _k + 1 to _upto
+    k, u, n = F.col("_k"), F.col("_upto"), F.col("n")
+    odd = k * (2 * u - k)
+    return out.groupBy(*by).agg(F.first("n").alias("n"), (-F.first("n") - F.sum(odd * F.col("lo") + (2 * n * k - odd) * F.col("hi")) / F.first("n")).alias("a2"))
 
 
 def shapiro_wilk(x: np.ndarray) -> tuple[float, float]:
@@ -306,11 +310,13 @@ def power_law(df: DataFrame, column: str, candidates: int = 20) -> DataFrame:
     """AG41: exponent of a power-law tail: for each of some quantiles as least value, alpha = 1 + n / sum ln(x / least); the one with the smallest distance is taken. One row."""
     v = df.filter(F.col(column) > 0).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("k"))
     edges = df.filter(F.col(column) > 0).agg(F.array_distinct(F.percentile(column, [k / candidates for k in range(candidates)])).alias("edges"))
-    tails = v.crossJoin(F.broadcast(edges)).select("v", "k", F.explode("edges").alias("least")).filter("v >= least")
-    fit = tails.groupBy("least").agg(F.sum("k").alias("n"), (1 + F.sum("k") / F.sum(F.col("k") * F.log(F.col("v") / F.col("least")))).alias("alpha"))
-    below = F.sum("k").over(Window.partitionBy("least").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    rows = tails.withColumn("below", below).join(F.broadcast(fit), "least")  # a row per candidate
-    gap = F.abs(F.col("below") / F.col("n") - (1 - F.pow(F.col("v") / F.col("least"), 1 - F.col("alpha"))))
+    total = v.agg(F.sum("k").alias("total"))
+    upto = running(v, "v", {"upto": "k"})  # one pass serves all candidates
+    tails = upto.crossJoin(F.broadcast(edges)).select("v", "k", "upto", F.explode("edges").alias("least")).filter("v >= least")
+    fit = tails.groupBy("least").agg(F.sum("k").alias("n"), (1 + F.try_divide(F.sum("k"), F.sum(F.col("k") * F.log(F.col("v") / F.col("least"))))).alias("alpha"))
+    rows = tails.join(F.broadcast(fit.crossJoin(total)), "least")  # ``candidates`` rows at most
+    below = F.col("upto") - (F.col("total") - F.col("n"))
+    gap = F.abs(below / F.col("n") - (1 - F.pow(F.col("v") / F.col("least"), 1 - F.col("alpha"))))
     return rows.groupBy("least", "alpha", "n").agg(F.max(gap).alias("distance")).agg(F.min(F.struct("distance", "least", "alpha", "n")).alias("b")).select("b.alpha", "b.least", "b.distance", "b.n")
 
 
