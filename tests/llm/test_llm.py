@@ -437,6 +437,19 @@ def test_html(spark, data):
         assert r["text"] == "\n\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
 
 
+def test_html_without_a_wrapper():
+    """Headline and paragraphs that stand directly in the body, or in a page without one, among menus, comments and footers."""
+    counts = collections.Counter()
+    for page in html_extract.labelled_pages():
+        counts.update(html_extract.count(page))
+    model = html_extract.Model(counts)
+    words = "Some words of a real paragraph here, and more of them. "
+    article, text = f"<h1>Title</h1><p>{words * 5}</p><p>{words}</p>", "\n\n".join(["Title", (words * 5).strip(), words.strip()])
+    around = f'<nav><a href="x">Menu</a></nav>{article}<div class="comments"><p>{words}</p></div><footer>End</footer>'
+    for page in (f"<html><body>{article}</body></html>", f"<body>{around}</body>", around, article):
+        assert model.extract(page) == text
+
+
 def test_stray_end_tags_cost_nothing():
     import time
 

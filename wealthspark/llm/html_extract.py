@@ -166,6 +166,7 @@ def features(node: Node, parent: Node) -> list[tuple[str, str]]:
         ("hint", node.hint),
         ("kind", f"{node.tag} {node.hint}"),
         ("under", parent.place),
+        ("stands", f"{node.tag} {node.hint} in {parent.place}"),
         ("chars", str(min(6, int(math.log2(node.chars + 1) // 1.5))) if node.chars else "none"),
         ("linked", "none" if share < 0 else "0" if share == 0 else "few" if share < 0.4 else "most"),
     ]
@@ -332,7 +333,8 @@ def labelled_pages(n: int = 600, seed: int = 5) -> list[str]:
         )
         before = [menu(), head(), some(0, 2, boiler)]
         r.shuffle(before)
-        out.append(f'<html><head><title>{words(2, 6)}</title></head><body>{"".join(before)}{main}{comments()}{some(0, 2, boiler)}{foot()}</body></html>')
+        inside = f'{"".join(before)}{main}{comments()}{some(0, 2, boiler)}{foot()}'
+        out.append(inside if r.random() < 0.1 else f"<html><head><title>{words(2, 6)}</title></head><body>{inside}</body></html>")
     return out
 
 
