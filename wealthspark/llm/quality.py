@@ -119,14 +119,14 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = PER_CLASS) -> Neighbours:
     """Fit on at most ``per_class`` rows of each label (0, 1), those whose ids have the smallest hashes; labels without a text are left out.
 
-    With no labelled row at all every score is 0.5.
+    Of several rows with a labelled id the smallest text counts, so no more texts are gathered than labels. With no labelled row at all every score is 0.5.
     """
     marks = labels.filter(F.col(label).isin(0, 1) & F.col(id).isNotNull()).groupBy(id).agg(F.max(label).alias("label"))
     counts = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
     order = F.xxhash64(F.col(id).cast("string"))
     few = [marks.filter(F.col("label") == k).orderBy(order, id).limit(per_class) for k in (0, 1)]
     sample = F.broadcast(few[0].unionByName(few[1]).select(F.col(id).alias("labelled"), F.col("label").cast("int").alias("label")))  # 2 * per_class rows at most
-    rows = docs.join(sample, docs[id] == F.col("labelled")).select("label", docs[text].cast("string").alias("text"))
+    rows = docs.join(sample, docs[id] == F.col("labelled")).groupBy("labelled").agg(F.first("label").alias("label"), F.min(docs[text].cast("string")).alias("text")).drop("labelled")
     got = rows.mapInArrow(_vectors, "label int, x binary").collect()
     if not got:
         return Neighbours(np.ones(DIMENSIONS, np.float32), np.eye(DIMENSIONS, 1, dtype=np.float32), np.zeros((1, 1), np.float32), np.full(1, 0.5, np.float32), np.ones(1, np.float32))
