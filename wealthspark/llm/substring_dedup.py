@@ -96,9 +96,16 @@ def super_kmers(ids: np.ndarray, marks: np.ndarray, numbers: list[np.ndarray], k
     whole = mix((sums[begin + n + k - 1] - sums[begin]) * back[begin] + n.astype(np.uint64))
     by = np.lexsort((runs["id"], whole))
     head = np.concatenate([[True], whole[by][1:] != whole[by][:-1]])
-    smallest = runs["id"][by][head][np.cumsum(head) - 1]
+    lead = by[head][np.cumsum(head) - 1]
     settled = np.zeros(len(runs), bool)
-    settled[by] = runs["id"][by] > smallest
+    settled[by] = (runs["id"][by] > runs["id"][lead]) & (n[by] == n[lead])
+    of_lead = np.empty(len(runs), np.int64)
+    of_lead[by] = lead
+    # the hash only proposes: each is compared with its smallest in all words, and travels itself if they differ
+    if len(said := np.flatnonzero(settled)):
+        long = n[said] + k - 1
+        same = words[_spread(begin[said], long)] == words[_spread(begin[of_lead[said]], long)]
+        settled[said] = np.logical_and.reduceat(same, np.cumsum(long) - long)
     yield int(bucket[0]), True, _packed(runs[settled], words[:0])
     go = np.flatnonzero(~settled)
     go = go[np.argsort(bucket[go], kind="stable")]
