@@ -23,6 +23,8 @@ from .words import joined, mix, word_numbers
 WINDOW, MINIMISER = 13, 3
 #: Bytes of text whose super-k-mers are packed together; bounds a task's memory.
 TOGETHER = 12 << 20
+#: Runs whose words are compared at once.
+_AT_ONCE = 1 << 14
 _FACTOR = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_FACTOR), -1, 1 << 64))
 _RUN = np.dtype([("id", "<i8"), ("mark", "<i8"), ("start", "<i4"), ("n", "<i4")])
@@ -102,10 +104,12 @@ def super_kmers(ids: np.ndarray, marks: np.ndarray, numbers: list[np.ndarray], k
     of_lead = np.empty(len(runs), np.int64)
     of_lead[by] = lead
     # the hash only proposes: each is compared with its smallest in all words, and travels itself if they differ
-    if len(said := np.flatnonzero(settled)):
-        long = n[said] + k - 1
-        same = words[_spread(begin[said], long)] == words[_spread(begin[of_lead[said]], long)]
-        settled[said] = np.logical_and.reduceat(same, np.cumsum(long) - long)
+    said = np.flatnonzero(settled)
+    for at in range(0, len(said), _AT_ONCE):
+        some = said[at : at + _AT_ONCE]
+        long = n[some] + k - 1
+        same = words[_spread(begin[some], long)] == words[_spread(begin[of_lead[some]], long)]
+        settled[some] = np.logical_and.reduceat(same, np.cumsum(long) - long)
     yield int(bucket[0]), True, _packed(runs[settled], words[:0])
     go = np.flatnonzero(~settled)
     go = go[np.argsort(bucket[go], kind="stable")]
