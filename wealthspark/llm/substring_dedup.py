@@ -98,6 +98,7 @@ def super_kmers(ids: np.ndarray, marks: np.ndarray, numbers: list[np.ndarray], k
     whole = mix((sums[begin + n + k - 1] - sums[begin]) * back[begin] + n.astype(np.uint64))
     by = np.lexsort((runs["id"], whole))
     head = np.concatenate([[True], whole[by][1:] != whole[by][:-1]])
+    del mers, where, starts, power, back, sums, doc  # long arrays that packing does not need
     lead = by[head][np.cumsum(head) - 1]
     settled = np.zeros(len(runs), bool)
     settled[by] = (runs["id"][by] > runs["id"][lead]) & (n[by] == n[lead])
