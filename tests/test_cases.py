@@ -1,6 +1,7 @@
 """Hand cases of what a plain port would get wrong."""
 
 import math
+import random
 import zipfile
 
 import numpy as np
@@ -223,3 +224,37 @@ def test_spearman_and_anderson_by_hand(spark):
     want = -n - ((2 * i - 1) * (np.log(low) + np.log(1 - low[::-1]))).sum() / n
     assert stats.anderson_darling(df, ["g"], "y").first()["a2"] == pytest.approx(want)
     assert stats.spearman(df.limit(0), ["g"], "x", "y").count() == 0
+
+
+def test_nearest_far_away_with_ties(spark):
+    rng = random.Random(3)
+    spot = lambda: (rng.choice([-2e7, -5e6, 0.0, 3e3, 1.9e7]) + rng.randrange(-50, 50) * 100.0, rng.randrange(-40, 40) * 5e5)
+    left, right = [(i, *spot()) for i in range(120)], [(i, *spot()) for i in range(60)]
+    right += [(100 + i, x, y) for i, x, y in right[:5]]  # repeated positions
+    got = spatial.nearest(spark.createDataFrame(left, "a long, x double, y double"), spark.createDataFrame(right, "b long, x double, y double"), "a", "b")
+    expected = []
+    for a, x, y in left:
+        distances = {b: math.sqrt((x - u) ** 2 + (y - v) ** 2) for b, u, v in right}
+        expected += [(a, b) for b, d in distances.items() if d == min(distances.values())]
+    assert values(got, "a", "b") == sorted(expected, key=str)
+
+
+def test_assignment_is_the_serial_one(spark):
+    rng = random.Random(5)
+    pairs = [(c, o, float(rng.randrange(6))) for c in range(60) for o in rng.sample(range(45), rng.randrange(1, 7))]
+    options = {c: sorted((d, o) for k, o, d in pairs if k == c) for c in range(60)}
+    taken, expected = set(), []
+    for c in sorted(options, key=lambda c: (len(options[c]), c)):
+        free = [o for _, o in options[c] if o not in taken]
+        if free:
+            taken.add(free[0])
+            expected.append((c, free[0]))
+    got = relocate.assign(spark.createDataFrame(pairs, "cluster_id long, OSMID long, distance double"))
+    assert values(got, "cluster_id", "OSMID") == sorted(expected, key=str)
+
+
+def test_relocation_of_no_clusters(spark):
+    clusters = spark.createDataFrame([], "cluster_id long, year int, rural int, x double, y double")
+    places = spark.createDataFrame([(1, 1, 0.0, 0.0)], "OSMID long, rural int, x double, y double")
+    got = relocate.relocate(clusters, places, "ruc")
+    assert got.count() == 0 and {"OSMID", "pplace_cluster_distance", "pplace_rural"} <= set(got.columns)

@@ -31,19 +31,19 @@ def candidates(clusters: DataFrame, places: DataFrame, rural: int) -> DataFrame:
 def assign(pairs: DataFrame) -> DataFrame:
     """JN27: one-to-one assignment of clusters to places, as if clusters came one by one in the order (number of candidates, id) and took their nearest free place (ties: smaller OSMID).
 
-    All places rank clusters alike, so deferred acceptance gives the same result in rounds: each free cluster asks its best place
-    that has not refused it, each place keeps the first of those that ask. Refused pairs leave; it ends when a round refuses none.
+    All places rank clusters alike, so deferred acceptance gives the same result in rounds: each cluster asks its best place of those left,
+    each place holds the first of those that ask, and all later clusters lose that place at once. It ends when no two ask for one place.
     """
     n = Window.partitionBy("cluster_id")
     left = cut(pairs.withColumn("n", F.count(F.lit(1)).over(n)))
     while True:
         asked = left.groupBy("cluster_id").agg(F.min(F.struct("distance", "OSMID", "n")).alias("best")).select("cluster_id", "best.OSMID", "best.distance", "best.n")
         asked = cut(asked)
-        kept = asked.groupBy("OSMID").agg(F.min(F.struct("n", "cluster_id")).alias("first")).select("OSMID", F.col("first.cluster_id").alias("cluster_id"))
-        refused = cut(asked.join(kept, ["OSMID", "cluster_id"], "left_anti").select("cluster_id", "OSMID"))
-        if refused.isEmpty():
+        held = asked.groupBy("OSMID").agg(F.min(F.struct("n", "cluster_id")).alias("first"), F.count(F.lit(1)).alias("asking"))
+        if held.filter("asking > 1").isEmpty():
             return asked.select("cluster_id", "OSMID", "distance")
-        left = cut(left.join(refused, ["cluster_id", "OSMID"], "left_anti"))
+        kept = left.join(held.select("OSMID", "first"), "OSMID", "left").filter(F.col("first").isNull() | (F.struct("n", "cluster_id") <= F.col("first")))
+        left = cut(kept.select(*left.columns))
 
 
 def relocate(clusters: DataFrame, places: DataFrame, option: str = "rc", strict_global: bool = True) -> DataFrame:
@@ -57,16 +57,18 @@ def relocate(clusters: DataFrame, places: DataFrame, option: str = "rc", strict_
     if option == "none":
         return unmoved(clusters)
     years = sorted((r["year"] for r in clusters.select("year").distinct().collect()), reverse=True)  # a handful
-    done = None
-    for rural in (1,) if option == "rc" else (0, 1):
-        taken = None
-        for year in years:
-            free = places if taken is None or not strict_global else places.join(taken, "OSMID", "left_anti")
-            got = cut(assign(candidates(clusters.filter(F.col("year") == year), free, rural)).withColumn("pplace_rural", F.lit(rural)))
-            taken = got.select("OSMID") if taken is None else taken.union(got.select("OSMID"))
-            done = got if done is None else done.union(got)
+    moving, done = clusters.filter("rural = 1") if option == "rc" else clusters, None
+    for year in years:
+        free = places if done is None or not strict_global else places.join(done, "OSMID", "left_anti")
+        # settlements share neither clusters nor places: one assignment serves both
+        of_year = moving.filter(F.col("year") == year)
+        pairs = candidates(of_year, free, 1) if option == "rc" else candidates(of_year, free, 0).union(candidates(of_year, free, 1))
+        got = cut(assign(pairs))
+        done = got if done is None else done.union(got)
+    if done is None:  # no clusters
+        return unmoved(clusters)
     out = clusters.join(done.withColumnRenamed("distance", "pplace_cluster_distance"), "cluster_id", "left")
-    return out.withColumn("pplace_cluster_distance", F.coalesce("pplace_cluster_distance", F.lit(0.0)))
+    return out.withColumns({"pplace_cluster_distance": F.coalesce("pplace_cluster_distance", F.lit(0.0)), "pplace_rural": F.when(F.col("OSMID").isNotNull(), F.col("rural"))})
 
 
 def within_allowance(df: DataFrame, id: str = "cluster_id", rural: str = "rural", distance: str = "pplace_cluster_distance", seed: int = 0, order=None) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,6 +63,33 @@ def find_in_square(places: DataFrame, points: DataFrame, id: str, width: float,
     return pairs.select(F.col(f"a.{id}").alias(id), *[F.col(f"b.{c}").alias(c) for c in columns], d.alias("distance"))
 
 
+def _descended(left: DataFrame, right: DataFrame, id: str, size: float) -> DataFrame:
+    """(id, x, y, gx, gy): the cells of side ``size`` that can hold a left row's nearest right row, found from the world downwards.
+
+    Cells are kept with the bounds of their points. A cell whose bounds begin beyond the farthest corner of another cell's bounds cannot
+    hold the nearest. Each level is an equi-join with cells a quarter as wide; few cells of a row are left after each.
+    """
+    leaves = right.groupBy(_cell(F.col("x"), size).alias("gx"), _cell(F.col("y"), size).alias("gy"))
+    leaves = cut(leaves.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")))
+    top = 0
+    while size * 4**top < 2 * WORLD:
+        top += 1
+    x, y, one = F.col("x"), F.col("y"), Window.partitionBy(id)
+    # at the top the origin's four cells are the world
+    open_cells = left.withColumns({"up_x": F.explode(F.array(F.lit(-1), F.lit(0)).cast("array<bigint>"))})
+    open_cells = open_cells.withColumn("up_y", F.explode(F.array(F.lit(-1), F.lit(0)).cast("array<bigint>")))
+    for level in range(top - 1, -1, -1):
+        cells = leaves.groupBy(F.shiftright("gx", 2 * level).alias("gx"), F.shiftright("gy", 2 * level).alias("gy"))
+        cells = cells.agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+        cells = cells.withColumns({"up_x": F.shiftright("gx", 2), "up_y": F.shiftright("gy", 2)})
+        met = open_cells.select(id, "x", "y", "up_x", "up_y").join(cells, ["up_x", "up_y"])
+        low = geo.distance(x, y, F.least(F.greatest(x, F.col("x0")), F.col("x1")), F.least(F.greatest(y, F.col("y0")), F.col("y1")))
+        far_x, far_y = F.greatest(F.abs(x - F.col("x0")), F.abs(x - F.col("x1"))), F.greatest(F.abs(y - F.col("y0")), F.abs(y - F.col("y1")))
+        met = met.withColumns({"low": low, "most": F.min(F.sqrt(far_x * far_x + far_y * far_y)).over(one)})
+        open_cells = met.filter(F.col("low") <= F.col("most") * (1 + 1e-12)).select(id, "x", "y", F.col("gx").alias("up_x"), F.col("gy").alias("up_y"))
+    return open_cells.withColumnsRenamed({"up_x": "gx", "up_y": "gy"})
+
+
 def nearest(
     left: DataFrame, right: DataFrame, id: str, right_id: str, columns: tuple[str, ...] = (), ties: str = "all", size: float = 2000.0, most: float | None = None, how: str = "left"
 ) -> DataFrame:
@@ -71,27 +97,27 @@ def nearest(
 
     ``ties``: "all" keeps every right row at the least distance, "lowest" the one with the smallest id. ``most``: no further than this.
     ``how``: "left" keeps rows without a match (NULL), "inner" drops them. A distance up to the cell's size found among
-    3 x 3 cells is surely the least; other rows go on to cells four times as large, so rounds grow with the logarithm of the extent.
+    3 x 3 cells is surely the least; for the other rows the cells to look into are found level by level.
     """
     order = [F.col("distance")] if ties == "all" else [F.col("distance"), F.col(right_id)]
     best = F.rank() if ties == "all" else F.row_number()
-    todo, done, reach = left.select(id, "x", "y"), [], float(most or size)
+    todo, reach = left.select(id, "x", "y"), float(most or size)
     right = right.select(right_id, *columns, "x", "y")
-    while True:
-        pairs = near(todo, right, reach)
+
+    def closest(pairs: DataFrame, within: float | None) -> DataFrame:
+        """Of pairs of ``a`` and ``b`` the best of each left row; the rank is limited before the shuffle too."""
         d = geo.distance(F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y"))
         pairs = pairs.select(F.col(f"a.{id}").alias(id), *[F.col(f"b.{c}").alias(c) for c in (right_id, *columns)], d.alias("distance"))
-        found = pairs.filter(F.col("distance") <= reach).withColumn("place", best.over(Window.partitionBy(id).orderBy(*order))).filter("place = 1").drop("place")
-        if most is not None or reach > 2 * WORLD:
-            done.append(found)
-            break
-        found = cut(found)
-        done.append(found)
-        todo = cut(todo.join(found.select(id).distinct(), id, "left_anti"))
-        if todo.isEmpty():
-            break
-        reach *= 4
-    out = reduce(DataFrame.unionByName, done)
+        pairs = pairs if within is None else pairs.filter(F.col("distance") <= within)
+        return pairs.withColumn("place", best.over(Window.partitionBy(id).orderBy(*order))).filter("place = 1").drop("place")
+
+    out = closest(near(todo, right, reach), reach)
+    if most is None:
+        out = cut(out)
+        todo = todo.join(out.select(id).distinct(), id, "left_anti")
+        a = _descended(todo, right, id, reach).alias("a")
+        b = right.withColumns({"gx": _cell(F.col("x"), reach), "gy": _cell(F.col("y"), reach)}).alias("b")
+        out = out.unionByName(closest(a.join(b, (F.col("a.gx") == F.col("b.gx")) & (F.col("a.gy") == F.col("b.gy"))), None))
     return left.select(id).join(out, id, "left") if how == "left" else out
 
 
