@@ -562,3 +562,55 @@ def test_pipeline_judges_rows(spark, data, tmp_path):
     for r in kept:
         tokens[r["doc_id"]] += len(t.encode(r["text"], add_special_tokens=False).ids) + 1
     assert packed.keys() == tokens.keys() and sum(packed.values()) == pytest.approx(sum(tokens.values()), abs=2)
+
+
+def test_registered_queries_against_brute_force(spark, data):
+    """op3, op4, op8 and op10 as registered, on all documents."""
+    from wealthspark.llm.queries import QUERIES
+
+    t = tokenizer()
+    every = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
+    ids = {i: t.encode(x, add_special_tokens=False).ids for i, x in every.items()}
+    left = lambda i, n: zlib.crc32(str(i).encode()) % n
+
+    coded = rows(QUERIES["op8_bpe"](spark, data))
+    assert coded.keys() == every.keys()
+    for i, r in coded.items():
+        decoded = t.decode(ids[i], skip_special_tokens=False)
+        want = (len(ids[i]), hashlib.sha256(np.array(ids[i], "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == want
+
+    pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
+    for r in QUERIES["op3_packing"](spark, data).collect():
+        pieces[r["doc_id"]].append(r)
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert pieces.keys() == every.keys()
+    for i, parts in pieces.items():
+        whole, at = [*ids[i], 0], 0
+        parts.sort(key=lambda r: r["piece"])
+        assert [r["piece"] for r in parts] == list(range(-(-len(whole) // 2048)))
+        for r in parts:
+            assert r["start"] == at and r["ids_crc32"] == zlib.crc32(np.array(whole[at : at + r["length"]], "<u4").tobytes())
+            at += r["length"]
+        assert at == len(whole) and all(r["length"] == 2048 for r in parts[1:])
+    for placed in sequences.values():
+        placed.sort()
+        ends = np.cumsum([n for _, n in placed]).tolist()
+        assert [o for o, _ in placed] == [0, *ends[:-1]] and ends[-1] <= 2048
+
+    scored, counts = rows(QUERIES["op10_lm_score"](spark, data)), collections.Counter()
+    words = {i: [*WORD.findall(lower(x)), None] for i, x in every.items()}
+    for i, w in words.items():
+        if left(i, 7) != 2:
+            counts.update(w)
+    n, v = sum(counts.values()), len(counts)
+    assert scored.keys() == every.keys()
+    for i, w in words.items():
+        r = scored[i]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (left(i, 7) == 2, len(w), sum(counts[x] > 0 for x in w), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w)) and r["score"] <= 0
+
+    judged = rows(QUERIES["op4_quality"](spark, data))
+    assert judged.keys() == every.keys()
+    for i, r in judged.items():
+        assert r["held_out"] == (left(i, 5) == 0) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3)
