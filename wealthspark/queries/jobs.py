@@ -200,7 +200,24 @@ def gx9(spark, d):
     return rounded(features.pagerank(edges, weighted=False))
 
 
-@query("GX8_mobility_features")
+def ranks(name: str, weight: str) -> str:
+    """Named subqueries with the page rank (node, x) of each node of ``g`` (s, t, w), by 60 rounds."""
+    return f"""{name}_o AS MATERIALIZED (SELECT s, sum({weight}) AS total FROM g GROUP BY s),
+{name}_r AS (SELECT 0 AS i, list(struct_pack(node := node, x := 1.0 / (SELECT count(*) FROM n))) AS v FROM n UNION ALL
+SELECT i + 1, (SELECT list(struct_pack(node := n.node, x := 0.15 / (SELECT count(*) FROM n) + 0.85 * coalesce(h.x, 0))) FROM n LEFT JOIN (SELECT g.t, sum(u.p.x * {weight} / o.total) AS x FROM (SELECT unnest({name}_r.v) AS p) u JOIN g ON g.s = u.p.node JOIN {name}_o o ON o.s = g.s GROUP BY g.t) h ON n.node = h.t) FROM {name}_r WHERE i < 60),
+{name}_l AS (SELECT unnest(v) AS p FROM {name}_r WHERE i = 60), {name} AS (SELECT p.node AS node, p.x / (SELECT sum(q.p.x) FROM {name}_l q) AS x FROM {name}_l)"""
+
+
+SIX = ["out_degree", "in_degree", "out_flow", "in_flow", "pagerank", "pagerank_unweighted"]
+MEASURES = f"""{EDGES}, g AS MATERIALIZED (SELECT source AS s, target AS t, weight AS w, distance AS d FROM e), n AS MATERIALIZED (SELECT s AS node FROM g UNION SELECT t FROM g), {ranks("pw", "g.w")}, {ranks("pu", "1.0")},
+o AS (SELECT s, count(*) AS k, sum(w) AS f, sum(d) AS d FROM g GROUP BY s), i AS (SELECT t, count(*) AS k, sum(w) AS f, sum(d) AS d FROM g GROUP BY t),
+y AS (SELECT n.node AS node, coalesce(o.k, 0) AS out_degree, coalesce(i.k, 0) AS in_degree, coalesce(o.f, 0) AS out_flow, coalesce(i.f, 0) AS in_flow, pw.x AS pagerank, pu.x AS pagerank_unweighted, coalesce(o.d, 0) / (SELECT count(*) FROM n) AS out_distance, coalesce(i.d, 0) / (SELECT count(*) FROM n) AS in_distance
+FROM n LEFT JOIN o ON n.node = o.s LEFT JOIN i ON n.node = i.t JOIN pw ON n.node = pw.node JOIN pu ON n.node = pu.node),
+b AS (SELECT place_id, arg_min(node, (d, node)) AS node, min(d) AS distance FROM (SELECT p.place_id, q.place_id AS node, sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2) AS d FROM {xy("fx_place")} p CROSS JOIN {xy("fx_place")} q WHERE q.place_id IN (SELECT node FROM n)) GROUP BY place_id)"""
+TERMS = ", ".join(f"round({c} / nullif(pow(distance, {e}), 0), 6) AS FBMV_{c}_{label}" for c in SIX for label, e in (("d", 1.0), ("d15", 1.5), ("d2", 2.0)))
+
+
+@query("GX8_mobility_features", f"WITH RECURSIVE {MEASURES} SELECT place_id, " + ", ".join(f"round({c}, 6) AS FBMV_{c}" for c in [*SIX, "out_distance", "in_distance", "distance"]) + f", {TERMS} FROM b LEFT JOIN y USING (node)")
 def gx8(spark, d):
     edges = features.edge_weights(view(spark, d, "fx_move"))
     spots = points(spark, d, "fx_place").select(F.col("place_id").alias("node"), "x", "y").join(features.nodes(edges).select("node"), "node", "left_semi")
