@@ -169,33 +169,39 @@ def degrees(edges: DataFrame) -> DataFrame:
     return all_.select("node", "out_degree", "in_degree", "out_flow", "in_flow", (F.col("out_sum") / F.col("n")).alias("out_distance"), (F.col("in_sum") / F.col("n")).alias("in_distance"))
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, weighted: bool = True, tolerance: float = 1e-10, rounds: int = 200) -> DataFrame:
-    """GX9: rank of each node, normalised to sum 1: x <- (1 - p) / n + p * sum of x_s * w / out_s, until no rank moves by more than ``tolerance``."""
-    w = F.col("weight") if weighted else F.lit(1.0)
-    out = edges.groupBy(F.col("source").alias("s")).agg(F.sum(w).alias("total"))
-    share = cut(edges.join(out, F.col("source") == F.col("s")).select("source", "target", F.try_divide(w, F.col("total")).alias("share")))
+def pageranks(edges: DataFrame, weights: dict[str, Column], damping: float = 0.85, tolerance: float = 1e-10, rounds: int = 200) -> DataFrame:
+    """GX9: for each named weight the rank of each node, normalised to sum 1: x <- (1 - p) / n + p * sum of x_s * w / out_s, until no rank
+    moves by more than ``tolerance``. All weights go through the same joins."""
+    out = edges.groupBy(F.col("source").alias("s")).agg(*[F.sum(w).alias(f"total_{c}") for c, w in weights.items()])
+    share = edges.join(out, F.col("source") == F.col("s")).select("source", "target", *[F.try_divide(w, F.col(f"total_{c}")).alias(f"share_{c}") for c, w in weights.items()])
+    share = cut(share)
     names = cut(edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct())
     n = names.count()
-    ranks = names.withColumn("rank", F.lit(1.0 / max(n, 1)))
+    ranks = names.withColumns({c: F.lit(1.0 / max(n, 1)) for c in weights})
     for k in range(rounds):
-        got = share.join(ranks, F.col("source") == F.col("node")).groupBy(F.col("target").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        new = ranks.withColumnRenamed("rank", "old").join(got, "node", "left")
-        new = new.select("node", ((1 - damping) / max(n, 1) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"), "old")
+        got = share.join(ranks, F.col("source") == F.col("node")).groupBy(F.col("target").alias("node")).agg(*[F.sum(F.col(c) * F.col(f"share_{c}")).alias(f"got_{c}") for c in weights])
+        new = ranks.withColumnsRenamed({c: f"old_{c}" for c in weights}).join(got, "node", "left")
+        new = new.withColumns({c: (1 - damping) / max(n, 1) + damping * F.coalesce(f"got_{c}", F.lit(0.0)) for c in weights})
         if k % 5 == 4:
             new = cut(new)
-            if (new.agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0) < tolerance:
-                ranks = new.select("node", "rank")
+            moved = [F.coalesce(F.max(F.abs(F.col(c) - F.col(f"old_{c}"))), F.lit(0.0)) for c in weights]
+            if max(new.agg(*moved).first()) < tolerance:
+                ranks = new.select("node", *weights)
                 break
-        ranks = new.select("node", "rank")
-    total = ranks.agg(F.sum("rank").alias("total"))
-    return ranks.crossJoin(F.broadcast(total)).select("node", (F.col("rank") / F.col("total")).alias("rank"))  # total: one row
+        ranks = new.select("node", *weights)
+    totals = ranks.agg(*[F.sum(c).alias(f"total_{c}") for c in weights])
+    return ranks.crossJoin(F.broadcast(totals)).select("node", *[(F.col(c) / F.col(f"total_{c}")).alias(c) for c in weights])  # totals: one row
+
+
+def pagerank(edges: DataFrame, damping: float = 0.85, weighted: bool = True, tolerance: float = 1e-10, rounds: int = 200) -> DataFrame:
+    """GX9: (node, rank) by the edges' weights, or with all edges alike."""
+    return pageranks(edges, {"rank": F.col("weight") if weighted else F.lit(1.0)}, damping, tolerance, rounds)
 
 
 def mobility(places: DataFrame, edges: DataFrame, points: DataFrame, id: str = "place_id") -> DataFrame:
     """GX8 (27): the closest node (``points``: node, x, y), its degrees, flows, mean distances and both page ranks, its distance, and 18 gravity terms."""
     edges = cut(edges)
-    measures = degrees(edges).join(pagerank(edges).withColumnRenamed("rank", "pagerank"), "node")
-    measures = measures.join(pagerank(edges, weighted=False).withColumnRenamed("rank", "pagerank_unweighted"), "node")
+    measures = degrees(edges).join(pageranks(edges, {"pagerank": F.col("weight"), "pagerank_unweighted": F.lit(1.0)}), "node")
     closest = spatial.nearest(places, points, id, "node", ties="lowest")
     out = closest.join(measures, "node", "left")
     six = ["out_degree", "in_degree", "out_flow", "in_flow", "pagerank", "pagerank_unweighted"]
