@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_extract, lm_score, near_dedup, packing, quality, search, secret_scan, substring_dedup
+from . import bpe, chat, exact_dedup, html_extract, lm_score, merkle, near_dedup, packing, quality, search, secret_scan, substring_dedup
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -89,6 +89,28 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+#: The fields of a leaf, in their order.
+LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Merkle manifest of all documents; where 3 divides the id's checksum the text is tampered with."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    out = merkle.manifest(spark, documents(spark, sf_dir), LEAF, "lang", tampered=tampered, proofs=False)
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+#: A conversation whose texts hold the control strings of common templates.
+STRANGE = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+
+
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the strange one, formatted and read back from the output."""
+    given = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    turns = given.union(spark.createDataFrame(STRANGE, "conv_id long, turn long, role string, text string"))
+    return chat.read_back(chat.format_turns(spark, turns))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_near_dedup": op2_near_dedup,
@@ -100,12 +122,59 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_search": op9_search,
     "op10_lm_score": op10_lm_score,
+    "op12_merkle": op12_merkle,
+    "op13_chat": op13_chat,
 }
 
 #: Words of a text: what stands between the six ASCII white-space characters.
 WORDS = r"list_filter(string_split_regex({0}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
+
+
+def merkle_sql(levels: int = 7, over: int = 3) -> str:
+    """Trees of at most 8 ** levels documents a language and 8 ** over languages."""
+    field = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    lowered = f"translate(text, '{UPPER}', '{LOWER}')"
+    whole, changed = (f"sha256({' || '.join(field(c) for c in (*LEAF[:-1], text))})" for text in ("text", lowered))
+    bits = "b0 AS (SELECT range AS n, range AS v FROM range(256))"
+    for k in range(8):
+        bits += f", b{k + 1} AS (SELECT n, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END AS v FROM b{k})"
+    crc = "xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda a, c: xor(a >> 8, t[(xor(a, c) & 255) + 1]), 4294967295), 4294967295)"
+    out = [
+        f"{bits}, crc AS (SELECT list(v ORDER BY n) AS t FROM b8)",
+        f"d AS (SELECT doc_id, coalesce('=' || lang, '') AS g, {whole} AS leaf, CASE WHEN {crc} % 3 = 0 THEN {changed} ELSE {whole} END AS bad FROM documents, crc)",
+        "n0 AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY doc_id, leaf) - 1 AS i, leaf AS h FROM d)",
+        "p0 AS (SELECT doc_id, g, leaf, row_number() OVER (PARTITION BY g ORDER BY doc_id, leaf) - 1 AS i, '' AS proof, bad AS f FROM d)",
+    ]
+
+    def climb(nodes: str, proofs: str, number: int) -> None:
+        for k in range(number):
+            node = "CASE WHEN m = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END"
+            out.append(f"r{nodes}{k} AS (SELECT g, i // 8 AS i, list(h ORDER BY i) AS hs, any_value(m) AS m FROM (SELECT *, count(*) OVER (PARTITION BY g) AS m FROM {nodes}{k}) GROUP BY g, i // 8)")
+            out.append(f"{nodes}{k + 1} AS (SELECT g, i, {node} AS h FROM r{nodes}{k})")
+            left, right = "array_to_string(hs[1:p.i % 8], '')", "array_to_string(hs[p.i % 8 + 2:], '')"
+            out.append(
+                f"{proofs}{k + 1} AS (SELECT p.* REPLACE (p.i // 8 AS i, CASE WHEN m = 1 THEN proof ELSE proof || {left} || {right} END AS proof, CASE WHEN m = 1 THEN f ELSE sha256({left} || f || {right}) END AS f) "
+                f"FROM {proofs}{k} p JOIN r{nodes}{k} r ON p.g = r.g AND p.i // 8 = r.i)"
+            )
+
+    climb("n", "p", levels)
+    out.append(f"m0 AS (SELECT 'top' AS g, row_number() OVER (ORDER BY g) - 1 AS i, h, g AS of FROM n{levels})")
+    out.append(f"q0 AS (SELECT p.doc_id, p.leaf, m.h AS subroot, 'top' AS g, m.i, p.proof, p.f FROM p{levels} p JOIN m0 m ON p.g = m.of)")
+    climb("m", "q", over)
+    return f"WITH {', '.join(out)} SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = h AS verified FROM q{over}, m{over}"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_merkle": merkle_sql(),
+    "op13_chat": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, t, CASE WHEN t = 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) r(t))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+ CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ CAST(sum(length(role) + length(text) + len(regexp_extract_all(role, '\\|###|</turn>|: ')) + len(regexp_extract_all(text, '\\|###|</turn>')) + 14) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id""",
     "op2_near_dedup": f"""
 WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format(f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')")} AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
