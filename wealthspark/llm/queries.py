@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, html_extract, lm_score, merkle, near_dedup, packing, quality, search, secret_scan, substring_dedup
+from . import bpe, chat, collocations, exact_dedup, html_extract, lm_score, merkle, near_dedup, packing, quality, search, secret_scan, substring_dedup
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -89,6 +89,11 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of each language, over all documents."""
+    return collocations.phrases(spark, documents(spark, sf_dir))
+
+
 #: The fields of a leaf, in their order.
 LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
 
@@ -122,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_search": op9_search,
     "op10_lm_score": op10_lm_score,
+    "op11_collocations": op11_collocations,
     "op12_merkle": op12_merkle,
     "op13_chat": op13_chat,
 }
@@ -166,6 +172,22 @@ def merkle_sql(levels: int = 7, over: int = 3) -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_collocations": rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda v: v <> '') AS w FROM d),
+g AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+s AS (SELECT lang, w[i:i + k - 1] AS p FROM i, range(1, 5) r(k) WHERE i + k - 1 <= len(w)),
+f AS (SELECT lang, p, count(*) AS a FROM s GROUP BY lang, p HAVING count(*) >= 30),
+c AS (SELECT f.lang, f.p, f.a, x.a AS l, y.a AS r, k, CAST((2000000 * CAST(f.a AS HUGEINT)) // (x.a + y.a) AS BIGINT) AS score
+      FROM f JOIN range(1, 4) q(k) ON k < len(f.p) JOIN f x ON x.lang = f.lang AND x.p = f.p[1:k] JOIN f y ON y.lang = f.lang AND y.p = f.p[k + 1:]),
+b AS (SELECT lang, p, any_value(a) AS a, arg_min(l, score * 4 + k) AS l, arg_min(r, score * 4 + k) AS r, min(score) AS score FROM c GROUP BY lang, p),
+o AS (SELECT lang, p[1:len(p) - 1] AS p, a FROM f WHERE len(p) > 2 UNION ALL SELECT lang, p[2:], a FROM f WHERE len(p) > 2
+      UNION ALL SELECT lang, unnest([p[1:2], p[2:3], p[3:4]]), a FROM f WHERE len(p) = 4),
+m AS (SELECT lang, p, max(a) AS longer FROM o GROUP BY lang, p),
+t AS (SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, array_to_string(b.p, ' ')) AS rank, array_to_string(b.p, ' ') AS phrase, a, l, r, score
+      FROM b LEFT JOIN m ON m.lang = b.lang AND m.p = b.p WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT t.lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM t JOIN g ON t.lang = g.lang WHERE rank <= 2000""",
     "op12_merkle": merkle_sql(),
     "op13_chat": r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
