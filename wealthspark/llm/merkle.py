@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from .shared import Tables
 
 FANOUT, POWER = 8, 4
-SPAN = FANOUT**POWER
 
 
 def digest(text: str) -> str:
@@ -79,10 +78,10 @@ def folded(leaf: str, proof: str) -> str:
     return leaf
 
 
-def _top(n: int) -> int:
+def _top(n: int, power: int) -> int:
     """Levels above a block of a level with ``n`` nodes."""
-    if n > SPAN:
-        return POWER
+    if n > FANOUT**power:
+        return power
     top = 0
     while n > 1:
         n, top = -(-n // FANOUT), top + 1
@@ -109,19 +108,20 @@ def _numbered(tables: Tables, df: DataFrame, order: list[str]) -> DataFrame:
     return dealt.join(starts, ["key", "range"]).withColumn("index", F.col("at") - F.col("zero")).drop("at", "range", "zero")
 
 
-def _raised(nodes: DataFrame) -> DataFrame:
-    """The nodes above blocks of ``SPAN``: (key, index, n, digest). A key's last node stays as it is."""
+def _raised(nodes: DataFrame, power: int) -> DataFrame:
+    """The nodes above blocks: (key, index, n, digest). A key's last node stays as it is."""
+    span = FANOUT**power
 
     def work(table: pa.Table) -> pa.Table:
         table = table.sort_by("index")
         n = table["n"][0].as_py()
-        top = climbed(table["digest"].to_pylist(), _top(n))[-1][0]
-        return pa.table({"key": table["key"][:1], "index": [table["index"][0].as_py() // SPAN], "n": [-(-n // SPAN)], "digest": [top]})
+        top = climbed(table["digest"].to_pylist(), _top(n, power))[-1][0]
+        return pa.table({"key": table["key"][:1], "index": [table["index"][0].as_py() // span], "n": [-(-n // span)], "digest": [top]})
 
-    return nodes.select("key", "index", "n", "digest").groupBy("key", F.floor(F.col("index") / SPAN)).applyInArrow(work, "key string, index long, n long, digest string")
+    return nodes.select("key", "index", "n", "digest").groupBy("key", F.floor(F.col("index") / span)).applyInArrow(work, "key string, index long, n long, digest string")
 
 
-def _proved(nodes: DataFrame, above: DataFrame, root: str | None = None, proofs: bool = True) -> DataFrame:
+def _proved(nodes: DataFrame, above: DataFrame, power: int, root: str | None = None, proofs: bool = True) -> DataFrame:
     """Each node's proof from the proof of its block's top: ``above`` has (key, index, proof, subroot). With ``root`` the nodes are rows: their other
     columns stay, and the digests of their proofs and what their tampered leaves fold to are added."""
     kept = [] if root is None else [f for f in nodes.schema if f.name not in ("key", "index", "n")]
@@ -131,7 +131,7 @@ def _proved(nodes: DataFrame, above: DataFrame, root: str | None = None, proofs:
 
     def work(table: pa.Table, over: pa.Table) -> pa.Table:
         table = table.sort_by("index")
-        paths = descended(climbed(table["digest"].to_pylist(), _top(table["n"][0].as_py())), over["proof"][0].as_py())
+        paths = descended(climbed(table["digest"].to_pylist(), _top(table["n"][0].as_py(), power)), over["proof"][0].as_py())
         subroot = pa.array([over["subroot"][0].as_py()] * len(paths))
         if not kept:
             return pa.table({"key": table["key"], "index": table["index"], "proof": paths, "subroot": subroot})
@@ -140,34 +140,34 @@ def _proved(nodes: DataFrame, above: DataFrame, root: str | None = None, proofs:
         shown = pa.array(paths if proofs else [None] * len(paths), pa.string())
         return pa.table({f.name: table[f.name] for f in kept} | {"subroot": subroot, "proof": shown, "proof_sha256": shas, "folded_root": back})
 
-    blocks = nodes.groupBy("key", F.floor(F.col("index") / SPAN).alias("block"))
+    blocks = nodes.groupBy("key", F.floor(F.col("index") / FANOUT**power).alias("block"))
     return blocks.cogroup(above.withColumnRenamed("index", "block").groupBy("key", "block")).applyInArrow(work, fields)
 
 
-def _passes(nodes: DataFrame) -> int:
+def _passes(nodes: DataFrame, power: int) -> int:
     """How often blocks must be raised until each key has one node."""
     most, k = nodes.agg(F.max("n")).first()[0] or 0, 0
     while most > 1:
-        most, k = -(-most // SPAN), k + 1
+        most, k = -(-most // FANOUT**power), k + 1
     return k
 
 
-def _tree(tables: Tables, leaves: DataFrame) -> list[DataFrame]:
+def _tree(tables: Tables, leaves: DataFrame, power: int) -> list[DataFrame]:
     """The leaves and the nodes after each pass; the last table has one node for each key."""
     rounds = [leaves]
-    for _ in range(_passes(leaves)):
-        rounds.append(tables.write(_raised(rounds[-1])))
+    for _ in range(_passes(leaves, power)):
+        rounds.append(tables.write(_raised(rounds[-1], power)))
     return rounds
 
 
 def manifest(
-    spark: SparkSession, docs: DataFrame, fields: list[str], group: str, id: str = "doc_id", text: str = "text", tampered: Column | None = None, proofs: bool = True
+    spark: SparkSession, docs: DataFrame, fields: list[str], group: str, id: str = "doc_id", text: str = "text", tampered: Column | None = None, proofs: bool = True, power: int = POWER
 ) -> DataFrame:
     """One row per row of ``docs``: id, ``leaf``, ``subroot``, ``root``, ``proof``, ``proof_sha256``, ``folded_root``, ``verified``.
 
     Leaves digest the ``fields``, ascend by id in each ``group``; the groups' roots ascend by group, null first. ``tampered`` marks rows whose text
     is read with A-Z lower-cased when their proof is checked: ``folded_root`` is what their leaf and proof then give. ``proofs=False`` leaves
-    ``proof`` null, so that no proof leaves its task.
+    ``proof`` null, so that no proof leaves its task. A block has ``FANOUT ** power`` nodes.
     Nulls in any column are leaves like others; null ids come first and null groups are one group. Rows with one id are ordered by their leaves, so
     equal rows have equal leaves and each its own place. An empty table gives an empty table; other columns are not read.
     """
@@ -181,20 +181,20 @@ def manifest(
     )
     rows = tables.write(rows.withColumn("row", F.monotonically_increasing_id()))
     rows = rows.select("key", "id", "digest", F.coalesce("changed", "digest").alias("tampered"), "row")
-    by_group = _tree(tables, tables.write(_numbered(tables, rows, ["id", "digest", "row"]).drop("row")))
+    by_group = _tree(tables, tables.write(_numbered(tables, rows, ["id", "digest", "row"]).drop("row")), power)
     subroots = by_group[-1].select(F.lit("").alias("key"), F.col("key").alias("group"), "digest")
-    top = _tree(tables, tables.write(_numbered(tables, subroots, ["group"])))
+    top = _tree(tables, tables.write(_numbered(tables, subroots, ["group"])), power)
     first = top[-1].first()
     root = first["digest"] if first else ""
 
     above = top[-1].select("key", "index", F.lit("").alias("proof"), F.lit("").alias("subroot"))
     for nodes in reversed(top[:-1]):
-        above = tables.write(_proved(nodes, above))
+        above = tables.write(_proved(nodes, above, power))
     names = top[0].select("index", F.col("group").alias("key"), F.col("digest").alias("subroot"))
     above = above.select("index", "proof").join(names, "index").select("key", F.lit(0).cast("long").alias("index"), "proof", "subroot")
     for nodes in reversed(by_group[1:-1]):
-        above = tables.write(_proved(nodes, above))
-    out = _proved(by_group[0], above, root, proofs)
+        above = tables.write(_proved(nodes, above, power))
+    out = _proved(by_group[0], above, power, root, proofs)
     return out.select(
         F.col("id").alias(id), F.col("digest").alias("leaf"), "subroot", F.lit(root).alias("root"), "proof", "proof_sha256", "folded_root", (F.col("folded_root") == F.lit(root)).alias("verified")
     )

@@ -176,18 +176,23 @@ ORACLE_SQL: dict[str, str] = {
 WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
 w AS (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda v: v <> '') AS w FROM d),
 g AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
-i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
-s AS (SELECT lang, w[i:i + k - 1] AS p FROM i, range(1, 5) r(k) WHERE i + k - 1 <= len(w)),
-f AS (SELECT lang, p, count(*) AS a FROM s GROUP BY lang, p HAVING count(*) >= 30),
-c AS (SELECT f.lang, f.p, f.a, x.a AS l, y.a AS r, k, CAST((2000000 * CAST(f.a AS HUGEINT)) // (x.a + y.a) AS BIGINT) AS score
-      FROM f JOIN range(1, 4) q(k) ON k < len(f.p) JOIN f x ON x.lang = f.lang AND x.p = f.p[1:k] JOIN f y ON y.lang = f.lang AND y.p = f.p[k + 1:]),
+x AS (SELECT lang, row_number() OVER () AS piece, w FROM w),
+t AS (SELECT lang, piece, unnest(w) AS w, unnest(range(len(w))) AS i FROM x),
+u AS (SELECT lang, w AS w1, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4 FROM t WINDOW o AS (PARTITION BY piece ORDER BY i)),
+f AS (SELECT lang, [w1] AS p, count(*) AS a FROM u GROUP BY lang, w1 HAVING count(*) >= 30
+      UNION ALL SELECT lang, [w1, w2], count(*) FROM u WHERE w2 IS NOT NULL GROUP BY lang, w1, w2 HAVING count(*) >= 30
+      UNION ALL SELECT lang, [w1, w2, w3], count(*) FROM u WHERE w3 IS NOT NULL GROUP BY lang, w1, w2, w3 HAVING count(*) >= 30
+      UNION ALL SELECT lang, [w1, w2, w3, w4], count(*) FROM u WHERE w4 IS NOT NULL GROUP BY lang, w1, w2, w3, w4 HAVING count(*) >= 30),
+h AS (SELECT f.*, k, p[1:k] AS x, p[k + 1:] AS y FROM f JOIN range(1, 4) q(k) ON k < len(p)),
+c AS (SELECT h.lang, h.p, h.a, x.a AS l, y.a AS r, k, CAST((2000000 * CAST(h.a AS HUGEINT)) // (x.a + y.a) AS BIGINT) AS score
+      FROM h JOIN f x ON x.lang = h.lang AND x.p = h.x JOIN f y ON y.lang = h.lang AND y.p = h.y),
 b AS (SELECT lang, p, any_value(a) AS a, arg_min(l, score * 4 + k) AS l, arg_min(r, score * 4 + k) AS r, min(score) AS score FROM c GROUP BY lang, p),
 o AS (SELECT lang, p[1:len(p) - 1] AS p, a FROM f WHERE len(p) > 2 UNION ALL SELECT lang, p[2:], a FROM f WHERE len(p) > 2
       UNION ALL SELECT lang, unnest([p[1:2], p[2:3], p[3:4]]), a FROM f WHERE len(p) = 4),
 m AS (SELECT lang, p, max(a) AS longer FROM o GROUP BY lang, p),
-t AS (SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, array_to_string(b.p, ' ')) AS rank, array_to_string(b.p, ' ') AS phrase, a, l, r, score
+z AS (SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, array_to_string(b.p, ' ')) AS rank, array_to_string(b.p, ' ') AS phrase, a, l, r, score
       FROM b LEFT JOIN m ON m.lang = b.lang AND m.p = b.p WHERE longer IS NULL OR 100 * longer < 80 * a)
-SELECT t.lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM t JOIN g ON t.lang = g.lang WHERE rank <= 2000""",
+SELECT z.lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM z JOIN g ON z.lang = g.lang WHERE rank <= 2000""",
     "op12_merkle": merkle_sql(),
     "op13_chat": r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
