@@ -106,11 +106,11 @@ def test_blocks_overlap(monkeypatch):
     import pyarrow as pa
 
     batch = pa.record_batch([pa.array(["en"] * 2), pa.array(["a b c d e. f g " * 5, "h"])], ["lang", "text"])
-    every = np.full(1 << 23, 255, np.uint8)
+    every = collocations.Frequent(np.full(1 << 23, 255, np.uint8))
     want = np.concatenate([rows for _, rows in collocations._blocks(iter([batch]), 0, every)])
     monkeypatch.setattr(collocations, "BLOCK", 3)
     got = np.concatenate([rows for _, rows in collocations._blocks(iter([batch]), 0, every)])
-    assert (got == want).all() and len(got) == 36
+    assert (got == want).all() and len(got) == 4 + 4 * 6 + 1
 
 
 def test_parts_keep_the_budget():

@@ -1,9 +1,10 @@
 """Collocations: phrases of two to four words whose parts seldom stand apart, with exact counts per language.
 
-Counts come from suffix trees of depth four, built in vertical parts. A first scan counts words. Prefixes are grouped so that a group's suffixes fit a memory budget:
-a prefix above the budget is lengthened by a word (one more scan counts the longer ones), large ones are put together largest first, and the many
-small ones are dealt by hash. One scan then sends each suffix, cut to four words, to its prefix's group; a group sorts its
-suffixes, and the totals of the leaves below a node are its count. Suffixes are summed before they move, so repeated passages stay small.
+Counts come from suffix trees of depth four, built in vertical parts. A first scan counts words, a second one pairs by their hashes, so that suffixes can be cut where
+no phrase that is frequent enough goes on. Prefixes are grouped so that a group's suffixes fit a memory budget: a prefix above the budget is
+lengthened by a word (one more scan counts the longer ones), large ones are put together largest first, and the many small ones are dealt by hash. A last
+scan sends each suffix, cut to four words, to its prefix's group; a group sorts its suffixes, and the totals of the leaves below
+a node are its count. Suffixes are summed before they move, so repeated passages stay small.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Tables
+from .shared import Tables, partitions
 from .words import joined, mix, word_numbers
 
 #: Words of a phrase at most, occurrences of a phrase at least, and phrases that are told for each language.
@@ -28,8 +29,11 @@ DEPTH, LEAST, TOP = 4, 30, 2000
 BUDGET, GROUPS, NAMED = 1 << 21, 1 << 16, 8
 #: Tokens that a task gathers before it sums suffixes, bytes of text cut into words at a time, and words that it counts before it sends them on.
 BLOCK, CHUNK, WORDS_HELD = 1 << 20, 8 << 20, 300_000
-#: Bits of the filter of words that are frequent enough: a fixed size, so that it can be broadcast. It lets some rare words pass, never drops a frequent one.
-FILTER_BITS = 26
+#: Filters of words and of pairs that are frequent enough have 2 ** so many bits: fixed sizes, so that they can be broadcast. They let some rare ones pass,
+#: never drop a frequent one.
+WORD_BITS, PAIR_BITS = 26, 27
+#: Bits of a pair's hash that are counted by.
+PAIR_HASH = 40
 
 _PIECES = bytes(ord("\n") if chr(c) in ".,;:!?\n\v\f\r" else ord(" ") if c == 9 else c for c in range(256))
 _BREAK = b"."  # no word: it ends pieces itself
@@ -101,23 +105,46 @@ def _named(salt: int):
     return work
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], salt: int, frequent: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
-    """(lang, a row of word numbers for each suffix): suffixes that begin with a word that may be frequent, cut at four words, at a piece's end
-    and before a word that surely is rare."""
+class Frequent:
+    """Filters of words and, once they are counted, of pairs."""
+
+    def __init__(self, words: np.ndarray, pairs: np.ndarray | None = None):
+        self.words, self.pairs = words, pairs
+
+    @staticmethod
+    def _bits(filter: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return (filter[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+    def word(self, ids: np.ndarray) -> np.ndarray:
+        return self._bits(self.words, (ids >> np.uint64(64 - WORD_BITS)).astype(np.int64))
+
+    def pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        there = (left != 0) & (right != 0)
+        if self.pairs is not None:
+            there[there] = self._bits(self.pairs, (joined(left[there], right[there]) >> np.uint64(64 - PAIR_BITS)).astype(np.int64))
+        return there
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], salt: int, frequent: Frequent) -> Iterator[tuple[str, np.ndarray]]:
+    """(lang, a row of word numbers for each suffix): suffixes that begin with a pair that may be frequent, cut at four words, at a piece's end, before a
+    word that surely is rare and before a word that surely is rare after the word in front of it."""
     held: dict[str, list[np.ndarray]] = {}
     sizes: Counter = Counter()
     total = 0
 
     def suffixes(lang: str) -> Iterator[tuple[str, np.ndarray]]:
-        ids = np.concatenate([*held.pop(lang), np.zeros(DEPTH, np.uint64)])
-        at = (ids >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-        ids[(frequent[at >> 3] >> (at & 7).astype(np.uint8) & 1) == 0] = 0
-        for start in range(0, len(ids) - DEPTH, BLOCK):
-            n = min(BLOCK, len(ids) - DEPTH - start)
-            out = np.stack([ids[start + k : start + k + n] for k in range(DEPTH)], axis=1)
-            out = out[out[:, 0] != 0]
-            for k in range(1, DEPTH):
-                out[out[:, k - 1] == 0, k] = 0
+        every = np.concatenate([*held.pop(lang), np.zeros(DEPTH, np.uint64)])
+        for start in range(0, len(every) - DEPTH, BLOCK):
+            ids = every[start : start + BLOCK + DEPTH - 1]
+            ids[~frequent.word(ids)] = 0
+            n = len(ids) - DEPTH + 1
+            goes_on = frequent.pair(ids[:-1], ids[1:])
+            rows = np.flatnonzero(goes_on[:n])
+            out = np.stack([ids[rows + k] for k in range(DEPTH)], axis=1)
+            cut = np.zeros(len(rows), bool)
+            for k in range(2, DEPTH):
+                cut |= ~goes_on[rows + k - 1]
+                out[cut, k] = 0
             yield lang, out
 
     stop = word_numbers([_BREAK])[0]
@@ -142,6 +169,51 @@ def _blocks(batches: Iterator[pa.RecordBatch], salt: int, frequent: np.ndarray)
         yield from suffixes(lang)
 
 
+def _narrow(a: np.ndarray) -> np.ndarray:
+    """The same numbers in as few bytes as they need."""
+    return a.astype(np.min_scalar_type(int(a.max(initial=0))))
+
+
+def _pair_counts(salt: int, shared, parts: int):
+    """(lang, text) -> (part, packed): a block's pairs by the upper bits of their hashes, sorted, in differences, with their counts."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = -(-(1 << PAIR_HASH) // parts)
+        for _, rows in _blocks(batches, salt, shared.value):
+            keys, n = np.unique(joined(rows[:, 0], rows[:, 1]) >> np.uint64(64 - PAIR_HASH), return_counts=True)
+            edges = np.searchsorted(keys, (np.arange(parts + 1) * width).astype(np.uint64)).tolist()
+            there = [p for p in range(parts) if edges[p] < edges[p + 1]]
+            packed = [_pack(keys[edges[p] : edges[p] + 1], _narrow(np.diff(keys[edges[p] : edges[p + 1]])), _narrow(n[edges[p] : edges[p + 1]])) for p in there]
+            yield pa.record_batch([pa.array(there, pa.int64()), pa.array(packed, pa.binary())], ["part", "packed"])
+
+    return work
+
+
+def _frequent_pairs(least: int):
+    """A part's counts -> the filter's bits of pairs that may be frequent."""
+
+    def work(table: pa.Table) -> pa.Table:
+        keys, times = [], []
+        for blob in table["packed"]:
+            first, steps, n = _unpack(blob.as_py())
+            keys.append(np.cumsum(np.concatenate([first, steps.astype(np.uint64)]), dtype=np.uint64))
+            times.append(n.astype(np.int64))
+        keys, at = np.unique(np.concatenate(keys), return_inverse=True)
+        often = np.bincount(at, np.concatenate(times), len(keys)) >= least
+        return pa.table({"place": np.unique(keys[often] >> np.uint64(PAIR_HASH - PAIR_BITS)).astype(np.int64)})
+
+    return work
+
+
+def _filter(places: DataFrame, bits: int) -> np.ndarray:
+    """A filter with the bits at ``place``, put together in slices of 4096 bytes; the driver gets a fixed number of them."""
+    slices = places.groupBy(F.shiftright("place", 15).alias("slice")).agg(F.expr("bitmap_construct_agg(place & 32767)").alias("bits"))
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for row in slices.collect():
+        out[row["slice"] << 12 : (row["slice"] + 1) << 12] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
 def _coded(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct numbers in order (0 first), and their places instead of the numbers."""
     distinct, codes = np.unique(rows, return_inverse=True)
@@ -249,16 +321,16 @@ def _sent(salt: int, shared):
             out: list[list] = [[], []]
             for g, mine in zip(numbers.tolist(), np.split(by, starts[1:])):
                 used, inside = np.unique(codes[mine], return_inverse=True)
-                inside = inside.reshape(-1, DEPTH).astype("<u2" if len(used) <= 1 << 16 else "<u4")
                 out[0].append(g)
-                out[1].append(_pack(ids[used], *inside.T, n[mine].astype("<u4")))
+                out[1].append(_pack(ids[used], *_narrow(inside.reshape(-1, DEPTH)).T, _narrow(n[mine])))
             yield pa.record_batch([pa.array([lang] * len(out[0])), pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], ["lang", "part", "packed"])
 
     return work
 
 
 def _nodes(shared, least: int):
-    """A group's packed suffixes -> its nodes with ``least`` occurrences and more: (lang, words, depth, a, l1, l2, l3), the last three the counts of its first words."""
+    """A group's packed suffixes -> its nodes of two words and more with ``least`` occurrences and more: (lang, words, depth, a, l2, l3), the last two the counts of
+    its first two and three words."""
 
     def work(table: pa.Table) -> pa.Table:
         parts = shared.value
@@ -275,8 +347,9 @@ def _nodes(shared, least: int):
         new = np.zeros(len(codes), bool)
         new[:1] = True
         upper: list[tuple[np.ndarray, np.ndarray]] = []  # starts and counts of the depths above
-        out: list[list] = [[], [], [], [], [], []]
-        for depth in range(1, DEPTH + 1):
+        out: list[list] = [[], [], [], [], []]
+        new[1:] = codes[1:, 0] != codes[:-1, 0]
+        for depth in range(2, DEPTH + 1):
             new[1:] |= codes[1:, depth - 1] != codes[:-1, depth - 1]
             starts = np.flatnonzero(new)
             total = np.add.reduceat(n, starts) if len(starts) else n
@@ -288,19 +361,19 @@ def _nodes(shared, least: int):
             out[0] += [w.tobytes() for w in words]
             out[1] += [depth] * len(chosen)
             out[2] += total[chosen].tolist()
-            for k in range(DEPTH - 1):
-                if k < depth - 1:
+            for k in range(DEPTH - 2):
+                if k < depth - 2:
                     at, counts = upper[k]
                     out[3 + k] += counts[np.searchsorted(at, starts[chosen], "right") - 1].tolist()
                 else:
                     out[3 + k] += [None] * len(chosen)
             upper.append((starts, total))
-        return pa.table([pa.array([table["lang"][0].as_py()] * len(out[0]), pa.string()), pa.array(out[0], pa.binary()), pa.array(out[1], pa.int32()), *(pa.array(c, pa.int64()) for c in out[2:])], ["lang", "words", "depth", "a", "l1", "l2", "l3"])
+        return pa.table([pa.array([table["lang"][0].as_py()] * len(out[0]), pa.string()), pa.array(out[0], pa.binary()), pa.array(out[1], pa.int32()), *(pa.array(c, pa.int64()) for c in out[2:])], ["lang", "words", "depth", "a", "l2", "l3"])
 
     return work
 
 
-_NODE = "lang string, words binary, depth int, a long, l1 long, l2 long, l3 long"
+_NODE = "lang string, words binary, depth int, a long, l2 long, l3 long"
 
 
 def _bytes(prefix: Prefix) -> bytes:
@@ -333,11 +406,11 @@ def phrases(spark: SparkSession, docs: DataFrame, least: int = LEAST, top: int =
     budget = max(budget, -(-total // GROUPS))
 
     usable = words.filter(F.col("n") >= least)
-    place = F.shiftrightunsigned(F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long"), 32 - FILTER_BITS)
-    slices = usable.select(place.alias("place")).groupBy(F.shiftright("place", 15).alias("slice")).agg(F.expr("bitmap_construct_agg(place & 32767)").alias("bits")).collect()
-    frequent = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for row in slices:  # of fixed number and size
-        frequent[row["slice"] << 12 : (row["slice"] + 1) << 12] = np.frombuffer(row["bits"], np.uint8)
+    place = F.shiftrightunsigned(F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long"), 32 - WORD_BITS)
+    frequent = Frequent(_filter(usable.select(place.alias("place")), WORD_BITS))
+    many = max(partitions(spark), -(-2 * total // BUDGET))
+    pairs = texts.mapInArrow(_pair_counts(salt, spark.sparkContext.broadcast(frequent), many), "part long, packed binary")
+    frequent = Frequent(frequent.words, _filter(pairs.groupBy("part").applyInArrow(_frequent_pairs(least), "place long"), PAIR_BITS))
 
     from_bytes = lambda b: tuple(np.frombuffer(b, ">u8").tolist())
     large = F.col("n") > budget // NAMED
@@ -353,12 +426,14 @@ def phrases(spark: SparkSession, docs: DataFrame, least: int = LEAST, top: int =
     shared = spark.sparkContext.broadcast((frequent, parts))
     sent = texts.mapInArrow(_sent(salt, shared), "lang string, part long, packed binary")
     nodes = sent.groupBy("lang", "part").applyInArrow(_nodes(spark.sparkContext.broadcast(parts), least), _NODE)
-    if parts.count:  # at most GROUPS for each number of words; their language is their first word's
-        first = [_bytes(p[:1]) for p in parts.count]
-        upper = [[parts.count[p[:k]] if k < len(p) else None for k in range(1, DEPTH)] for p in parts.count]
-        rows = [(f, _bytes(p), len(p), n, *u) for f, (p, n), u in zip(first, parts.count.items(), upper)]
-        above = spark.createDataFrame(rows, "key binary, words binary, depth int, a long, l1 long, l2 long, l3 long").join(words.select("key", "lang"), "key")
-        nodes = nodes.unionByName(above.drop("key"))
+    above = [p for p in parts.count if len(p) > 1]  # at most GROUPS for each number of words; their language is their first word's
+    if above:
+        rows = [(_bytes(p[:1]), _bytes(p), len(p), parts.count[p], parts.count[p[:2]] if len(p) > 2 else None) for p in above]
+        named = spark.createDataFrame(rows, "key binary, words binary, depth int, a long, l2 long").join(words.select("key", "lang"), "key")
+        nodes = nodes.unionByName(named.drop("key").withColumn("l3", F.lit(None).cast("long")))
+    first = usable.select(F.col("key").alias("first"), F.col("n").alias("l1"))
+    nodes = nodes.withColumn("first", F.substring("words", 1, 8)).join(first, "first").drop("first")
+    nodes = nodes.unionByName(usable.select("lang", F.col("key").alias("words"), F.lit(1).alias("depth"), F.col("n").alias("a")), allowMissingColumns=True)
     nodes = tables.write(nodes)
     return _told(tables, nodes, words, top)
 
