@@ -258,3 +258,69 @@ def test_relocation_of_no_clusters(spark):
     places = spark.createDataFrame([(1, 1, 0.0, 0.0)], "OSMID long, rural int, x double, y double")
     got = relocate.relocate(clusters, places, "ruc")
     assert got.count() == 0 and {"OSMID", "pplace_cluster_distance", "pplace_rural"} <= set(got.columns)
+
+
+MEETINGS = [
+    ((0, 0, 4, 0), (2, -1, 2, 1), (2, 0)),  # inner points
+    ((0, 0, 4, 0), (2, 0, 2, 5), (2, 0)),  # an end on the other
+    ((0, 0, 4, 0), (4, 0, 9, 9), (4, 0)),  # a shared node
+    ((4, 0, 0, 0), (4, 0, 9, 0), (4, 0)),  # on one line, a shared node
+    ((0, 0, 4, 0), (5, 0, 9, 0), None),  # on one line, apart
+    ((0, 0, 4, 0), (2, 0, 9, 0), (3, 0)),  # they share a stretch
+    ((0, 0, 9, 9), (8, 8, 2, 2), (5, 5)),  # one lies in the other
+    ((0, 0, 4, 0), (2, 1, 2, 5), None),
+    ((0, 0, 4, 4), (5, 5, 9, 0), None),  # an end on the line, not on the segment
+    ((2, 0, 2, 0), (0, 0, 4, 0), (2, 0)),  # a point
+    ((2, 0, 2, 0), (2, 0, 2, 0), (2, 0)),
+    ((2, 0, 2, 0), (3, 0, 3, 0), None),
+    ((2, 1, 2, 1), (0, 0, 4, 0), None),
+]
+
+
+def test_meeting_segments(spark):
+    names = [f"{t}{c}" for t in "ab" for c in ("x1", "y1", "x2", "y2")]
+    rows = [(k, *map(float, a + b)) for k, (a, b, _) in enumerate(MEETINGS)]
+    rows += [(k + 100, *map(float, b + a)) for k, (a, b, _) in enumerate(MEETINGS)]
+    df = spark.createDataFrame(rows, "k int, " + ", ".join(f"{n} double" for n in names))
+    got = {r["k"]: r["met"] and tuple(r["met"]) for r in geo.met(df, tuple(names[:4]), tuple(names[4:])).collect()}
+    for k, (_, _, want) in enumerate(MEETINGS):
+        assert got[k] == got[k + 100] == want, k
+
+
+def test_junctions_are_of_roads(spark):
+    rows = [(1, 1, 0, 0, 100, 0), (2, 1, 100, 0, 200, 0), (3, 2, 100, -100, 100, 0), (4, 2, 100, 0, 100, 100), (5, 3, 100, 0, 150, 50), (6, 4, 1e6, 0, 1e6 + 9, 0)]
+    roads = spark.createDataFrame([(a, b, *map(float, c)) for a, b, *c in rows], "seg_id long, road_id long, x1 double, y1 double, x2 double, y2 double")
+    for size in (7.0, 500.0):  # segments over many cells, all in one
+        assert values(spatial.junctions(roads, size=size), "x", "y", "road_id") == [(100.0, 0.0, 1), (100.0, 0.0, 2), (100.0, 0.0, 3)]
+        pairs = values(spatial.segment_crossings(roads, size=size), "a", "b")
+        assert pairs == [(1, 2), (1, 3), (1, 4), (1, 5), (2, 3), (2, 4), (2, 5), (3, 4), (3, 5), (4, 5)]  # each once, also those of one road
+    assert spatial.junctions(roads.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size", [0.37, 5.0])
+def test_crossings_against_all_pairs(spark, size):
+    """Steep, flat, long and short segments over and along the borders of cells."""
+    r = random.Random(int(size * 100))
+    rows = [(k, *(float(r.randrange(-12, 12)) / r.choice([1, 1, 3]) for _ in range(4))) for k in range(120)]
+    df = spark.createDataFrame(rows, "seg_id long, x1 double, y1 double, x2 double, y2 double")
+    every = df.toDF(*[f"{c}_a" for c in df.columns]).join(df.toDF(*[f"{c}_b" for c in df.columns]), F.expr("seg_id_a < seg_id_b"))
+    ends = [tuple(f"{c}_{t}" for c in ("x1", "y1", "x2", "y2")) for t in "ab"]
+    want = values(geo.met(every, *ends).filter("met IS NOT NULL"), "seg_id_a", "seg_id_b")
+    assert len(want) > 300 and values(spatial.segment_crossings(df, size=size), "a", "b") == want
+
+
+def test_roads_by_geometry(spark):
+    """A road through the box with its nodes far outside counts, whole and once; its junctions too where both roads pass the box."""
+    rows = [(1, 1, -900, 0, 900, 0), (2, 1, 900, 0, 900, 500), (3, 2, 0, -40, 0, 5000), (4, 3, 800, -50, 800, 50), (5, 4, 60, 60, 60, 90), (6, 5, 50, -90, 50, -41)]
+    roads = spark.createDataFrame([(a, b, *map(float, c)) for a, b, *c in rows], "seg_id long, road_id long, x1 double, y1 double, x2 double, y2 double")
+    roads = roads.withColumn("length", geo.distance(*[F.col(c) for c in ("x1", "y1", "x2", "y2")]))
+    places = spark.createDataFrame([(1, 0.0, 10.0), (2, 9e5, 0.0)], "place_id long, x double, y double")
+    got = features.roads_in_box(places, roads, side=100.0).collect()
+    assert [tuple(r) for r in got] == [(1, 1800.0 + 500 + 5040, 0.0, 1, 10.0)]  # roads 1 and 2; road 5 ends below the box
+
+
+def test_box_touches_segment(spark):
+    cases = [((-9, 1, 9, 1), True), ((-9, 1.01, 9, 1.01), False), ((0, 2, 2, 0), True), ((0, 2.5, 2.5, 0), False), ((1, 1, 5, 5), True), ((0.1, 0.1, 0.2, 0.2), True), ((2, 0, 2, 0), False), ((1, 0, 1, 0), True)]
+    df = spark.createDataFrame([(k, *map(float, c)) for k, (c, _) in enumerate(cases)], "k int, x1 double, y1 double, x2 double, y2 double")
+    hit = geo.meets_box(*[F.col(c) for c in ("x1", "y1", "x2", "y2")], F.lit(0.0), F.lit(0.0), 1.0)
+    assert [r[0] for r in df.orderBy("k").select(hit).collect()] == [h for _, h in cases]

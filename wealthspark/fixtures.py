@@ -54,6 +54,23 @@ VIEWS: dict[str, str] = {
  CAST(29 AS DOUBLE) + CAST((o_orderkey * 6700417) % 100043 AS DOUBLE) / CAST(100043 AS DOUBLE) + CAST((o_orderkey * 131) % 41 - 20 AS DOUBLE) / CAST(500 AS DOUBLE) AS lon2,
  CAST(-1 AS DOUBLE) + CAST((o_orderkey * 2796203) % 100049 AS DOUBLE) / CAST(100049 AS DOUBLE) + CAST((o_orderkey * 137) % 37 - 18 AS DOUBLE) / CAST(500 AS DOUBLE) AS lat2
  FROM orders""",
+    # A network over blocks of 0.02 degrees, 400 to a row, so that its area grows with the tables: roads of ten segments with shared nodes, ends on other
+    # roads, crossings, stretches on each other and ends in the next block. All nodes are whole thousandths of a degree.
+    "fx_road": """SELECT seg_id, road_id, b,
+ CAST(29 AS DOUBLE) + CAST(20 * (b % 400) + CASE k WHEN 0 THEN 2 * j WHEN 1 THEN 6 WHEN 2 THEN 9 WHEN 3 THEN 1 + 2 * j ELSE 3 * j + CASE WHEN b % 4 = 0 THEN 1 ELSE 5 END END AS DOUBLE) / CAST(1000 AS DOUBLE) AS lon1,
+ CAST(-1 AS DOUBLE) + CAST(20 * CAST(floor(b / 400) AS BIGINT) + CASE k WHEN 0 THEN 4 WHEN 1 THEN 2 * j WHEN 2 THEN 4 + j WHEN 3 THEN 1 + j * (1 + b % 3) ELSE CASE WHEN b % 4 = 0 THEN 4 ELSE 7 END END AS DOUBLE) / CAST(1000 AS DOUBLE) AS lat1,
+ CAST(29 AS DOUBLE) + CAST(20 * (b % 400) + CASE k WHEN 0 THEN 2 * j + 2 WHEN 1 THEN 6 WHEN 2 THEN 9 WHEN 3 THEN 3 + 2 * j ELSE 3 * j + 3 + CASE WHEN b % 4 = 0 THEN 1 ELSE 5 END END AS DOUBLE) / CAST(1000 AS DOUBLE) AS lon2,
+ CAST(-1 AS DOUBLE) + CAST(20 * CAST(floor(b / 400) AS BIGINT) + CASE k WHEN 0 THEN 4 WHEN 1 THEN 2 * j + 2 WHEN 2 THEN 5 + j WHEN 3 THEN 1 + (j + 1) * (1 + b % 3) ELSE CASE WHEN b % 4 = 0 THEN 4 ELSE 7 END END AS DOUBLE) / CAST(1000 AS DOUBLE) AS lat2
+ FROM (SELECT CAST(o_orderkey AS BIGINT) AS seg_id, CAST(floor(o_orderkey / 10) AS BIGINT) AS road_id, CAST(floor(o_orderkey / 50) AS BIGINT) AS b,
+ CAST(floor(o_orderkey % 50 / 10) AS BIGINT) AS k, o_orderkey % 10 AS j FROM orders) o""",
+    "fx_spot": """SELECT CAST(c_custkey AS BIGINT) AS place_id, CAST(29 AS DOUBLE) + CAST(20 * (CAST(floor(c_custkey / 5) AS BIGINT) % 400) + c_custkey * 7 % 20 AS DOUBLE) / CAST(1000 AS DOUBLE) + CAST(0.00031 AS DOUBLE) AS lon,
+ CAST(-1 AS DOUBLE) + CAST(20 * CAST(floor(c_custkey / 2000) AS BIGINT) + c_custkey * 11 % 20 AS DOUBLE) / CAST(1000 AS DOUBLE) + CAST(0.00017 AS DOUBLE) AS lat FROM customer""",
+    "fx_building": """SELECT CAST(o_orderkey AS BIGINT) AS building_id, o_totalprice / CAST(1000 AS DOUBLE) AS area,
+ CAST(29 AS DOUBLE) + CAST(20 * (CAST(floor(o_orderkey / 50) AS BIGINT) % 400) AS DOUBLE) / CAST(1000 AS DOUBLE) + CAST(o_orderkey * 7919 % 20011 AS DOUBLE) / CAST(1000000 AS DOUBLE) AS lon,
+ CAST(-1 AS DOUBLE) + CAST(20 * CAST(floor(o_orderkey / 20000) AS BIGINT) AS DOUBLE) / CAST(1000 AS DOUBLE) + CAST(o_orderkey * 104729 % 19997 AS DOUBLE) / CAST(1000000 AS DOUBLE) AS lat FROM orders""",
+    "fx_amenity": """SELECT CAST(p_partkey AS BIGINT) AS poi_id, CAST(p_partkey * 5 % 26 AS INT) AS kind,
+ CAST(29 AS DOUBLE) + CAST(20 * (CAST(floor(p_partkey / 7) AS BIGINT) % 400) AS DOUBLE) / CAST(1000 AS DOUBLE) + CAST(p_partkey * 6291469 % 20011 AS DOUBLE) / CAST(1000000 AS DOUBLE) AS lon,
+ CAST(-1 AS DOUBLE) + CAST(20 * CAST(floor(p_partkey / 2800) AS BIGINT) AS DOUBLE) / CAST(1000 AS DOUBLE) + CAST(p_partkey * 12582917 % 19997 AS DOUBLE) / CAST(1000000 AS DOUBLE) AS lat FROM part""",
     "fx_poi": """SELECT CAST(p_partkey AS BIGINT) AS poi_id, p_type AS amenity,
  CAST(29 AS DOUBLE) + CAST((p_partkey * 6291469) % 100057 AS DOUBLE) / CAST(100057 AS DOUBLE) AS lon,
  CAST(-1 AS DOUBLE) + CAST((p_partkey * 12582917) % 100069 AS DOUBLE) / CAST(100069 AS DOUBLE) AS lat FROM part""",

@@ -89,20 +89,59 @@ def to_segment(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: C
     return distance(px, py, x1 + t * dx, y1 + t * dy)
 
 
-def _side(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column) -> Column:
-    return F.signum((bx - ax) * (cy - ay) - (by - ay) * (cx - ax))
-
-
-def crosses(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
-    """SC7: whether two segments (x1, y1, x2, y2) cross at one inner point (touching ends and overlaps do not count)."""
-    return (_side(*a, b[0], b[1]) * _side(*a, b[2], b[3]) < 0) & (_side(*b, a[0], a[1]) * _side(*b, a[2], a[3]) < 0)
-
-
-def crossing_point(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
-    """Where the lines of two segments meet; NULL if parallel."""
-    d = (a[0] - a[2]) * (b[1] - b[3]) - (a[1] - a[3]) * (b[0] - b[2])
-    p, q = a[0] * a[3] - a[1] * a[2], b[0] * b[3] - b[1] * b[2]
-    return F.struct(F.try_divide(p * (b[0] - b[2]) - (a[0] - a[2]) * q, d).alias("x"), F.try_divide(p * (b[1] - b[3]) - (a[1] - a[3]) * q, d).alias("y"))
+#: Coordinates this close to a line are on it: a thousandth of a metre for projected points.
+SNAP = 1e-3
+
+
+def _side(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column, snap: float) -> Column:
+    """-1 or 1: on which side of the line from a to b the point c lies; 0 on it (closer than ``snap``). All points are on a line of length 0."""
+    det = (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
+    return F.when(F.abs(det) <= snap * distance(ax, ay, bx, by), F.lit(0)).otherwise(F.signum(det).cast("int"))
+
+
+def _in_box(px: Column, py: Column, a: tuple[Column, ...], snap: float) -> Column:
+    within = lambda v, p, q: v.between(F.least(p, q) - snap, F.greatest(p, q) + snap)
+    return within(px, a[0], a[2]) & within(py, a[1], a[3])
+
+
+def met(pairs: DataFrame, a: tuple[str, ...], b: tuple[str, ...], name: str = "met", snap: float = SNAP) -> DataFrame:
+    """SC7: adds where two segments, columns (x1, y1, x2, y2), have a point in common: a struct of x and y, NULL if they have none.
+
+    Where an end of one lies on the other it is that end, exactly as given, so that all segments of a shared node meet in equal points. Segments that
+    lie on each other meet in the middle of what they share. A segment of length 0 is its point.
+    """
+    a, b = (tuple(F.col(c) for c in s) for s in (a, b))
+    dx, dy, ex, ey = a[2] - a[0], a[3] - a[1], b[2] - b[0], b[3] - b[1]
+    along = lambda x, y: F.try_divide((x - a[0]) * dx + (y - a[1]) * dy, dx * dx + dy * dy)
+    pairs = pairs.withColumns(
+        {
+            "_b1": _side(*a, b[0], b[1], snap),
+            "_b2": _side(*a, b[2], b[3], snap),
+            "_a1": _side(*b, a[0], a[1], snap),
+            "_a2": _side(*b, a[2], a[3], snap),
+            "_t1": along(b[0], b[1]),
+            "_t2": along(b[2], b[3]),
+            "_cross": F.try_divide((b[0] - a[0]) * ey - (b[1] - a[1]) * ex, dx * ey - dy * ex),
+        }
+    )
+    pairs = pairs.withColumns({"_low": F.greatest(F.least("_t1", "_t2"), F.lit(0.0)), "_high": F.least(F.greatest("_t1", "_t2"), F.lit(1.0))})
+    flat = (F.col("_b1") == 0) & (F.col("_b2") == 0) & (F.col("_a1") == 0) & (F.col("_a2") == 0)
+    ends = [("_b1", b[0], b[1], a), ("_b2", b[2], b[3], a), ("_a1", a[0], a[1], b), ("_a2", a[2], a[3], b)]
+    kind = F.when(flat & ((F.col("_high") - F.col("_low")) * distance(*a) > snap), 0)
+    for k, (side, x, y, other) in enumerate(ends, 1):
+        kind = kind.when((F.col(side) == 0) & _in_box(x, y, other, snap), k)
+    pairs = pairs.withColumn("_kind", kind.when((F.col("_a1") * F.col("_a2") < 0) & (F.col("_b1") * F.col("_b2") < 0), 5))
+    share = F.when(F.col("_kind") == 0, (F.col("_low") + F.col("_high")) / 2).otherwise(F.col("_cross"))
+    chosen = lambda k, d: F.coalesce(*[F.when(F.col("_kind") == n, (x, y)[k]) for n, (_, x, y, _) in enumerate(ends, 1)], a[k] + share * d)
+    point = F.when(F.col("_kind").isNotNull(), F.struct(chosen(0, dx).alias("x"), chosen(1, dy).alias("y")))
+    return pairs.withColumn(name, point).drop("_b1", "_b2", "_a1", "_a2", "_t1", "_t2", "_cross", "_low", "_high", "_kind")
+
+
+def meets_box(x1: Column, y1: Column, x2: Column, y2: Column, x: Column, y: Column, half: float) -> Column:
+    """Whether a segment and the square reaching ``half`` to each side of (x, y) have a point in common (edges belong to it)."""
+    near = (F.least(x1, x2) <= x + half) & (F.greatest(x1, x2) >= x - half) & (F.least(y1, y2) <= y + half) & (F.greatest(y1, y2) >= y - half)
+    dx, dy = x2 - x1, y2 - y1
+    return near & (F.abs((x - x1) * dy - (y - y1) * dx) <= half * (F.abs(dx) + F.abs(dy)))  # not all corners on one side
 
 
 def vertices(seq: Column, lon: Column, lat: Column, least: int = 1) -> Column:

@@ -106,27 +106,40 @@ def night_lights(places: DataFrame, pixels: DataFrame, id: str = "place_id", hal
     return places.select(id).join(wide, id, "left").fillna(0, [f"NTLL_count_{n}" for n in names])
 
 
-def infrastructure(places: DataFrame, roads: DataFrame, junctions: DataFrame, buildings: DataFrame, pois: DataFrame, id: str = "place_id", side: float = geo.MILE, classes: list[str] = AMENITIES) -> DataFrame:
-    """AG45, AG46, GX5: roads (x1, y1, x2, y2, length and middle x, y), junctions (x, y), buildings (x, y, area), points of interest (x, y, amenity) in the box.
+def roads_in_box(places: DataFrame, roads: DataFrame, id: str = "place_id", side: float = geo.MILE, snap: float = geo.SNAP) -> DataFrame:
+    """AG45, AG46: total length of the roads that pass the box, distance to the closest of them, their junctions and the distance to the closest.
+
+    ``roads``: segments (seg_id, road_id, x1, y1, x2, y2, length). A road of which a segment has a point in the box counts with its whole length,
+    once; so do its parts outside for the distances, and the junctions of two such roads wherever they are.
+    """
+    spots = places.select(id, "x", "y")
+    hits = cut(spatial.segments_in_square(spots, roads, id, side, ["road_id"]).distinct())
+    whole = roads.groupBy("road_id").agg(F.sum("length").alias("length"))
+    lengths = hits.join(whole, "road_id").groupBy(id).agg(F.sum("length").alias("total_length_roads"))
+    d = geo.to_segment(F.col("x"), F.col("y"), *[F.col(c) for c in ("x1", "y1", "x2", "y2")])
+    closest = hits.join(roads.select("road_id", "x1", "y1", "x2", "y2"), "road_id").groupBy(id).agg(F.min(d).alias("distance_closest_road"))
+    met = spatial.junctions(roads, size=side, snap=snap).withColumnsRenamed({"x": "jx", "y": "jy"})
+    both = hits.join(met, "road_id").groupBy(id, "x", "y", "jx", "jy").agg(F.count(F.lit(1)).alias("roads")).filter("roads > 1")
+    far = geo.distance(F.col("x"), F.col("y"), F.col("jx"), F.col("jy"))
+    found = both.groupBy(id).agg(F.count(F.lit(1)).alias("num_junctions"), F.min(far).alias("distance_closest_junction"))
+    return lengths.join(closest, id, "left").join(found, id, "left")
+
+
+def infrastructure(places: DataFrame, roads: DataFrame, buildings: DataFrame, pois: DataFrame, id: str = "place_id", side: float = geo.MILE, classes: list[str] = AMENITIES) -> DataFrame:
+    """AG45, AG46, GX5: roads (see ``roads_in_box``), buildings (x, y, area) and points of interest (x, y, amenity) of the box around each place.
 
     Total road length and distance to the closest road, count and distance of junctions, area and count of
     buildings, count and least distance of each amenity class. Distances are 0 where there is nothing (as in the source).
     """
     half, spots = side / 2, places.select(id, "x", "y")
-    pairs = spatial.near(spots, roads, half)
-    d = geo.to_segment(F.col("a.x"), F.col("a.y"), *[F.col(f"b.{c}") for c in ("x1", "y1", "x2", "y2")])
     key = F.col(f"a.{id}").alias(id)
     straight = geo.distance(F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y"))
-    parts = [
-        pairs.groupBy(key).agg(F.sum("b.length").alias("total_length_roads"), F.min(d).alias("distance_closest_road")),
-        spatial.near(spots, junctions, half).groupBy(key).agg(F.count(F.lit(1)).alias("num_junctions"), F.min(straight).alias("distance_closest_junction")),
-        spatial.near(spots, buildings, half).groupBy(key).agg(F.sum("b.area").alias("total_building_area"), F.count(F.lit(1)).alias("num_buildings")),
-    ]
+    built = spatial.near(spots, buildings, half).groupBy(key).agg(F.sum("b.area").alias("total_building_area"), F.count(F.lit(1)).alias("num_buildings"))
     near = spatial.near(spots, pois, half).select(key, F.col("b.amenity").alias("amenity"), straight.alias("d"))
     wide = near.groupBy(id).pivot("amenity", classes).agg(F.count("d").alias("n"), F.min("d").alias("dist"))
-    parts.append(wide.toDF(id, *[n for c in classes for n in (c, f"{c}_dist")]))
+    wide = wide.toDF(id, *[n for c in classes for n in (c, f"{c}_dist")])
     out = places.select(id)
-    for part in parts:
+    for part in (roads_in_box(places, roads, id, side), built, wide):
         out = out.join(part, id, "left")
     return out.fillna(0)
 

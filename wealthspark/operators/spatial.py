@@ -198,14 +198,56 @@ def zonal(points: DataFrame, polygons: DataFrame, column: str, functions: list[s
     return polygons.join(got, id)
 
 
-def segment_crossings(segments: DataFrame, id: str = "seg_id", size: float = 5000.0) -> DataFrame:
-    """JN18: pairs (a < b) of segments (x1, y1, x2, y2) that cross, and where. A segment goes to all cells that its box touches."""
-    lo_x, hi_x, lo_y, hi_y = F.least("x1", "x2"), F.greatest("x1", "x2"), F.least("y1", "y2"), F.greatest("y1", "y2")
-    cells = segments.select(id, "x1", "y1", "x2", "y2")
-    cells = cells.withColumn("gx", F.explode(F.sequence(_cell(lo_x, size), _cell(hi_x, size)))).withColumn("gy", F.explode(F.sequence(_cell(lo_y, size), _cell(hi_y, size))))
-    a, b = cells.alias("a"), cells.alias("b")
-    ends = lambda t: tuple(F.col(f"{t}.{c}") for c in ("x1", "y1", "x2", "y2"))
-    pairs = a.join(b, (F.col("a.gx") == F.col("b.gx")) & (F.col("a.gy") == F.col("b.gy")) & (F.col(f"a.{id}") < F.col(f"b.{id}"))).filter(geo.crosses(ends("a"), ends("b")))
-    point = geo.crossing_point(ends("a"), ends("b"))
-    out = pairs.select(F.col(f"a.{id}").alias("a"), F.col(f"b.{id}").alias("b"), point.alias("at"))
-    return out.groupBy("a", "b").agg(F.first("at").alias("at")).select("a", "b", F.col("at.x").alias("x"), F.col("at.y").alias("y"))
+def _walked(segments: DataFrame, size: float, margin: float) -> DataFrame:
+    """Each segment (x1, y1, x2, y2) in the cells that it passes, column by column (and those within ``margin``): columns gx, gy."""
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    out = segments.withColumn("gx", F.explode(F.sequence(_cell(F.least(x1, x2) - margin, size), _cell(F.greatest(x1, x2) + margin, size))))
+    # the part of the segment in the column, as shares of its way
+    ends = [F.try_divide(F.col("gx") * size + shift - x1, x2 - x1) for shift in (-margin, size + margin)]
+    first, last = (F.least(F.greatest(F.coalesce(pick(*ends), F.lit(whole)), F.lit(0.0)), F.lit(1.0)) for pick, whole in ((F.least, 0.0), (F.greatest, 1.0)))
+    ya, yb = y1 + first * (y2 - y1), y1 + last * (y2 - y1)
+    return out.withColumn("gy", F.explode(F.sequence(_cell(F.least(ya, yb) - margin, size), _cell(F.greatest(ya, yb) + margin, size))))
+
+
+def segment_crossings(segments: DataFrame, id: str = "seg_id", road: str | None = None, size: float = 500.0, snap: float = geo.SNAP) -> DataFrame:
+    """JN18: pairs (a < b) of segments (x1, y1, x2, y2) that have a point in common, and where: a, b, x, y. Touching ends count, see ``geo.met``.
+
+    ``road``: the column of the road; pairs of one road do not count and the roads are added as road_a, road_b. A segment goes to the cells that it
+    passes; a pair belongs to the cell of its point, so it is found once. ``size``: the cells' side, about a segment's length.
+    """
+    kept = [id, "x1", "y1", "x2", "y2", *([road] if road else [])]
+    cells = cut(_walked(segments.select(*kept), size, 4 * snap))  # both sides read it
+    first, second = (cells.select("gx", "gy", *[F.col(c).alias(f"{c}_{t}") for c in kept]) for t in "ab")
+    pairs = first.join(second, ["gx", "gy"]).filter(F.col(f"{id}_a") < F.col(f"{id}_b"))
+    if road:
+        pairs = pairs.filter(~F.col(f"{road}_a").eqNullSafe(F.col(f"{road}_b")))
+    for v in "xy":
+        for t, u in ("ab", "ba"):
+            pairs = pairs.filter(F.greatest(f"{v}1_{t}", f"{v}2_{t}") >= F.least(f"{v}1_{u}", f"{v}2_{u}") - 2 * snap)
+    pairs = geo.met(pairs, *[tuple(f"{c}_{t}" for c in ("x1", "y1", "x2", "y2")) for t in "ab"], snap=snap)
+    pairs = pairs.withColumn("met", F.explode(F.array("met")))  # keeps the filter below from being put in front, with the whole expression in it
+    here = (_cell(F.col("met.x"), size) == F.col("gx")) & (_cell(F.col("met.y"), size) == F.col("gy"))
+    names = [F.col(f"{road}_{t}").alias(f"road_{t}") for t in "ab"] if road else []
+    return pairs.filter(here).select(F.col(f"{id}_a").alias("a"), F.col(f"{id}_b").alias("b"), *names, F.col("met.x").alias("x"), F.col("met.y").alias("y"))
+
+
+def junctions(segments: DataFrame, road: str = "road_id", id: str = "seg_id", size: float = 500.0, snap: float = geo.SNAP) -> DataFrame:
+    """JN18: where roads meet, a row for each junction and road: x, y, the road's column. Points that agree to ten times ``snap`` are one junction.
+
+    A stretch that two roads share is a junction in the middle of each pair of segments that lie on each other there.
+    """
+    met = segment_crossings(segments, id, road, size, snap)
+    same = lambda v: F.round(F.col(v) / (10 * snap)) * (10 * snap)
+    each = met.select(same("x").alias("x"), same("y").alias("y"), F.explode(F.array("road_a", "road_b")).alias(road))
+    return each.distinct()
+
+
+def segments_in_square(places: DataFrame, segments: DataFrame, id: str, width: float, columns: list[str]) -> DataFrame:
+    """JN14 for segments: for each place the segments that have a point in the square of side ``width`` around it; a segment may come once for each cell."""
+    half = width / 2
+    gx, gy = _cells(F.col("x"), F.col("y"), F.lit(half), width)
+    a = places.select(id, "x", "y").withColumn("gx", F.explode(gx)).withColumn("gy", F.explode(gy)).alias("a")
+    b = _walked(segments.select(*columns, "x1", "y1", "x2", "y2"), width, geo.SNAP).alias("b")
+    joined = a.join(b, (F.col("a.gx") == F.col("b.gx")) & (F.col("a.gy") == F.col("b.gy")))
+    joined = joined.filter(geo.meets_box(*[F.col(f"b.{c}") for c in ("x1", "y1", "x2", "y2")], F.col("a.x"), F.col("a.y"), half))
+    return joined.select(F.col(f"a.{id}").alias(id), F.col("a.x").alias("x"), F.col("a.y").alias("y"), *[F.col(f"b.{c}").alias(c) for c in columns])

@@ -15,7 +15,7 @@ from ..sources import files
 from ..sources.tables import materialize, shared_folder
 from ..streaming import answers
 from .base import query, xy
-from .spatial import polygons, points, rounded
+from .spatial import meeting_sql, points, polygons, rounded
 from .survey import BETAS, CLUSTERS, TIERS, cleaned
 
 #: An order that both engines can compute, in place of the seeded hash.
@@ -247,15 +247,6 @@ def st1(spark, d):
     return rounded(spark.table(name), 9)
 
 
-@query("AG45_roads_buildings_classes", f"SELECT p.place_id, count(*) AS n, round(min(sqrt((p.x - t.x) ** 2 + (p.y - t.y) ** 2)), 3) AS distance FROM {xy('fx_place')} p JOIN {xy('fx_poi')} t ON t.x BETWEEN p.x - 2500 AND p.x + 2500 AND t.y BETWEEN p.y - 2500 AND p.y + 2500 GROUP BY p.place_id")
-def ag45(spark, d):
-    from ..operators import spatial
-
-    near = spatial.near(points(spark, d, "fx_place").select("place_id", "x", "y"), points(spark, d, "fx_poi"), 2500.0)
-    far = geo.distance(F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y"))
-    return rounded(near.groupBy(F.col("a.place_id").alias("place_id")).agg(F.count(F.lit(1)).alias("n"), F.min(far).alias("distance")), 3)
-
-
 @query("AG46_distance_or_zero", f"SELECT p.place_id, round(coalesce(min(sqrt((p.x - t.x) ** 2 + (p.y - t.y) ** 2)), 0), 3) AS distance FROM {xy('fx_place')} p LEFT JOIN {xy('fx_poi')} t ON t.x BETWEEN p.x - 500 AND p.x + 500 AND t.y BETWEEN p.y - 500 AND p.y + 500 GROUP BY p.place_id")
 def ag46(spark, d):
     from ..operators import spatial
@@ -293,14 +284,17 @@ def sc3(spark, d):
     return a.join(b, F.col("place_id") == F.col("tile_id")).select("place_id", F.round(geo.distance(F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y")), 3).alias("distance"))
 
 
-CROSSED = "sign((b.x2 - b.x1) * (a.y1 - b.y1) - (b.y2 - b.y1) * (a.x1 - b.x1)) * sign((b.x2 - b.x1) * (a.y2 - b.y1) - (b.y2 - b.y1) * (a.x2 - b.x1)) < 0 AND sign((a.x2 - a.x1) * (b.y1 - a.y1) - (a.y2 - a.y1) * (b.x1 - a.x1)) * sign((a.x2 - a.x1) * (b.y2 - a.y1) - (a.y2 - a.y1) * (b.x2 - a.x1)) < 0"
+ENDS = ("lon1", "lat1", "lon2", "lat2")
+NEXT = """SELECT a.seg_id, a.lon1 AS ax1, a.lat1 AS ay1, a.lon2 AS ax2, a.lat2 AS ay2, b.lon1 AS bx1, b.lat1 AS by1, b.lon2 AS bx2, b.lat2 AS by2 FROM fx_road a JOIN fx_road b ON b.seg_id BETWEEN a.seg_id + 1 AND a.seg_id + 50"""
 
 
-@query("SC7_segments_cross", f"SELECT a.seg_id, {CROSSED} AS hit FROM (SELECT seg_id, lon1 AS x1, lat1 AS y1, lon2 AS x2, lat2 AS y2 FROM fx_segment) a JOIN (SELECT seg_id, lon1 - 0.02 AS x1, lat1 AS y1, lon1 + 0.02 AS x2, lat1 + 0.01 AS y2 FROM fx_segment) b ON a.seg_id = b.seg_id")
+@query("SC7_segments_cross", f"WITH {meeting_sql(NEXT, 'seg_id').replace('0.001', '1e-9')} SELECT seg_id, count(pt) AS meets, round(sum(pt.x), 6) AS x, round(sum(pt.y), 6) AS y FROM met GROUP BY seg_id")
 def sc7(spark, d):
-    a = tuple(F.col(c) for c in ("lon1", "lat1", "lon2", "lat2"))
-    b = (F.col("lon1") - 0.02, F.col("lat1"), F.col("lon1") + 0.02, F.col("lat1") + 0.01)
-    return view(spark, d, "fx_segment").select("seg_id", geo.crosses(a, b).alias("hit"))
+    roads = view(spark, d, "fx_road")
+    a, b = (roads.select(F.col("seg_id").alias(n), *[F.col(c).alias(f"{t}_{c}") for c in ENDS]) for t, n in (("a", "seg_id"), ("b", "other")))
+    pairs = a.withColumn("other", F.explode(F.sequence(F.col("seg_id") + 1, F.col("seg_id") + 50))).join(b, "other")
+    met = geo.met(pairs, *[tuple(f"{t}_{c}" for c in ENDS) for t in "ab"], snap=1e-9)
+    return rounded(met.groupBy("seg_id").agg(F.count("met").alias("meets"), F.sum("met.x").alias("x"), F.sum("met.y").alias("y")))
 
 
 # files

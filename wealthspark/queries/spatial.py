@@ -181,22 +181,41 @@ def ag4(spark, d):
     return spatial.zonal(view(spark, d, "fx_place"), polygons(spark, d), "year", ["mode"]).select("poly_id", "year_mode")
 
 
-CROSS = "(({b}x2 - {b}x1) * ({p}y{k} - {b}y1) - ({b}y2 - {b}y1) * ({p}x{k} - {b}x1))"
 SEGMENTS = f"(SELECT seg_id, {x('lon1')} AS x1, {y('lat1')} AS y1, {x('lon2')} AS x2, {y('lat2')} AS y2 FROM fx_segment)"
+ROADS = f"(SELECT seg_id, road_id, {x('lon1')} AS x1, {y('lat1')} AS y1, {x('lon2')} AS x2, {y('lat2')} AS y2 FROM fx_road)"
 
 
-def segments(spark: SparkSession, d: str) -> DataFrame:
-    df = view(spark, d, "fx_segment")
+def segments(spark: SparkSession, d: str, name: str = "fx_segment") -> DataFrame:
+    df = view(spark, d, name)
     return df.withColumns({f"{v}{k}": f(F.col(f"{n}{k}")) for k in (1, 2) for v, n, f in (("x", "lon", geo.to_x), ("y", "lat", geo.to_y))})
 
 
-@query(
-    "JN18_junctions",
-    f"""SELECT a.seg_id AS a, b.seg_id AS b FROM {SEGMENTS} a JOIN {SEGMENTS} b ON a.seg_id < b.seg_id
-    AND sign({CROSS.format(b="a.", p="b.", k=1)}) * sign({CROSS.format(b="a.", p="b.", k=2)}) < 0 AND sign({CROSS.format(b="b.", p="a.", k=1)}) * sign({CROSS.format(b="b.", p="a.", k=2)}) < 0""",
-)
+def meeting_sql(pairs: str, kept: str = "a, b") -> str:
+    """CTEs up to ``met``: of pairs (kept, ax1, ay1, ... by2) where their segments meet, x and y NULL if they do not."""
+    side = "CASE WHEN abs(({1}x2 - {1}x1) * ({0}y{2} - {1}y1) - ({1}y2 - {1}y1) * ({0}x{2} - {1}x1)) <= 0.001 * sqrt(({1}x2 - {1}x1) ** 2 + ({1}y2 - {1}y1) ** 2) THEN 0 ELSE sign(({1}x2 - {1}x1) * ({0}y{2} - {1}y1) - ({1}y2 - {1}y1) * ({0}x{2} - {1}x1)) END AS {0}{2}"
+    inside = "({0}{2} = 0 AND {0}x{2} BETWEEN least({1}x1, {1}x2) - 0.001 AND greatest({1}x1, {1}x2) + 0.001 AND {0}y{2} BETWEEN least({1}y1, {1}y2) - 0.001 AND greatest({1}y1, {1}y2) + 0.001)"
+    order = [("b", "a", 1), ("b", "a", 2), ("a", "b", 1), ("a", "b", 2)]
+    ends = " ".join(f"WHEN {inside.format(*o)} THEN {{{{'x': {o[0]}x{o[2]}, 'y': {o[0]}y{o[2]}}}}}".replace("{{", "{").replace("}}", "}") for o in order)
+    t1, t2 = (f"((bx{k} - ax1) * (ax2 - ax1) + (by{k} - ay1) * (ay2 - ay1)) / nullif((ax2 - ax1) ** 2 + (ay2 - ay1) ** 2, 0)" for k in (1, 2))
+    low, high = f"greatest(least({t1}, {t2}), 0.0)", f"least(greatest({t1}, {t2}), 1.0)"
+    t = "((bx1 - ax1) * (by2 - by1) - (by1 - ay1) * (bx2 - bx1)) / ((ax2 - ax1) * (by2 - by1) - (ay2 - ay1) * (bx2 - bx1))"
+    at = "{{'x': ax1 + {0} * (ax2 - ax1), 'y': ay1 + {0} * (ay2 - ay1)}}"
+    return f"""sided AS (SELECT *, {', '.join(side.format(*o) for o in order)} FROM ({pairs})),
+    met AS (SELECT {kept}, CASE WHEN a1 = 0 AND a2 = 0 AND b1 = 0 AND b2 = 0 AND ({high} - {low}) * sqrt((ax2 - ax1) ** 2 + (ay2 - ay1) ** 2) > 0.001 THEN {at.format(f'({low} + {high}) / 2')}
+    {ends} WHEN a1 * a2 < 0 AND b1 * b2 < 0 THEN {at.format(t)} END AS pt FROM sided)"""
+
+
+#: All pairs of segments of different roads whose boxes meet.
+ROAD_PAIRS = """SELECT a.road_id AS ra, b.road_id AS rb, a.x1 AS ax1, a.y1 AS ay1, a.x2 AS ax2, a.y2 AS ay2, b.x1 AS bx1, b.y1 AS by1, b.x2 AS bx2, b.y2 AS by2
+    FROM s a JOIN s b ON a.x0 <= b.x9 + 0.002 AND b.x0 <= a.x9 + 0.002 AND a.y0 <= b.y9 + 0.002 AND b.y0 <= a.y9 + 0.002 AND a.seg_id < b.seg_id AND a.road_id <> b.road_id"""
+JUNCTIONS = f"""s AS MATERIALIZED (SELECT *, least(x1, x2) AS x0, greatest(x1, x2) AS x9, least(y1, y2) AS y0, greatest(y1, y2) AS y9 FROM {ROADS}),
+    {meeting_sql(ROAD_PAIRS, "ra, rb")}, j AS MATERIALIZED (SELECT DISTINCT round(pt.x / 0.01) * 0.01 AS jx, round(pt.y / 0.01) * 0.01 AS jy, unnest([ra, rb]) AS road_id FROM met WHERE pt IS NOT NULL)"""
+
+
+@query("JN18_junctions", f"WITH {JUNCTIONS} SELECT round(jx, 2) AS x, round(jy, 2) AS y, count(*) AS roads FROM j GROUP BY ALL")
 def jn18(spark, d):
-    return spatial.segment_crossings(segments(spark, d)).select("a", "b")
+    met = spatial.junctions(segments(spark, d, "fx_road"))
+    return met.groupBy(F.round("x", 2).alias("x"), F.round("y", 2).alias("y")).agg(F.count(F.lit(1)).alias("roads"))
 
 
 @query(
@@ -280,19 +299,44 @@ def gx4(spark, d):
     return rounded(features.night_lights(points(spark, d, "fx_place"), geo.projected(lit), halves={"2km": 2000.0, "5km": 5000.0}, threshold=30.0), 9)
 
 
-@query(
-    "GX5_infrastructure",
-    f"""WITH p AS (SELECT place_id, {x()} AS x, {y()} AS y FROM fx_place), s AS (SELECT *, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y, sqrt((x1 - x2) ** 2 + (y1 - y2) ** 2) AS len FROM {SEGMENTS}),
-    h AS (SELECT p.place_id, p.x AS px, p.y AS py, t.len, t.x1, t.y1, t.x2, t.y2, coalesce(greatest(0.0, least(1.0, ((p.x - x1) * (x2 - x1) + (p.y - y1) * (y2 - y1)) / nullif((x2 - x1) ** 2 + (y2 - y1) ** 2, 0))), 0) AS k FROM p JOIN s t ON {IN_BOX.format(2500.0)}),
-    r AS (SELECT place_id, sum(len) AS total, min(sqrt((px - x1 - k * (x2 - x1)) ** 2 + (py - y1 - k * (y2 - y1)) ** 2)) AS d FROM h GROUP BY place_id),
-    b AS (SELECT p.place_id, sum(t.population) AS area, count(*) AS n, min(sqrt((p.x - t.x) ** 2 + (p.y - t.y) ** 2)) AS d FROM p JOIN {xy("fx_tile")} t ON {IN_BOX.format(2500.0)} GROUP BY p.place_id),
-    o AS (SELECT p.place_id, count(CASE WHEN amenity = 'MEDIUM' THEN 1 END) AS n1, min(CASE WHEN amenity = 'MEDIUM' THEN sqrt((p.x - t.x) ** 2 + (p.y - t.y) ** 2) END) AS d1 FROM p JOIN {xy("fx_poi")} t ON {IN_BOX.format(2500.0)} GROUP BY p.place_id)
-    SELECT p.place_id, round(coalesce(r.total, 0), 3) AS total_length_roads, round(coalesce(r.d, 0), 3) AS distance_closest_road, coalesce(b.n, 0) AS num_junctions, round(coalesce(b.d, 0), 3) AS distance_closest_junction,
-    round(coalesce(b.area, 0), 3) AS total_building_area, coalesce(b.n, 0) AS num_buildings, coalesce(n1, 0) AS tin, round(coalesce(d1, 0), 3) AS tin_dist FROM p LEFT JOIN r ON p.place_id = r.place_id LEFT JOIN b ON p.place_id = b.place_id LEFT JOIN o ON p.place_id = o.place_id""",
-)
+def roads_sql(half: float) -> str:
+    """CTEs up to ``r``: the roads of each spot's box."""
+    inside = f"least(x1, x2) <= p.x + {half} AND greatest(x1, x2) >= p.x - {half} AND least(y1, y2) <= p.y + {half} AND greatest(y1, y2) >= p.y - {half} AND abs((p.x - x1) * (y2 - y1) - (p.y - y1) * (x2 - x1)) <= {half} * (abs(x2 - x1) + abs(y2 - y1))"
+    return f"""{JUNCTIONS}, p AS MATERIALIZED (SELECT place_id, {x()} AS x, {y()} AS y FROM fx_spot), h AS MATERIALIZED (SELECT DISTINCT place_id, p.x, p.y, road_id FROM p JOIN s ON {inside}),
+    w AS (SELECT road_id, sum(sqrt((x1 - x2) ** 2 + (y1 - y2) ** 2)) AS len FROM s GROUP BY road_id), t AS (SELECT place_id, sum(len) AS total FROM h JOIN w USING (road_id) GROUP BY place_id),
+    k AS (SELECT place_id, x, y, x1, y1, x2, y2, greatest(0.0, least(1.0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2))) AS u FROM h JOIN s USING (road_id)),
+    c AS (SELECT place_id, min(sqrt((x - x1 - u * (x2 - x1)) ** 2 + (y - y1 - u * (y2 - y1)) ** 2)) AS d FROM k GROUP BY place_id),
+    q AS (SELECT place_id, x, y, jx, jy FROM h JOIN j USING (road_id) GROUP BY ALL HAVING count(*) > 1), n AS (SELECT place_id, count(*) AS n, min(sqrt((x - jx) ** 2 + (y - jy) ** 2)) AS d FROM q GROUP BY place_id),
+    r AS (SELECT p.place_id, p.x, p.y, round(coalesce(total, 0), 3) AS total_length_roads, round(coalesce(c.d, 0), 3) AS distance_closest_road, coalesce(n.n, 0) AS num_junctions, round(coalesce(n.d, 0), 3) AS distance_closest_junction
+    FROM p LEFT JOIN t USING (place_id) LEFT JOIN c USING (place_id) LEFT JOIN n USING (place_id))"""
+
+
+def infrastructure_sql(half: float, classes: list[str]) -> str:
+    some = "{0} AS (SELECT p.place_id, {1} FROM p JOIN {2} t ON t.x BETWEEN p.x - {3} AND p.x + {3} AND t.y BETWEEN p.y - {3} AND p.y + {3} GROUP BY p.place_id)"
+    far = "sqrt((p.x - t.x) ** 2 + (p.y - t.y) ** 2)"
+    per_class = ", ".join(f"count(CASE WHEN kind = {k} THEN 1 END) AS n{k}, min(CASE WHEN kind = {k} THEN {far} END) AS d{k}" for k in range(len(classes)))
+    shown = ", ".join(f"coalesce(n{k}, 0) AS {c}, round(coalesce(d{k}, 0), 3) AS {c}_dist" for k, c in enumerate(classes))
+    built = some.format("b", "sum(t.area) AS area, count(*) AS n", xy("fx_building"), half)
+    return f"""WITH {roads_sql(half)}, {built}, {some.format("o", per_class, xy("fx_amenity"), half)}
+    SELECT r.* EXCLUDE (x, y), round(coalesce(b.area, 0), 6) AS total_building_area, coalesce(b.n, 0) AS num_buildings, {shown} FROM r LEFT JOIN b USING (place_id) LEFT JOIN o USING (place_id)"""
+
+
+def infrastructure(spark: SparkSession, d: str, side: float, classes: list[str]) -> DataFrame:
+    """What ``features.infrastructure`` gives for the network, its buildings and its points of interest; their kinds are places in the list of classes."""
+    roads = segments(spark, d, "fx_road").withColumn("length", geo.distance(*[F.col(c) for c in ("x1", "y1", "x2", "y2")]))
+    pois = points(spark, d, "fx_amenity").withColumn("amenity", F.get(F.array(*map(F.lit, classes)), F.col("kind")))
+    return features.infrastructure(points(spark, d, "fx_spot"), roads, points(spark, d, "fx_building"), pois, side=side, classes=classes)
+
+
+@query("GX5_infrastructure", infrastructure_sql(geo.MILE / 2, features.AMENITIES))
 def gx5_infrastructure(spark, d):
-    roads = segments(spark, d)
-    roads = roads.select("x1", "y1", "x2", "y2", ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"), geo.distance(*[F.col(c) for c in ("x1", "y1", "x2", "y2")]).alias("length"))
-    tiles = points(spark, d, "fx_tile").withColumnRenamed("population", "area")
-    out = features.infrastructure(points(spark, d, "fx_place"), roads, tiles, tiles, points(spark, d, "fx_poi"), side=5000.0, classes=["MEDIUM"])
-    return rounded(out.withColumnsRenamed({"MEDIUM": "tin", "MEDIUM_dist": "tin_dist"}), 3)
+    out = infrastructure(spark, d, geo.MILE, features.AMENITIES)
+    return out.select(*[F.round(c, 6 if c == "total_building_area" else 3).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
+@query("AG45_roads_buildings_classes", f"WITH {roads_sql(500.0)} SELECT * EXCLUDE (x, y) FROM r")
+def ag45(spark, d):
+    roads = segments(spark, d, "fx_road").withColumn("length", geo.distance(*[F.col(c) for c in ("x1", "y1", "x2", "y2")]))
+    spots = points(spark, d, "fx_spot")
+    found = spots.select("place_id").join(features.roads_in_box(spots, roads, side=1000.0), "place_id", "left")
+    return rounded(found.fillna(0), 3)
