@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..sources.tables import cut
 from . import spatial
-from .order import running
+from .order import percentiles, running
+from .pyramid import box_sums
 
 #: The sides of the boxes in metres, by the label in the feature's name.
 BOXES = {"1mile": geo.MILE, "2km": 2000.0, "5km": 5000.0, "10km": 10000.0}
@@ -43,8 +44,8 @@ def population(places: DataFrame, tiles: DataFrame, id: str = "place_id", boxes:
     """
     closest = spatial.nearest(places, tiles, id, "tile_id", ("population",), ties="lowest")
     closest = closest.select(id, F.col("population").alias("population_closest_tile"), F.col("distance").alias("distance_closest_tile"))
-    sums = spatial.box_aggregate(places, tiles, id, _halves(boxes), lambda label, inside: {f"population_in_{label}": F.sum(inside(F.col("b.population")))})
-    out = closest.join(sums.fillna(0.0, [f"population_in_{b}" for b in boxes]), id)
+    sums = box_sums(places, tiles, id, _halves(boxes), {"population": F.col("population")})
+    out = closest.join(sums, id)
     return out.withColumns(gravities(F.col("population_closest_tile"), F.col("distance_closest_tile"), "population_closest"))
 
 
@@ -58,11 +59,10 @@ def cells(places: DataFrame, antennas: DataFrame, id: str = "place_id", boxes: d
     grouped = cut(spatial.towers(antennas, "cell_id", eps))
     closest = spatial.nearest(places, grouped, id, "cell_id", ties="lowest").select(id, F.col("distance").alias("distance_closest_cell"))
 
-    def make(label: str, inside) -> dict[str, Column]:
-        return {f"cells_in_{label}": F.count(inside(F.col("b.cell_id"))), f"towers_in_{label}": F.countDistinct(inside(F.col("b.tower_id")))}
-
-    found = spatial.box_aggregate(places, grouped, id, _halves(boxes), make)
-    return closest.join(found.fillna(0, [f"{n}_in_{b}" for b in boxes for n in ("cells", "towers")]), id)
+    found = box_sums(places, grouped, id, _halves(boxes), {"cells": F.lit(1)})
+    towers = grouped.select("tower_id").distinct()
+    standing = box_sums(places, towers, id, _halves(boxes), {"towers": F.lit(1)}, grouped.select("tower_id", "x", "y"), "tower_id")
+    return closest.join(found, id).join(standing, id)
 
 
 def composite(pixels: DataFrame, start: str, end: str, how: str = "median", keys: tuple[str, ...] = ("lon", "lat"), time: str = "ts", value: str = "avg_rad") -> DataFrame:
@@ -79,25 +79,29 @@ def night_lights(places: DataFrame, pixels: DataFrame, id: str = "place_id", hal
     count, sum, min, max, mean, median, mean of the lower third (values up to the 33rd percentile), mean of the upper
     third (from the 66th), and shares of pixels, radiance and area at or above the threshold. Empty boxes: count 0, rest NULL.
     """
-    v, s = F.col(f"b.{value}"), F.col(f"b.{area}")
     names = list(halves)
     pairs = spatial.near(places.select(id, "x", "y"), pixels, max(halves.values()))
     reach = F.greatest(F.abs(F.col("a.x") - F.col("b.x")), F.abs(F.col("a.y") - F.col("b.y")))
-    rows = pairs.select(F.col(f"a.{id}").alias(id), v.alias("v"), s.alias("s"), reach.alias("reach"))
-    rows = rows.withColumn("box", F.explode(F.array(*[F.when(F.col("reach") <= h, F.lit(n)) for n, h in halves.items()]))).filter("box IS NOT NULL")
-    edges = rows.groupBy(id, "box").agg(F.percentile("v", 0.33).alias("p33"), F.percentile("v", 0.66).alias("p66"))
-    v, s, lit = F.col("v"), F.col("s"), F.col("v") >= threshold
-    stats = rows.join(edges, [id, "box"]).groupBy(id, "box").agg(
-        F.count("v").alias("count"),
-        F.sum("v").alias("sum"),
+    inside = F.filter(F.array(*[F.when(reach <= h, F.lit(n)) for n, h in halves.items()]), lambda n: n.isNotNull())
+    rows = pairs.select(F.col(f"a.{id}").alias(id), F.col(f"b.{value}").alias("v"), F.col(f"b.{area}").alias("s"), F.explode(inside).alias("box"))
+    # all statistics are of the distinct values and how often they stand there
+    counted = cut(rows.filter("v IS NOT NULL").groupBy(id, "box", "v").agg(F.count(F.lit(1)).alias("k"), F.sum("s").alias("s")))
+    shares = {"p33": 0.33, "p50": 0.5, "p66": 0.66}
+    cuts = percentiles(counted, "v", "k", shares, [id, "box"])
+    v, k, s, lit = F.col("v"), F.col("k"), F.col("s"), F.col("v") >= threshold
+    low, high = F.col("v") <= F.col("p33"), F.col("v") >= F.col("p66")
+    mean = lambda c: F.try_divide(F.sum(F.when(c, v * k)), F.sum(F.when(c, k)))
+    stats = counted.join(cuts, [id, "box"]).groupBy(id, "box").agg(
+        F.sum("k").alias("count"),
+        F.sum(v * k).alias("sum"),
         F.min("v").alias("min"),
         F.max("v").alias("max"),
-        F.avg("v").alias("mean"),
-        F.median("v").alias("median"),
-        F.avg(F.when(v <= F.col("p33"), v)).alias("mean_low"),
-        F.avg(F.when(v >= F.col("p66"), v)).alias("mean_high"),
-        F.try_divide(F.count_if(lit), F.count("v")).alias("share_lit"),
-        F.try_divide(F.sum(F.when(lit, v).otherwise(0.0)), F.sum("v")).alias("share_lit_sum"),
+        F.try_divide(F.sum(v * k), F.sum("k")).alias("mean"),
+        F.first("p50").alias("median"),
+        mean(low).alias("mean_low"),
+        mean(high).alias("mean_high"),
+        F.try_divide(F.coalesce(F.sum(F.when(lit, k)), F.lit(0)), F.sum("k")).alias("share_lit"),
+        F.try_divide(F.sum(F.when(lit, v * k).otherwise(0.0)), F.sum(v * k)).alias("share_lit_sum"),
         F.try_divide(F.sum(F.when(lit, s).otherwise(0.0)), F.sum("s")).alias("share_lit_area"),
     )
     columns = [c for c in stats.columns if c not in (id, "box")]

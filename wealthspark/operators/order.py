@@ -41,3 +41,19 @@ def average_ranks(df: DataFrame, column: str, name: str, by: Iterable[str] = ())
     counted = df.groupBy(*by, column).agg(F.count(F.lit(1)).alias("_k")).withColumn("_order", F.struct(F.col(column).isNull(), F.col(column)))
     upto = running(counted, "_order", {"_upto": "_k"}, by)
     return upto.select(*by, column, (F.col("_upto") - (F.col("_k") - 1) / 2).alias(name))
+
+
+def percentiles(counted: DataFrame, value: str, times: str, shares: dict[str, float], by: Iterable[str] = ()) -> DataFrame:
+    """(by, a column for each share): exact percentiles by linear interpolation, of distinct values and how often each stands in its group.
+
+    The values at the ranks around a share are found by running counts, so no group is held in memory.
+    """
+    by = list(by)
+    upto = running(counted.select(*by, value, times), value, {"_upto": times}, by)
+    totals = counted.groupBy(*by).agg(F.sum(times).alias("_n"))
+    ranked = beside(upto, totals, by)
+    rank = {n: (F.col("_n") - 1) * F.lit(float(q)) for n, q in shares.items()}
+    at = [F.min(F.when(F.col("_upto") > f(r), F.col(value))).alias(f"{side}_{n}") for n, r in rank.items() for side, f in (("low", F.floor), ("high", F.ceil))]
+    found = ranked.groupBy(*by, "_n").agg(*at)
+    between = {n: F.col(f"low_{n}") + (F.col(f"high_{n}") - F.col(f"low_{n}")) * (r - F.floor(r)) for n, r in rank.items()}
+    return found.select(*by, *[c.alias(n) for n, c in between.items()])

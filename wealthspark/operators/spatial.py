@@ -9,29 +9,22 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..sources.tables import cut
+from .cells import cell, touched, walked
+from .cover import held
 
 #: Half the equator in metres: no two projected points are further apart on an axis than twice this.
 WORLD = 20037508.342789244
 
 
-def _cell(v: Column, size: float) -> Column:
-    return F.floor(v / F.lit(float(size))).cast("long")
-
-
-def _cells(x: Column, y: Column, half: Column, size: float) -> list[Column]:
-    """All cells that the box touches, as one generator column after another."""
-    return [F.sequence(_cell(x - half, size), _cell(x + half, size)), F.sequence(_cell(y - half, size), _cell(y + half, size))]
-
-
 def near(left: DataFrame, right: DataFrame, half: float) -> DataFrame:
     """All pairs with both coordinate differences at most ``half`` metres (edges belong to the box). Left columns, then right columns.
 
     A left row goes to the cells (at most 3 x 3, of side ``2 * half``) that its box touches, a right row to its own: an equi-join.
     """
     size = 2.0 * half
-    gx, gy = _cells(F.col("x"), F.col("y"), F.lit(float(half)), size)
+    gx, gy = touched(F.col("x"), F.col("y"), F.lit(float(half)), size)
     a = left.withColumn("gx", F.explode(gx)).withColumn("gy", F.explode(gy)).alias("a")
-    b = right.withColumns({"gx": _cell(F.col("x"), size), "gy": _cell(F.col("y"), size)}).alias("b")
+    b = right.withColumns({"gx": cell(F.col("x"), size), "gy": cell(F.col("y"), size)}).alias("b")
     joined = a.join(b, (F.col("a.gx") == F.col("b.gx")) & (F.col("a.gy") == F.col("b.gy")))
     inside = F.col("b.x").between(F.col("a.x") - half, F.col("a.x") + half) & F.col("b.y").between(F.col("a.y") - half, F.col("a.y") + half)
     return joined.filter(inside)
@@ -69,7 +62,7 @@ def _descended(left: DataFrame, right: DataFrame, id: str, size: float) -> DataF
     Cells are kept with the bounds of their points. A cell whose bounds begin beyond the farthest corner of another cell's bounds cannot
     hold the nearest. Each level is an equi-join with cells a quarter as wide; few cells of a row are left after each.
     """
-    leaves = right.groupBy(_cell(F.col("x"), size).alias("gx"), _cell(F.col("y"), size).alias("gy"))
+    leaves = right.groupBy(cell(F.col("x"), size).alias("gx"), cell(F.col("y"), size).alias("gy"))
     leaves = cut(leaves.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")))
     top = 0
     while size * 4**top < 2 * WORLD:
@@ -116,7 +109,7 @@ def nearest(
         out = cut(out)
         todo = todo.join(out.select(id).distinct(), id, "left_anti")
         a = _descended(todo, right, id, reach).alias("a")
-        b = right.withColumns({"gx": _cell(F.col("x"), reach), "gy": _cell(F.col("y"), reach)}).alias("b")
+        b = right.withColumns({"gx": cell(F.col("x"), reach), "gy": cell(F.col("y"), reach)}).alias("b")
         out = out.unionByName(closest(a.join(b, (F.col("a.gx") == F.col("b.gx")) & (F.col("a.gy") == F.col("b.gy"))), None))
     return left.select(id).join(out, id, "left") if how == "left" else out
 
@@ -160,16 +153,10 @@ def towers(cells: DataFrame, id: str = "cell_id", eps: float = 10.0) -> DataFram
 def point_in_polygon(points: DataFrame, polygons: DataFrame, id: str, name: str = "name", order: str = "poly_id", lon: str = "lon", lat: str = "lat") -> DataFrame:
     """JN15: the name of the first polygon (by ``order``) that holds the point, else 'unknown'.
 
-    ``polygons``: order, name, rings (array of arrays of (lon, lat)) and the bounding box x0, y0, x1, y1. The box goes into one-degree
-    cells, so that the join is an equi-join whatever the number of polygons.
+    ``polygons``: order, name, rings (array of arrays of (lon, lat)); edges are outside, holes too. See ``cover`` for the join.
     """
-    cells = polygons.withColumn("gx", F.explode(F.sequence(F.floor("x0"), F.floor("x1")))).withColumn("gy", F.explode(F.sequence(F.floor("y0"), F.floor("y1"))))
-    p, q = points.withColumns({"gx": F.floor(lon), "gy": F.floor(lat)}).alias("p"), cells.alias("q")
-    px, py = F.col(f"p.{lon}"), F.col(f"p.{lat}")
-    box = px.between(F.col("q.x0"), F.col("q.x1")) & py.between(F.col("q.y0"), F.col("q.y1"))
-    hits = p.join(q, (F.col("p.gx") == F.col("q.gx")) & (F.col("p.gy") == F.col("q.gy")) & box)
-    hits = hits.filter(geo.in_polygon(px, py, F.col("q.rings")))
-    first = hits.groupBy(F.col(f"p.{id}").alias(id)).agg(F.min_by(F.col(f"q.{name}"), F.col(f"q.{order}")).alias("found"))
+    hits = held(points.select(id, lon, lat), polygons, [order, name], lon, lat)
+    first = hits.groupBy(id).agg(F.min_by(F.col(f"_of_{name}"), F.col(f"_of_{order}")).alias("found"))
     return points.join(first, id, "left").withColumn("country", F.coalesce("found", F.lit("unknown"))).drop("found")
 
 
@@ -188,27 +175,12 @@ ZONAL = {
 
 def zonal(points: DataFrame, polygons: DataFrame, column: str, functions: list[str] | dict[str, Column], id: str = "poly_id", lon: str = "lon", lat: str = "lat") -> DataFrame:
     """JN16, AG4, JN17, GX12: every polygon with aggregates of the points in it, named ``{column}_{function}``; a dict of columns is used as it is."""
-    cells = polygons.select(id, "rings", "x0", "y0", "x1", "y1")
-    cells = cells.withColumn("gx", F.explode(F.sequence(F.floor("x0"), F.floor("x1")))).withColumn("gy", F.explode(F.sequence(F.floor("y0"), F.floor("y1"))))
-    keyed = points.withColumns({"gx": F.floor(lon), "gy": F.floor(lat)})
-    inside = keyed.join(cells, ["gx", "gy"]).filter((F.col(lon) > F.col("x0")) & (F.col(lon) < F.col("x1")) & (F.col(lat) > F.col("y0")) & (F.col(lat) < F.col("y1")))
-    inside = inside.filter(geo.in_polygon(F.col(lon), F.col(lat), F.col("rings"))).select(id, *points.columns)
+    inside = held(points, polygons, [id], lon, lat).withColumnRenamed(f"_of_{id}", id)
     named = functions if isinstance(functions, dict) else {f"{column}_{f}": ZONAL[f](F.col(column)) for f in functions}
     got = polygons.select(id).join(inside, id, "left").groupBy(id).agg(*[c.alias(n) for n, c in named.items()])
     return polygons.join(got, id)
 
 
-def _walked(segments: DataFrame, size: float, margin: float) -> DataFrame:
-    """Each segment (x1, y1, x2, y2) in the cells that it passes, column by column (and those within ``margin``): columns gx, gy."""
-    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
-    out = segments.withColumn("gx", F.explode(F.sequence(_cell(F.least(x1, x2) - margin, size), _cell(F.greatest(x1, x2) + margin, size))))
-    # the part of the segment in the column, as shares of its way
-    ends = [F.try_divide(F.col("gx") * size + shift - x1, x2 - x1) for shift in (-margin, size + margin)]
-    first, last = (F.least(F.greatest(F.coalesce(pick(*ends), F.lit(whole)), F.lit(0.0)), F.lit(1.0)) for pick, whole in ((F.least, 0.0), (F.greatest, 1.0)))
-    ya, yb = y1 + first * (y2 - y1), y1 + last * (y2 - y1)
-    return out.withColumn("gy", F.explode(F.sequence(_cell(F.least(ya, yb) - margin, size), _cell(F.greatest(ya, yb) + margin, size))))
-
-
 def segment_crossings(segments: DataFrame, id: str = "seg_id", road: str | None = None, size: float = 500.0, snap: float = geo.SNAP) -> DataFrame:
     """JN18: pairs (a < b) of segments (x1, y1, x2, y2) that have a point in common, and where: a, b, x, y. Touching ends count, see ``geo.met``.
 
@@ -216,7 +188,7 @@ def segment_crossings(segments: DataFrame, id: str = "seg_id", road: str | None
     passes; a pair belongs to the cell of its point, so it is found once. ``size``: the cells' side, about a segment's length.
     """
     kept = [id, "x1", "y1", "x2", "y2", *([road] if road else [])]
-    cells = cut(_walked(segments.select(*kept), size, 4 * snap))  # both sides read it
+    cells = cut(walked(segments.select(*kept), size, 4 * snap))  # both sides read it
     first, second = (cells.select("gx", "gy", *[F.col(c).alias(f"{c}_{t}") for c in kept]) for t in "ab")
     pairs = first.join(second, ["gx", "gy"]).filter(F.col(f"{id}_a") < F.col(f"{id}_b"))
     if road:
@@ -226,7 +198,7 @@ def segment_crossings(segments: DataFrame, id: str = "seg_id", road: str | None
             pairs = pairs.filter(F.greatest(f"{v}1_{t}", f"{v}2_{t}") >= F.least(f"{v}1_{u}", f"{v}2_{u}") - 2 * snap)
     pairs = geo.met(pairs, *[tuple(f"{c}_{t}" for c in ("x1", "y1", "x2", "y2")) for t in "ab"], snap=snap)
     pairs = pairs.withColumn("met", F.explode(F.array("met")))  # keeps the filter below from being put in front, with the whole expression in it
-    here = (_cell(F.col("met.x"), size) == F.col("gx")) & (_cell(F.col("met.y"), size) == F.col("gy"))
+    here = (cell(F.col("met.x"), size) == F.col("gx")) & (cell(F.col("met.y"), size) == F.col("gy"))
     names = [F.col(f"{road}_{t}").alias(f"road_{t}") for t in "ab"] if road else []
     return pairs.filter(here).select(F.col(f"{id}_a").alias("a"), F.col(f"{id}_b").alias("b"), *names, F.col("met.x").alias("x"), F.col("met.y").alias("y"))
 
@@ -245,9 +217,9 @@ def junctions(segments: DataFrame, road: str = "road_id", id: str = "seg_id", si
 def segments_in_square(places: DataFrame, segments: DataFrame, id: str, width: float, columns: list[str]) -> DataFrame:
     """JN14 for segments: for each place the segments that have a point in the square of side ``width`` around it; a segment may come once for each cell."""
     half = width / 2
-    gx, gy = _cells(F.col("x"), F.col("y"), F.lit(half), width)
+    gx, gy = touched(F.col("x"), F.col("y"), F.lit(half), width)
     a = places.select(id, "x", "y").withColumn("gx", F.explode(gx)).withColumn("gy", F.explode(gy)).alias("a")
-    b = _walked(segments.select(*columns, "x1", "y1", "x2", "y2"), width, geo.SNAP).alias("b")
+    b = walked(segments.select(*columns, "x1", "y1", "x2", "y2"), width, geo.SNAP).alias("b")
     joined = a.join(b, (F.col("a.gx") == F.col("b.gx")) & (F.col("a.gy") == F.col("b.gy")))
     joined = joined.filter(geo.meets_box(*[F.col(f"b.{c}") for c in ("x1", "y1", "x2", "y2")], F.col("a.x"), F.col("a.y"), half))
     return joined.select(F.col(f"a.{id}").alias(id), F.col("a.x").alias("x"), F.col("a.y").alias("y"), *[F.col(f"b.{c}").alias(c) for c in columns])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..fixtures import table, view
 from ..functions import geo
 from ..operators import features, models, relocate, sampling, tables
+from ..operators.pyramid import box_sums
 from ..plans import jobs
 from ..sources import files
 from ..sources.tables import materialize, shared_folder
@@ -272,10 +273,8 @@ def ag42(spark, d):
 
 @query("AG3_box_counts", f"SELECT p.place_id, round(coalesce(sum(t.population), 0), 6) AS total, count(t.tile_id) AS n FROM {xy('fx_place')} p LEFT JOIN {xy('fx_tile')} t ON t.x BETWEEN p.x - 300 AND p.x + 300 AND t.y BETWEEN p.y - 300 AND p.y + 300 GROUP BY p.place_id")
 def ag3(spark, d):
-    from ..operators import spatial
-
-    made = spatial.box_aggregate(points(spark, d, "fx_place"), points(spark, d, "fx_tile"), "place_id", {"b": 300.0}, lambda n, inside: {"total": F.sum(inside(F.col("b.population"))), "n": F.count(inside(F.col("b.tile_id")))})
-    return rounded(made.fillna(0))
+    made = box_sums(points(spark, d, "fx_place"), points(spark, d, "fx_tile"), "place_id", {"b": 300.0}, {"total": F.col("population"), "n": F.lit(1)})
+    return rounded(made.withColumnsRenamed({"total_in_b": "total", "n_in_b": "n"}))
 
 
 @query("SC3_distance", f"SELECT p.place_id, round(sqrt((p.x - t.x) ** 2 + (p.y - t.y) ** 2), 3) AS distance FROM {xy('fx_place')} p JOIN {xy('fx_tile')} t ON p.place_id = t.tile_id")

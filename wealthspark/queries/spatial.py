@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..fixtures import view
 from ..functions import geo
 from ..operators import features, spatial
+from ..operators.pyramid import box_sums
 from .base import query, x, xy, y
 
 
@@ -129,11 +130,8 @@ IN_BOX = "t.x BETWEEN p.x - {0} AND p.x + {0} AND t.y BETWEEN p.y - {0} AND p.y
     FROM {xy("fx_place")} p LEFT JOIN {xy("fx_tile")} t ON {IN_BOX.format(5000.0)} GROUP BY p.place_id""",
 )
 def jn13(spark, d):
-    made = spatial.box_aggregate(
-        points(spark, d, "fx_place"), points(spark, d, "fx_tile"), "place_id", {n: w / 2 for n, w in BOXES.items()},
-        lambda n, inside: {f"population_in_{n}": F.sum(inside(F.col("b.population"))), f"tiles_in_{n}": F.count(inside(F.col("b.tile_id")))},
-    )
-    return rounded(made.fillna(0))
+    made = box_sums(points(spark, d, "fx_place"), points(spark, d, "fx_tile"), "place_id", {n: w / 2 for n, w in BOXES.items()}, {"population": F.col("population"), "tiles": F.lit(1)})
+    return rounded(made)
 
 
 @query(
