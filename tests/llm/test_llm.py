@@ -462,6 +462,55 @@ def test_stray_end_tags_cost_nothing():
     assert times[1] < 12 * times[0] + 0.2
 
 
+def html_model():
+    counts = collections.Counter()
+    for page in html_extract.labelled_pages():
+        counts.update(html_extract.count(page))
+    return html_extract.Model(counts)
+
+
+def test_html_of_many_makers():
+    """Text in the body itself; menus, footers, related links and comments whose class also names an article; what is not shown."""
+    model, words = html_model(), "Some words of a real paragraph here, and more of them. "
+    article, text = f"<article><h1>Title</h1><p>{words * 4}</p></article>", f"Title\n\n{(words * 4).strip()}"
+    bare = words.strip()
+    assert model.extract(f"<html><body>{words}<br>{words}</body></html>") == f"{bare} {bare}"
+    assert model.extract(f"<html><body><span>{words}</span>{words}</body></html>") == f"{bare} {bare}"
+    assert model.extract(f'<html><body><nav><a href="x">Menu</a></nav>{words * 3}<br>{words}<div class="footer"><p>&copy; 2020 Us <a href="y">About</a></p></div></body></html>') == (words * 4).strip()
+    links = "".join(f'<li><a href="/{k}">Some link {k}</a></li>' for k in range(5))
+    for beside in (f'<div class="main-menu"><ul>{links}</ul></div>', f'<div class="article-footer"><p>&copy; 2020 Us <a href="y">About</a></p></div>', f'<div class="content-related"><h3>More</h3><ul>{links}</ul></div>', f'<div class="post comment"><p>{words}</p></div>', f'<div style="display: none"><p>{words}</p></div>'):
+        assert model.extract(f"<html><body>{article}{beside}</body></html>") == text, beside
+        assert model.extract(f"<html><body>{beside}{article}</body></html>") == text, beside
+    assert model.extract(f'<html><body><div class="content has-sidebar"><h1>Title</h1><p>{words * 4}</p></div></body></html>') == text
+    assert model.extract(f"<html><body><article><p>A\u00a0b &nbsp; c\u2003d\n{words}</p></article></body></html>") == f"A b c d {bare}"
+
+
+def test_inline_end_tags_cost_nothing():
+    import time
+
+    times = []
+    for n in (5000, 20000):
+        start = time.perf_counter()
+        html_extract.parse("<i><div>" + "<b></i>" * n)
+        times.append(time.perf_counter() - start)
+    assert times[1] < 10 * times[0] + 0.2
+
+
+def test_op1_registered(spark, data):
+    """The registered query on all pages of the tables: what stands in their article."""
+    import html
+
+    from wealthspark.llm.queries import QUERIES
+
+    pages = {r["page_id"]: r for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
+    got = rows(QUERIES["op1_html"](spark, data), "page_id")
+    assert got.keys() == pages.keys()
+    for k, r in got.items():
+        inside = re.search(r"<article>(.*)</article>", pages[k]["html"], re.S)[1]
+        blocks = [" ".join(html.unescape(p).split()) for p in re.split(r"</?(?:h1|p)>|<br>|</?b>", inside)]
+        assert (r["url"], r["text"], r["n_chars"]) == (pages[k]["url"], "\n\n".join(b for b in blocks if b), len(r["text"]))
+
+
 def test_marginals_are_exact():
     """Sum-product against all labelings of a small tree."""
     import itertools

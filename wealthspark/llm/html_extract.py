@@ -11,7 +11,7 @@ import html
 import math
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,7 +36,9 @@ BLOCK = set(
     "hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul legend caption".split()
 )
 #: Elements that say little about what is in them.
-PLAIN = {"div", "dl", "dd", "dt", "li", "ol", "p", "table", "tbody", "td", "th", "thead", "tr", "ul"}
+PLAIN = {"div", "dl", "dd", "dt", "li", "ol", "p", "table", "tbody", "td", "th", "thead", "tr", "ul", "#text"}
+#: Elements whose own text is a node of its own, as what stands beside it may be anything.
+OPEN = {"root", "html", "body", "main", "article", "section", "div", "center"}
 #: An opening tag of the left kind ends an open element of the right kinds.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Words in class, id and role attributes, by what they hint at.
@@ -49,6 +51,21 @@ HINTS = {
     "content": "article content post entry story main body text article-body post-content entry-content articlebody prose hentry",
 }
 HINT_OF = {w: k for k, words in HINTS.items() for w in words.split()}
+#: Words in front of another that only tell what the page has (``has-sidebar``).
+MODIFIERS = {"has", "with", "no", "without", "is", "not", "hide", "show"}
+#: Styles of what is not shown.
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+
+
+def hint_of(names: str) -> str:
+    """What the words of class, id and role say together: all kinds that they name, in the order of ``HINTS``."""
+    kinds = set()
+    for name in re.findall(r"[a-z]+(?:[-_]+[a-z]+)*", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", names).lower()):
+        words = re.split(r"[-_]+", name)
+        if words[0] in MODIFIERS:
+            continue
+        kinds.update(HINT_OF[w] for w in ("-".join(words), *words) if w in HINT_OF)
+    return "+".join(k for k in HINTS if k in kinds)
 
 
 class Node:
@@ -64,16 +81,19 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """The block elements in page order (a parent before its children), and (node, text) of each block of text."""
     nodes, blocks = [Node("root", "", 0, -1, 0)], []
     stack: list[tuple[str, int, bool]] = [("root", 0, False)]  # tag, nearest block node, hidden
-    still_open: Counter = Counter()  # how often each tag is in the stack, so that a stray end tag costs no search
-    links, run, run_node = 0, [], 0
+    # where in the stack each tag's elements and all blocks are, so that an end tag costs no search
+    places: defaultdict[str, list[int]] = defaultdict(list)
+    blocks_at = [0]
+    links, run, run_node, own = 0, [], 0, {}  # own: the text node of an open element, while its text goes on
 
     def close_run() -> None:
         nonlocal run
         if run:
             text = " ".join(html.unescape("".join(run)).split())
             if text:
-                blocks.append((run_node, text))
+                blocks.append((own.get(run_node, run_node), text))
             run = []
+            own.pop(run_node, None)
 
     def say(text: str) -> None:
         nonlocal run_node
@@ -85,16 +105,25 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             run_node = node
         run.append(text)
         n = len(text) - text.count(" ")
+        if nodes[node].tag in OPEN:
+            if node not in own:
+                if not text.strip():
+                    return
+                nodes.append(Node("#text", "", nodes[node].mark, node, nodes[node].depth + 1))
+                nodes[-1].place = nodes[node].place
+                own[node] = len(nodes) - 1
+            node = own[node]
         nodes[node].chars += n
         nodes[node].linked += n if links else 0
 
     def pop() -> None:
         nonlocal links
         tag, _, _ = stack.pop()
-        still_open[tag] -= 1
+        places[tag].pop()
         if tag == "a" and links:
             links -= 1
         if tag in BLOCK:
+            blocks_at.pop()
             close_run()
 
     at, size = 0, len(page)
@@ -109,22 +138,18 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if still_open[tag] > 0:
-                block = tag in BLOCK
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        while len(stack) > k:
-                            pop()
-                        break
-                    if not block and stack[k][0] in BLOCK:
-                        break  # an inline end tag does not close blocks
+            # an inline end tag does not close blocks
+            if places[tag] and (tag in BLOCK or blocks_at[-1] < places[tag][-1]):
+                k = places[tag][-1]
+                while len(stack) > k:
+                    pop()
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else size
             continue
         if tag in BLOCK:
-            while len(stack) > 1 and stack[-1][0] not in BLOCK and still_open["p"] > 0 and tag != "hr":
+            while len(stack) > 1 and stack[-1][0] not in BLOCK and places["p"] and tag != "hr":
                 pop()  # inline elements left open end with their paragraph
             if stack[-1][0] == "p":
                 pop()
@@ -139,10 +164,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         _, node, hidden = stack[-1]
         if tag in BLOCK:
             given = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(m[3])} if m[3].strip(" /") else {}
-            hint = ""
-            for word in re.findall(r"[a-z]+(?:-[a-z]+)*|[a-z]+", " ".join(given.get(k, "") for k in ("class", "id", "role")).lower()):
-                for w in (word, *word.split("-")):
-                    hint = hint or HINT_OF.get(w, "")
+            hint = hint_of(" ".join(given.get(k, "") for k in ("class", "id", "role")))
             mark = int(given[MARK] == "1") if MARK in given else nodes[node].mark
             nodes.append(Node(tag, hint, mark, node, nodes[node].depth + 1))
             if not hint and tag in PLAIN:
@@ -152,8 +174,11 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             node = len(nodes) - 1
         if tag == "a":
             links += 1
-        still_open[tag] += 1
-        stack.append((tag, node, hidden or tag in HIDDEN or "hidden" in m[3].lower().split()))
+        places[tag].append(len(stack))
+        if tag in BLOCK:
+            blocks_at.append(len(stack))
+        unseen = tag in HIDDEN or "hidden" in m[3].lower().split() or ("style" in m[3].lower() and UNSEEN.search(m[3]) is not None)
+        stack.append((tag, node, hidden or unseen))
     close_run()
     return nodes, blocks
 
@@ -268,14 +293,14 @@ def labelled_pages(n: int = 600, seed: int = 5) -> list[str]:
 
     def menu() -> str:
         items = some(3, 10, lambda: f"<li>{link()}</li>")
-        return r.choice([f"<nav><ul>{items}</ul></nav>", f'<div class="{r.choice(["nav", "menu", "breadcrumbs", "navbar"])}"><ul>{items}</ul></div>', f"<nav>{some(2, 6, link)}</nav>", f'<ul class="menu">{items}</ul>'])
+        return r.choice([f"<nav><ul>{items}</ul></nav>", f'<div class="{r.choice(["nav", "menu", "breadcrumbs", "navbar", "main-menu", "site-nav content", "article-nav", "post-navigation"])}"><ul>{items}</ul></div>', f"<nav>{some(2, 6, link)}</nav>", f'<ul class="menu">{items}</ul>'])
 
     def head() -> str:
         return r.choice([f"<header><h1>{words(1, 3)}</h1><p>{words(2, 6)}</p></header>", f'<div id="header"><h2>{link()}</h2></div>', f"<header>{menu()}</header>", ""])
 
     def foot() -> str:
         text = f"&copy; 2020 {words(1, 4)} {link()}"
-        return r.choice([f"<footer>{text}</footer>", f"<footer><p>{text}</p><ul>{some(2, 5, lambda: f'<li>{link()}</li>')}</ul></footer>", f'<div class="footer"><p>{text}</p></div>'])
+        return r.choice([f"<footer>{text}</footer>", f"<footer><p>{text}</p><ul>{some(2, 5, lambda: f'<li>{link()}</li>')}</ul></footer>", f'<div class="{r.choice(["footer", "article-footer", "post-footer", "content-footer"])}"><p>{text}</p></div>'])
 
     def boiler() -> str:
         return r.choice(
@@ -286,14 +311,14 @@ def labelled_pages(n: int = 600, seed: int = 5) -> list[str]:
                 lambda: f'<div class="sidebar"><h3>{words(1, 3)}</h3><ul>{some(2, 6, lambda: f"<li>{link()}</li>")}</ul><p>{sentence(3, 20)}</p></div>',
                 lambda: f'<div class="{r.choice(["cookie-notice", "consent", "notice", "newsletter"])}"><p>{sentence(5, 25)}</p>{link()}</div>',
                 lambda: f'<form action="/s"><p>{words(1, 4)}</p><label>{words(1, 2)}</label><input name="q"></form>',
-                lambda: f'<div class="related"><h3>{words(1, 3)}</h3><ul>{some(2, 5, lambda: f"<li>{link()}</li>")}</ul></div>',
+                lambda: f'<div class="{r.choice(["related", "content-related", "related-articles", "post-related"])}"><h3>{words(1, 3)}</h3><ul>{some(2, 5, lambda: f"<li>{link()}</li>")}</ul></div>',
                 menu,
             ]
         )()
 
     def comments() -> str:
-        body = some(1, 5, lambda: f'<{t} class="comment"><p>{sentence(4, 30)}</p></{t}>' if (t := r.choice(["div", "li", "article"])) else "")
-        return r.choice([f'<div class="comments"><h3>{words(1, 2)}</h3>{body}</div>', f'<section id="comments"><h2>{words(1, 2)}</h2>{body}</section>', ""])
+        body = some(1, 5, lambda: f'<{t} class="{r.choice(["comment", "comment", "post comment", "comment-body", "comment-entry"])}"><p>{sentence(4, 30)}</p></{t}>' if (t := r.choice(["div", "li", "article"])) else "")
+        return r.choice([f'<div class="{r.choice(["comments", "post-comments", "article-comments"])}"><h3>{words(1, 2)}</h3>{body}</div>', f'<section id="comments"><h2>{words(1, 2)}</h2>{body}</section>', ""])
 
     def part() -> str:
         return r.choice(
@@ -313,6 +338,12 @@ def labelled_pages(n: int = 600, seed: int = 5) -> list[str]:
             ]
         )()
 
+    def open_text() -> str:
+        return some(1, 5, lambda: f"{some(1, 3, lambda: sentence() + ' ')}{r.choice(['<br>', '<br><br>', f'<p>{sentence()}</p>', f'<span>{sentence()}</span>', f'<b>{words(1, 3)}</b>'])}")
+
+    def marked(parts: list[str]) -> str:
+        return "".join(f'<div {MARK}="0">{p}</div>' if p and not p.startswith("<") else re.sub(r"^<(\w+)", rf'<\1 {MARK}="0"', p) for p in parts)
+
     out = []
     for _ in range(n):
         title = f"<h1>{words(1, 9)}</h1>"
@@ -325,7 +356,8 @@ def labelled_pages(n: int = 600, seed: int = 5) -> list[str]:
                 f'<article {MARK}="1">{body}</article>',
                 f'<main {MARK}="1">{body}</main>',
                 f'<main><article class="post" {MARK}="1">{body}</article></main>',
-                f'<div class="{r.choice(["content", "post-content", "entry", "story"])}" {MARK}="1">{body}</div>',
+                f'<div class="{r.choice(["content", "post-content", "entry", "story", "content has-sidebar", "mainContent"])}" {MARK}="1">{body}</div>',
+                f'<div class="{r.choice(["content", "story"])}" {MARK}="1">{open_text()}</div>',
                 f'<div id="main"><div class="article-body" {MARK}="1">{body}</div></div>',
                 f'<section {MARK}="1">{body}</section>',
                 re.sub(r"^<(\w+)", rf'<\1 {MARK}="1"', title) + some(1, 10, lambda: re.sub(r"^<(\w+)", rf'<\1 {MARK}="1"', part())),
@@ -333,6 +365,9 @@ def labelled_pages(n: int = 600, seed: int = 5) -> list[str]:
         )
         before = [menu(), head(), some(0, 2, boiler)]
         r.shuffle(before)
+        if r.random() < 0.1:  # the text stands in the body itself
+            out.append(f'<html><body {MARK}="1">{marked(before)}{title if r.random() < 0.5 else ""}{open_text()}{marked([comments(), foot()])}</body></html>')
+            continue
         inside = f'{"".join(before)}{main}{comments()}{some(0, 2, boiler)}{foot()}'
         out.append(inside if r.random() < 0.1 else f"<html><head><title>{words(2, 6)}</title></head><body>{inside}</body></html>")
     return out
@@ -362,7 +397,8 @@ def trained(spark: SparkSession) -> Model:
 def main_text(spark: SparkSession, pages: DataFrame, model: Model, id: str = "page_id", column: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
     """id, the columns of ``keep``, ``text``, ``n_chars`` (code points) of each page.
 
-    Null or empty pages, and pages where nothing looks like an article, give empty text. Pages are read whole; markup left open at
+    White space inside a block is every run of Unicode white space, no-break spaces too (``str.split``); it becomes one space. A line break is such white space.
+    Text that is not shown (``hidden``, ``display:none``) is left out. Null or empty pages, and pages where nothing looks like an article, give empty text. Pages are read whole; markup left open at
     the end is closed there. Null ids and repeated rows are kept; other columns are not read.
     """
     shared = spark.sparkContext.broadcast(model)  # some hundred numbers
