@@ -228,23 +228,48 @@ def test_configurations_use_every_item():
     assert packing.knapsack(np.array([-np.inf, -np.inf, 3.0, 5.0, -np.inf, 8.0]), 5).tolist() == [0, 0, 3, 5, 6, 8]
 
 
-def test_program_carries_the_packing():
-    """At production size: most sequences are the program's, no more than best fit alone needs, and the bound is a bound."""
+def test_program_is_solved():
+    """At production size: a true cover within the stated gap of a lower bound, every item packed once, never more sequences than best fit alone."""
     r = np.random.default_rng(1)
-    capacity = packing.CAPACITY
-    for items, share in ((np.clip(r.lognormal(5.5, 1, 20_000).astype(int), 1, capacity), 0.6), (r.integers(1, capacity, 50_000), 0.3)):
+    capacity, sequences = packing.CAPACITY, lambda plan: sum(n for _, n in plan)
+    for items in (np.clip(r.lognormal(5.5, 1, 20_000).astype(int), 1, capacity), r.integers(1, capacity, 50_000), r.integers(600, capacity, 50_000), r.integers(683, 760, 20_000)):
         counts = np.bincount(items, minlength=capacity + 1)
         plan, of_program = packing.planned(counts, capacity)
-        alone = sum(n for _, n in packing.best_fit(counts, capacity))
-        needed = sum(n for _, n in plan)
         used = np.zeros(capacity + 1, int)
         for config, n in plan:
             assert sum(a * b for a, b in config) <= capacity
             for a, b in config:
                 used[a] += b * n
-        assert (used == counts).all() and needed <= alone and of_program >= share * needed
+        assert (used == counts).all() and sequences(plan) <= sequences(packing.best_fit(counts, capacity)) and of_program <= sequences(plan)
         counts[capacity] = 0
-        assert packing.fractional(counts.astype(float), capacity, 0.01)[1] <= needed + 1e-6
+        tops = packing.classes(counts)
+        grouped = np.zeros(capacity + 1, int)
+        grouped[tops] = np.add.reduceat(counts, np.concatenate([[0], tops[:-1] + 1]))
+        assert len(tops) <= packing.CLASSES and grouped.sum() == counts.sum()
+        solution, bound = packing.fractional(grouped, capacity)
+        cover = np.zeros(capacity + 1)
+        for config, x in solution.items():
+            assert sum(n * k for n, k in config) <= capacity
+            for n, k in config:
+                cover[n] += x * k
+        assert (cover[tops] >= grouped[tops] * (1 - 1e-3)).all() and bound * (1 - 1e-9) <= sum(solution.values()) <= (1 + packing.GAP) * bound
+
+
+@pytest.mark.parametrize("lengths,counts", [([61, 62, 74, 114, 129], [462, 829, 507, 900, 316]), ([43, 70, 79, 102, 117], [511, 962, 91, 623, 90]), ([63, 103, 108, 174], [546, 58, 590, 52])])
+def test_prices_matter(lengths, counts):
+    """Where best fit is not the best, the solved program needs fewer sequences than best fit and than a program whose prices never change."""
+    histogram = np.bincount(lengths, counts, 301).astype(int)
+    needed = [sum(n for _, n in packing.planned(histogram, 300, steps)[0]) for steps in (packing.STEPS, 1)]
+    alone = sum(n for _, n in packing.best_fit(histogram, 300))
+    bound = packing.fractional(histogram, 300)[1]
+    assert bound <= needed[0] < needed[1] <= alone and needed[0] <= 1.05 * bound
+
+
+def test_program_beats_best_fit():
+    """A histogram that three lengths fill exactly: the bound is reached, best fit needs two ninths more."""
+    histogram = np.bincount([1044, 552, 532, 472], [6000, 6000, 6000, 12000], 2049).astype(int)
+    plan, of_program = packing.planned(histogram, 2048)
+    assert sum(n for _, n in plan) == of_program == 9000 and sum(n for _, n in packing.best_fit(histogram, 2048)) == 11000
 
 
 def test_text_of_a_million_characters():

@@ -1,11 +1,12 @@
 """Best-fit packing of token pieces by a configuration linear program over the histogram of their lengths.
 
-A configuration is a multiset of lengths that fits a sequence. The program (fewest configurations that cover every length's count)
-is solved by multiplicative weights: each step prices the lengths, a knapsack dynamic program gives the dearest configuration and, for each
-length, the dearest that holds it; those within a small share of the dearest are taken as often as their scarcest length
-allows, and the prices of what they cover fall. The steps end when the cover is within a stated gap of the prices' lower bound. The
-solution is rounded in the order of its weights while the counts last, and what is left is packed best fit, longest first, into what
-room there is. All of this works on at most ``capacity`` counts, whatever the corpus.
+A configuration is a multiset of lengths that fits a sequence. Lengths are first rounded up to a bounded number of classes with about as many tokens each;
+the shortest lengths, with a stated share of all tokens, stay out to fill up what room the others leave. The program (fewest configurations that cover
+every class's count) is solved by multiplicative weights: each step prices the classes, a knapsack dynamic program gives the dearest configuration and,
+for each class, the dearest that holds it; those within a small share of the dearest are taken as often as their scarcest class allows, and the prices
+of what they cover fall. Older steps count less and less. The steps end when the cover is within a stated gap of the lower bound that the prices, or their
+mean over the steps, give. The solution is rounded in the order of its weights while the counts last, its places are given to items of their class, and
+what is left is packed best fit, longest first, into what room there is. All of this works on at most ``capacity`` counts, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -26,12 +27,15 @@ from .shared import partitions, written
 
 CAPACITY = 2048
 END = 0
-#: The rate at which prices fall, the gap between cover and bound at which the steps end, and the most steps: fewer only leave a wider gap,
-#: every length is packed all the same.
-RATE, GAP, STEPS = 0.1, 0.01, 6
-#: Programs that are tried: the share of all tokens, in the shortest lengths, that is left out of the program to fill its sequences up; the share
-#: of the dearest value that a configuration may be below it; and the share of the rounded sequences that is kept.
-TRIED = ((0.02, 1e-9, 1.0), (0.05, 1e-9, 1.0), (0.1, 1e-9, 1.0), (0.02, 0.0005, 1.0), (0.02, 0.004, 0.75), (0.05, 0.004, 0.75))
+#: Classes of lengths in the program, and the share of all tokens, in the shortest lengths, that stays out of it.
+CLASSES, FILL = 48, 0.25
+#: Steps in which sequences of the program are given up.
+PARTS = 10
+#: The gap between cover and bound at which the steps end, and a limit of steps, far above what it takes.
+GAP, STEPS = 0.05, 2000
+#: The rates at which prices fall in the first and in late steps and how it shrinks; what a step's cover and prices still count a step later; how far a
+#: configuration may be below the dearest.
+RATE, LAST_RATE, SHRINK, KEPT, MEAN, NEAR = 0.2, 0.02, 0.997, 0.99, 0.98, 0.01
 
 Configurations = list[tuple[tuple[tuple[int, int], ...], int]]  # ((length, times), ...), how many sequences
 
@@ -66,35 +70,57 @@ def dear(prices: np.ndarray, best: np.ndarray, left: np.ndarray, start: int, roo
     return out
 
 
-def fractional(counts: np.ndarray, capacity: int, near: float, steps: int = STEPS, rate: float = RATE, gap: float = GAP) -> tuple[dict[tuple[tuple[int, int], ...], float], float]:
+def classes(counts: np.ndarray, most: int = CLASSES) -> np.ndarray:
+    """The largest lengths of at most ``most`` classes: each used length its own if they are few, else runs of lengths with about as many tokens each."""
+    used = np.flatnonzero(counts)
+    if len(used) <= most:
+        return used
+    tokens = np.cumsum(counts[used] * used)
+    part = (tokens - 1) * most // tokens[-1]
+    return used[np.append(np.flatnonzero(np.diff(part)), len(used) - 1)]
+
+
+def fractional(counts: np.ndarray, capacity: int, steps: int = STEPS, gap: float = GAP) -> tuple[dict[tuple[tuple[int, int], ...], float], float]:
     """Configurations and how often each is used to cover all counts, and a lower bound of any cover's size."""
     lengths, used = np.arange(capacity + 1), counts > 0
-    prices = np.where(used, lengths / capacity, -np.inf)
+    if not used.any():
+        return {}, 0.0
+    prices, mean, rate = np.where(used, lengths / capacity, -np.inf), np.where(used, 0.0, -np.inf), RATE
     cover, found, bound = np.zeros(capacity + 1), defaultdict(float), 0.0
-    for _ in range(steps if used.any() else 0):
-        best = knapsack(prices, capacity)
+    step, best_size, out = 0, np.inf, {}
+    while step < steps or not out:
+        best, step = knapsack(prices, capacity), step + 1
         top = best[capacity]
-        bound = max(bound, float((counts * np.where(used, prices, 0)).sum()) / top)
+        bound = max(bound, float((counts[used] * prices[used]).sum()) / top)
+        mean[used] = MEAN * mean[used] + prices[used] / top
+        if step % 10 == 0:
+            bound = max(bound, float((counts[used] * mean[used]).sum()) / knapsack(mean, capacity)[capacity])
         value = np.where(used, prices + best[capacity - lengths], -np.inf)
         left = counts.astype(np.int64).copy()
-        for n in sorted(np.flatnonzero(value >= (1 - near) * top).tolist(), reverse=True):
+        good = np.flatnonzero(value >= (1 - NEAR) * top)
+        for n in good[np.argsort(-value[good], kind="stable")].tolist():
             while left[n] > 0:
-                chosen = dear(prices, best, left, n, capacity, value[n] - (1 - near) * top)
-                if sum(prices[m] * k for m, k in chosen.items()) < (1 - near) * top:
-                    break
+                chosen = dear(prices, best, left, n, capacity, value[n] - (1 - NEAR) * top)
                 share = min(int(left[m]) // k for m, k in chosen.items())
+                if share < 1 or sum(prices[m] * k for m, k in chosen.items()) < (1 - NEAR) * top:
+                    break
                 found[tuple(sorted(chosen.items(), reverse=True))] += share
                 for m, k in chosen.items():
                     left[m] -= share * k
         fresh = np.where(used, 1 - left / np.maximum(counts, 1), 0)
-        cover += fresh
+        cover = KEPT * (cover + fresh)
+        for config in found:
+            found[config] *= KEPT
         prices[used] *= np.exp(-rate * fresh[used])
         prices[used] /= prices[used].max()
+        rate = max(LAST_RATE, rate * SHRINK)
         least = cover[used].min()
-        if least > 0 and sum(found.values()) / least <= (1 + gap) * bound:
-            break
-    least = cover[used].min() if used.any() else 0.0
-    return {config: x / (least or 1.0) for config, x in found.items()}, bound
+        size = sum(found.values()) / least if least > 0 else np.inf
+        if size < best_size:
+            best_size, out = size, {config: x / least for config, x in found.items() if x / least > 1e-6}
+            if size <= (1 + gap) * bound:
+                break
+    return out, bound
 
 
 def best_fit(counts: np.ndarray, capacity: int, begun: Configurations = ()) -> Configurations:
@@ -134,43 +160,72 @@ def best_fit(counts: np.ndarray, capacity: int, begun: Configurations = ()) -> C
     return sorted(out)
 
 
-def rounded(counts: np.ndarray, capacity: int, solution: dict[tuple[tuple[int, int], ...], float], part: float = 1.0) -> tuple[Configurations, np.ndarray]:
-    """Whole numbers of the solution's configurations, by weight and each at least once while its lengths last, the first ``part`` of
-    them; the counts that are left."""
-    left, out = counts.copy(), []
+def rounded(counts: np.ndarray, solution: dict[tuple[tuple[int, int], ...], float]) -> Configurations:
+    """Whole parts of the solution's configurations, by weight, while the counts last."""
+    left, out = counts.astype(np.int64).copy(), []
     for config, x in sorted(solution.items(), key=lambda c: (-c[1], c[0])):
-        number = min(max(1, int(x)), *(int(left[n]) // k for n, k in config))
+        number = min(int(x), *(int(left[n]) // k for n, k in config))
         if number > 0:
             out.append((config, number))
             for n, k in config:
                 left[n] -= number * k
-    most = part * sum(number for _, number in out)
-    before = np.cumsum([0, *(number for _, number in out)])[:-1]
-    for config, number in (x for x, n in zip(out, before) if n >= most):
-        for n, k in config:
-            left[n] += number * k
-    return [x for x, n in zip(out, before) if n < most], left
-
+    return out
 
-def planned(counts: np.ndarray, capacity: int) -> tuple[Configurations, int]:
-    """Configurations that use every item once, and how many of the sequences are the program's.
 
-    Each program of ``TRIED`` is filled up best fit. The fewest sequences win, then the most from the program; best fit alone is
-    taken only where every program needs more.
-    """
+def filled(plan: Configurations, tops: np.ndarray, counts: np.ndarray) -> tuple[Configurations, np.ndarray]:
+    """Configurations of classes with items of the classes in their places, longest first; the counts that are left."""
+    left, out = counts.copy(), []
+    longest = {n: n for n in tops.tolist()}
+    for config, number in plan:
+        while number:
+            chosen = {}
+            for n, k in config:
+                while not left[longest[n]]:
+                    longest[n] -= 1
+                at = longest[n]
+                while k:
+                    if use := min(k, int(left[at])):
+                        chosen[at] = use
+                    k, at = k - use, at - 1
+            times = min(number, *(int(left[n]) // k for n, k in chosen.items()))
+            for n, k in chosen.items():
+                left[n] -= times * k
+            out.append((tuple(sorted(chosen.items(), reverse=True)), times))
+            number -= times
+    return out, left
+
+
+def planned(counts: np.ndarray, capacity: int, steps: int = STEPS) -> tuple[Configurations, int]:
+    """Configurations that use every item once, and how many of the sequences are begun by the program: all that it has, unless best fit alone needs
+    fewer. Then the least full of them are given up, a tenth at a time, until it does not."""
     left = counts.astype(np.int64).copy()
     full: Configurations = [(((capacity, 1),), int(left[capacity]))] if left[capacity] else []
     left[capacity] = 0
     sequences = lambda plan: sum(number for _, number in plan)
-    plans = [(best_fit(left, capacity), 0)]
+    plain = best_fit(left, capacity)
     tokens = np.cumsum(left * np.arange(capacity + 1))
-    for share, near, part in TRIED if tokens[-1] else ():
-        inside = left.copy()
-        inside[: int(np.searchsorted(tokens, share * tokens[-1]))] = 0
-        begun, rest = rounded(inside, capacity, fractional(inside.astype(float), capacity, near)[0], part)
-        plans.append((best_fit(rest + left - inside, capacity, begun), sequences(begun)))
-    plan, of_program = min(plans, key=lambda x: (sequences(x[0]), -x[1]))
-    return full + plan, of_program
+    if not tokens[-1]:
+        return full, 0
+    inside = left.copy()
+    inside[: int(np.searchsorted(tokens, FILL * tokens[-1]))] = 0
+    tops, grouped = classes(inside), np.zeros(capacity + 1, np.int64)
+    grouped[tops] = np.add.reduceat(inside, np.concatenate([[0], tops[:-1] + 1]))
+    begun, _ = filled(rounded(grouped, fractional(grouped, capacity, steps)[0]), tops, inside)
+    begun.sort(key=lambda c: (-sum(n * k for n, k in c[0]), c))
+    for part in range(PARTS, 0, -1):
+        kept, rest = [], left.copy()
+        most = sequences(begun) * part // PARTS
+        for config, number in begun:
+            number = min(number, most)
+            most -= number
+            if number:
+                kept.append((config, number))
+                for n, k in config:
+                    rest[n] -= number * k
+        plan = best_fit(rest, capacity, kept)
+        if sequences(plan) <= sequences(plain):
+            return full + plan, sequences(kept)
+    return full + plain, 0
 
 
 def configurations(counts: np.ndarray, capacity: int = CAPACITY) -> Configurations:
