@@ -175,15 +175,55 @@ def test_zip_folder(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.writestr("one.csv", "a,b\n1,2\n3,4\n")
         z.writestr("two.csv", "b,c\n5,6\n")
+        z.writestr("read me.txt", "a,b\n9,9\n")
     (tmp_path / "broken.zip").write_bytes(b"no zip")
-    assert values(files.read_zips(spark, str(tmp_path), ["a", "b"]), "member", "a", "b") == [("one.csv", "1", "2"), ("one.csv", "3", "4"), ("two.csv", None, "5")]
+    for path in (str(tmp_path), f"file://{tmp_path}"):
+        assert values(files.read_zips(spark, path, ["a", "b"]), "member", "a", "b") == [("one.csv", "1", "2"), ("one.csv", "3", "4"), ("two.csv", None, "5")]
+    (tmp_path / "none").mkdir()
+    assert files.read_zips(spark, f"{tmp_path}/none", ["a"]).count() == 0
+
+
+def test_zip_members_are_partitions(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "many.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for k in range(12):
+            z.writestr(f"m{k}.csv", "v\n" + f"{k}\n" * 25_000)
+    got = files.read_zips(spark, str(tmp_path), ["v"])
+    assert got.select(F.spark_partition_id()).distinct().count() == 12 and values(got.groupBy("v").count(), "v", "count") == sorted((str(k), 25_000) for k in range(12))
 
 
 def test_stream_and_table_agree(spark, tmp_path):
-    rows = spark.createDataFrame([(1, "m", 4.0, None, None), (1, "m", None, 1.0, 3.0)], "place_id long, profile string, users double, users_lower_bound double, users_upper_bound double")
-    files.append_json(rows, f"{tmp_path}/in")
-    answers.serve(answers.arriving(spark, f"{tmp_path}/in"), "served_case", f"{tmp_path}/state", once=True).awaitTermination()
-    assert values(spark.table("served_case"), "place_id", "active_users", "answers") == [(1, 3.0, 2)]
+    schema = "event_id long, place_id long, profile string, users double, users_lower_bound double, users_upper_bound double"
+    first = [(1, 1, "m", 4.0, None, None), (2, 1, "m", None, 1.0, 3.0), (3, 2, "m", None, None, None)]
+    second = [(1, 1, "m", 4.0, None, None), (4, 1, "m", 9.0, None, None), (5, 3, "f", 7.0, None, None)]
+    files.append_json(spark.createDataFrame(first, schema), f"{tmp_path}/in")
+    assert answers.table(spark, f"{tmp_path}/out") is None
+
+    def run():
+        answers.serve(answers.arriving(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/state", once=True).awaitTermination()
+        return values(answers.table(spark, f"{tmp_path}/out"), "place_id", "active_users", "answers")
+
+    assert run() == [(1, 3.0, 2), (2, None, 1)]
+    files.append_json(spark.createDataFrame(second, schema), f"{tmp_path}/in")  # the stream was stopped; one answer comes again
+    assert run() == [(1, 5.0, 3), (2, None, 1), (3, 7.0, 1)]
+    assert run() == [(1, 5.0, 3), (2, None, 1), (3, 7.0, 1)]
+
+
+def test_upserts(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(list(r), "k long, v int")
+    now = lambda: values(answers.table(spark, path), "k", "v")
+    path = str(tmp_path / "t")
+    answers.upsert(spark, rows(*[(k, 0) for k in range(50)]), path, ("k",), 1, parts=4)
+    answers.upsert(spark, rows((3, 3), (99, 9)), path, ("k",), 2, parts=4)
+    want = sorted([(k, 0) for k in range(50) if k != 3] + [(3, 3), (99, 9)], key=str)
+    assert now() == want
+    answers.upsert(spark, rows((3, 3), (99, 9)), path, ("k",), 2, parts=4)  # a batch that is written again
+    assert now() == want
+    for n in range(3, 8):
+        answers.upsert(spark, rows((3, n)), path, ("k",), n, parts=4)
+    assert now() == sorted([(k, v) if k != 3 else (3, 7) for k, v in want], key=str)
+    assert len(list((tmp_path / "t").glob("version=*/part=*"))) <= 8
+    (tmp_path / "t/version=9/part=0").mkdir(parents=True)  # a version that was never completed
+    assert now() == sorted([(k, v) if k != 3 else (3, 7) for k, v in want], key=str)
 
 
 def test_every_order_is_a_segment(spark, data):

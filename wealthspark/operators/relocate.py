@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,18 +34,33 @@ def assign(pairs: DataFrame) -> DataFrame:
     """JN27: one-to-one assignment of clusters to places, as if clusters came one by one in the order (number of candidates, id) and took their nearest free place (ties: smaller OSMID).
 
     All places rank clusters alike, so deferred acceptance gives the same result in rounds: each cluster asks its best place of those left,
-    each place holds the first of those that ask, and all later clusters lose that place at once. It ends when no two ask for one place.
+    each place holds the first of those that have asked, the others lose it. It ends when none has lost.
+    A cluster that loses a place moves on in its ranked list; only such clusters ask again, and what a round writes is what they ask for.
     """
-    n = Window.partitionBy("cluster_id")
-    left = cut(pairs.withColumn("n", F.count(F.lit(1)).over(n)))
+    mine = Window.partitionBy("cluster_id")
+    ranked = pairs.withColumns({"n": F.count(F.lit(1)).over(mine), "place": F.row_number().over(mine.orderBy("distance", "OSMID"))})
+    ranked = cut(ranked)
+    columns = ["OSMID", "n", "cluster_id", "place", "distance"]
+    asking = ranked.filter("place = 1").select(columns)
+    won: list[DataFrame] = []  # who got a place in a round; it has it until one that comes before gets it
+    first = lambda rows: rows.groupBy("OSMID").agg(F.min(F.struct(*columns[1:])).alias("best")).select("OSMID", "best.*")
     while True:
-        asked = left.groupBy("cluster_id").agg(F.min(F.struct("distance", "OSMID", "n")).alias("best")).select("cluster_id", "best.OSMID", "best.distance", "best.n")
-        asked = cut(asked)
-        held = asked.groupBy("OSMID").agg(F.min(F.struct("n", "cluster_id")).alias("first"), F.count(F.lit(1)).alias("asking"))
-        if held.filter("asking > 1").isEmpty():
-            return asked.select("cluster_id", "OSMID", "distance")
-        kept = left.join(held.select("OSMID", "first"), "OSMID", "left").filter(F.col("first").isNull() | (F.struct("n", "cluster_id") <= F.col("first")))
-        left = cut(kept.select(*left.columns))
+        asked = cut(asking)
+        if asked.isEmpty():
+            break
+        if len(won) > 8:
+            won = [cut(first(reduce(DataFrame.union, won)))]
+        met = asked
+        if won:
+            met = met.union(first(reduce(DataFrame.union, won).join(asked.select("OSMID").distinct(), "OSMID", "left_semi")))
+        met = met.withColumn("r", F.row_number().over(Window.partitionBy("OSMID").orderBy("n", "cluster_id")))
+        met = cut(met)
+        won.append(met.filter("r = 1").select(columns))
+        lost = met.filter("r > 1").select("cluster_id", (F.col("place") + 1).alias("place"))
+        asking = ranked.join(lost, ["cluster_id", "place"]).select(columns)
+    if not won:
+        return asked.select("cluster_id", "OSMID", "distance")
+    return first(reduce(DataFrame.union, won)).select("cluster_id", "OSMID", "distance")
 
 
 def relocate(clusters: DataFrame, places: DataFrame, option: str = "rc", strict_global: bool = True) -> DataFrame:

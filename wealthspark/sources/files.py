@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import csv
-import io
-import zipfile
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import geo
+from .zips import ZippedCsv
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, index: bool = True) -> DataFrame:
@@ -51,31 +47,12 @@ def read_geo_csv(spark: SparkSession, path: str, schema: StructType | str | None
 def read_zips(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """SRC4: all CSV members of all zip files of a folder, by name, as text, with the file and member they came from; a zip that cannot be read gives nothing.
 
-    Members stream: a batch of lines at a time, whatever their size. Columns a member lacks are NULL.
+    Each member is a partition of its own and streams, whatever its size; of a zip only its directory and that member are read. Columns a member lacks are NULL.
+    The folder must be in a store that PyArrow reads (files, HDFS, S3, GCS).
     """
+    spark.dataSource.register(ZippedCsv)
     schema = "zip string, member string, " + ", ".join(f"`{c}` string" for c in columns)
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"]):
-                try:
-                    archive = zipfile.ZipFile(io.BytesIO(content))
-                    members = [m for m in archive.namelist() if m.lower().endswith(".csv")]
-                except zipfile.BadZipFile:
-                    continue
-                for member in members:
-                    with archive.open(member) as f:
-                        held = []
-                        for row in csv.DictReader(io.TextIOWrapper(f, "utf-8", errors="replace")):
-                            held.append((name, member, *[row.get(c) for c in columns]))
-                            if len(held) >= 10_000:
-                                yield pd.DataFrame(held, columns=["zip", "member", *columns])
-                                held = []
-                        if held:
-                            yield pd.DataFrame(held, columns=["zip", "member", *columns])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
-    return files.select("path", "content").mapInPandas(rows, schema)
+    return spark.read.format("zipped_csv").schema(schema).load(path)
 
 
 def read_gzip_csv(spark: SparkSession, path: str, schema: StructType | str, partitions: int) -> DataFrame:
