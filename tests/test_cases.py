@@ -364,3 +364,31 @@ def test_box_touches_segment(spark):
     df = spark.createDataFrame([(k, *map(float, c)) for k, (c, _) in enumerate(cases)], "k int, x1 double, y1 double, x2 double, y2 double")
     hit = geo.meets_box(*[F.col(c) for c in ("x1", "y1", "x2", "y2")], F.lit(0.0), F.lit(0.0), 1.0)
     assert [r[0] for r in df.orderBy("k").select(hit).collect()] == [h for _, h in cases]
+
+
+def test_numbers_as_text(spark):
+    numbers = [0.0, 1.5, -29.12345, 0.5, 0.001, 0.0005, -0.00012, 0.0001, 5e-05, -1.25e-05, 3e-10]
+    df = spark.createDataFrame([(v,) for v in numbers], "v double")
+    assert [r[0] for r in df.select(wealth.number_text(F.col("v"))).collect()] == [repr(v) for v in numbers]
+    ends = wealth.wkt_ends(F.lit("LINESTRING (5e-05 0.00012, 1 2.5, -1.0E-4 7)"))
+    assert spark.range(1).select(ends["start"], ends["end"]).first() == ("POINT (5e-05 0.00012)", "POINT (-0.0001 7.0)")
+
+
+@pytest.mark.parametrize("seed,n", [(1, 400), (2, 60), (3, 2)])
+def test_power_law_over_every_least_value(spark, seed, n):
+    """A power-law tail above other values, with ties: the scan of all values by all values."""
+    r = np.random.default_rng(seed)
+    v = np.concatenate([r.uniform(0.1, 3, n), np.round(3 * r.pareto(1.7, n) + 3, 1), [-1.0, 0.0]])
+    positive, best = np.sort(v[v > 0]), None
+    for least in np.unique(positive):
+        tail = positive[positive >= least]
+        logs = np.log(tail / least).sum()
+        if logs > 1e-9:
+            alpha = 1 + len(tail) / logs
+            distance = np.abs(np.searchsorted(tail, tail, "right") / len(tail) - (1 - (tail / least) ** (1 - alpha))).max()
+            best = min(best or (9.0,), (distance, least, alpha, len(tail)))
+    df = spark.createDataFrame([(float(x),) for x in v], "v double").repartition(3)
+    for samples, block in ((128, 32), (3, 2)):
+        got = stats.power_law(df, "v", samples, block).first()
+        assert (got["distance"], got["least"], got["alpha"], got["n"]) == pytest.approx(best)
+    assert stats.power_law(df.filter("v <= 0"), "v").count() == 0 and stats.power_law(df.filter("v < 0.2").limit(1), "v").count() == 0

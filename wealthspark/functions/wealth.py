@@ -141,19 +141,27 @@ def settlement(rural: Column) -> Column:
 
 def wkt_ends(text: Column) -> Column:
     """SC9: first and last point of 'LINESTRING (lon lat, ...)' as 'POINT (lon lat)' with coordinates rounded to 5 decimals; NULL if malformed."""
-    number = r"(-?[0-9.]+)"
+    number = r"(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)"
     first, last = rf"^LINESTRING\s*\(\s*{number}\s+{number}", rf"{number}\s+{number}\s*\)\s*$"
 
     def point(pattern: str) -> Column:
         lon, lat = (F.round(F.regexp_extract(text, pattern, k).try_cast("double"), 5) for k in (1, 2))
-        return F.when(lon.isNotNull() & lat.isNotNull(), F.concat(F.lit("POINT ("), lon.cast("string"), F.lit(" "), lat.cast("string"), F.lit(")")))
+        return F.when(lon.isNotNull() & lat.isNotNull(), F.concat(F.lit("POINT ("), number_text(lon), F.lit(" "), number_text(lat), F.lit(")")))
 
     return F.struct(point(first).alias("start"), point(last).alias("end"))
 
 
+def number_text(v: Column) -> Column:
+    """A coordinate as text, as the source writes it: plain digits down to 0.0001, below that with an exponent of two digits (``5e-05``)."""
+    text = v.cast("string")
+    plain = F.regexp_replace(v.cast("decimal(30, 20)").cast("string"), "0+$", "")
+    small = F.regexp_replace(F.regexp_replace(text, r"\.0E", "E"), r"E-(\d)$", "E-0$1")
+    return F.when((v == 0) | (F.abs(v) >= 1e-3), text).when(F.abs(v) >= 1e-4, plain).otherwise(F.regexp_replace(small, "E", "e"))
+
+
 def repaired_line(text: Column, lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     """SC9: rows whose text does not start with LINE get one from their coordinate columns."""
-    made = F.concat(F.lit("LINESTRING ("), lon1.cast("string"), F.lit(" "), lat1.cast("string"), F.lit(", "), lon2.cast("string"), F.lit(" "), lat2.cast("string"), F.lit(")"))
+    made = F.concat(F.lit("LINESTRING ("), number_text(lon1), F.lit(" "), number_text(lat1), F.lit(", "), number_text(lon2), F.lit(" "), number_text(lat2), F.lit(")"))
     return F.when(F.coalesce(text.startswith("LINE"), F.lit(False)), text).otherwise(made)
 
 

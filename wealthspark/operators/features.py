@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..sources.tables import cut
 from . import spatial
-from .order import percentiles, running
+from .order import beside, percentiles, running
 from .pyramid import box_sums
 
 #: The sides of the boxes in metres, by the label in the feature's name.
@@ -247,11 +247,7 @@ def audience_features(places: DataFrame, answers: DataFrame, profiles: list[str]
 
 
 def normalised(df: DataFrame, columns: list[str], by: str | None = None) -> DataFrame:
-    """WN1: z-scores by sample deviation, within each value of ``by`` or over all rows (then from one aggregate row, not a window)."""
-    z = lambda c, m, s: F.try_divide(F.col(c) - m, s)
-    if by:
-        w = Window.partitionBy(by)
-        return df.withColumns({c: z(c, F.avg(c).over(w), F.stddev_samp(c).over(w)) for c in columns})
-    stats = df.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_samp))])
-    out = df.crossJoin(F.broadcast(stats))  # one row
-    return out.withColumns({c: z(c, F.col(f"m_{c}"), F.col(f"s_{c}")) for c in columns}).select(df.columns)
+    """WN1: z-scores by sample deviation, within each value of ``by`` (missing values are one) or over all rows: aggregates beside the rows, no group in one task."""
+    stats = df.groupBy(*([by] if by else [])).agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("_m", F.avg), ("_s", F.stddev_samp))])
+    out = beside(df, stats, [by]) if by else df.crossJoin(F.broadcast(stats))  # one row
+    return out.withColumns({c: F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")) for c in columns}).select(df.columns)

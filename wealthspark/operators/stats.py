@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..sources.tables import cut
 from .order import average_ranks, beside, running
 
 
@@ -306,18 +307,51 @@ def linear(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     return df.groupBy(*by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), F.corr(x, y).alias("r"))
 
 
-def power_law(df: DataFrame, column: str, candidates: int = 20) -> DataFrame:
-    """AG41: exponent of a power-law tail: for each of some quantiles as least value, alpha = 1 + n / sum ln(x / least); the one with the smallest distance is taken. One row."""
-    v = df.filter(F.col(column) > 0).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("k"))
-    edges = df.filter(F.col(column) > 0).agg(F.array_distinct(F.percentile(column, [k / candidates for k in range(candidates)])).alias("edges"))
-    total = v.agg(F.sum("k").alias("total"))
-    upto = running(v, "v", {"upto": "k"})  # one pass serves all candidates
-    tails = upto.crossJoin(F.broadcast(edges)).select("v", "k", "upto", F.explode("edges").alias("least")).filter("v >= least")
-    fit = tails.groupBy("least").agg(F.sum("k").alias("n"), (1 + F.try_divide(F.sum("k"), F.sum(F.col("k") * F.log(F.col("v") / F.col("least"))))).alias("alpha"))
-    rows = tails.join(F.broadcast(fit.crossJoin(total)), "least")  # ``candidates`` rows at most
-    below = F.col("upto") - (F.col("total") - F.col("n"))
-    gap = F.abs(below / F.col("n") - (1 - F.pow(F.col("v") / F.col("least"), 1 - F.col("alpha"))))
-    return rows.groupBy("least", "alpha", "n").agg(F.max(gap).alias("distance")).agg(F.min(F.struct("distance", "least", "alpha", "n")).alias("b")).select("b.alpha", "b.least", "b.distance", "b.n")
+def power_law(df: DataFrame, column: str, samples: int = 128, block: int = 32) -> DataFrame:
+    """AG41: exponent of a power-law tail. Every distinct value is tried as least value, alpha = 1 + n / sum ln(x / least), and the one whose tail is closest to
+    its power law (Kolmogorov-Smirnov; ties: the smaller least value) is taken. One row; none if fewer than two values are positive.
+
+    Counts and sums of logarithms from the top down give every candidate's alpha in one pass. Its distance at some ``samples`` of the values, spread over ranks and
+    over the tail, is a lower bound of its distance. Candidates go in blocks, the smallest bound first, against all values, until
+    no bound is below the least distance found: the result is that of all candidates against all values.
+    """
+    counted = df.filter(F.col(column) > 0).groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("k"))
+    down = running(counted.withColumns({"down": -F.col("v"), "logs": F.col("k") * F.log("v")}), "down", {"n": "k", "sum_logs": "logs"})
+    fit = F.col("sum_logs") - F.col("n") * F.log("v")
+    tails = cut(down.select("v", "k", "n", F.when(fit > 1e-12 * F.col("n"), 1 + F.col("n") / fit).alias("alpha")))
+    total = tails.agg(F.max("n")).first()[0]
+    out = "alpha double, least double, distance double, n long"
+    if not total:
+        return df.sparkSession.createDataFrame([], out)
+
+    def gap(v: Column, at: Column) -> Column:
+        """The distance of a candidate (columns least, alpha, tail) at a value v that ``at`` values reach or exceed the next of."""
+        return F.abs((F.col("tail") - at) / F.col("tail") - (1 - F.pow(v / F.col("least"), 1 - F.col("alpha"))))
+
+    # ranks of samples from the top: evenly, and more and more sparsely from the largest value on
+    ranks = sorted({int(total * k / samples) for k in range(samples)} | {int(total ** (k / samples)) for k in range(samples + 1)})
+    chosen = [tuple(r) for r in tails.withColumn("of", F.explode(F.array(*map(F.lit, ranks)))).filter("n - k <= of AND of < n").select("v", (F.col("n") - F.col("k")).alias("above")).distinct().collect()]
+    candidates = tails.filter("alpha IS NOT NULL").select(F.col("v").alias("least"), "alpha", F.col("n").alias("tail"))
+    points = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(int(a)).alias("above")) for v, a in chosen])
+    bounded = candidates.withColumn("s", F.explode(points)).filter("s.v >= least").withColumn("bound", gap(F.col("s.v"), F.col("s.above")))
+    bounded = cut(candidates.join(bounded.groupBy("least").agg(F.max("bound").alias("bound")), "least", "left").fillna(0.0, ["bound"]))
+    best, after = None, (-1.0, 0.0)
+    while True:
+        order = F.struct("bound", "least")
+        todo = bounded.filter(order > F.struct(F.lit(after[0]), F.lit(after[1])))
+        todo = todo if best is None else todo.filter(F.col("bound") <= best[0])
+        some = todo.orderBy("bound", "least").limit(block).collect()
+        if not some:
+            break
+        tried = F.array(*[F.struct(F.lit(r["least"]).alias("least"), F.lit(r["alpha"]).alias("alpha"), F.lit(r["tail"]).alias("tail")) for r in some])
+        met = tails.select("v", (F.col("n") - F.col("k")).alias("above"), F.inline(tried)).filter("v >= least")
+        for r in met.groupBy("least", "alpha", "tail").agg(F.max(gap(F.col("v"), F.col("above"))).alias("distance")).collect():
+            found = (r["distance"], r["least"], r["alpha"], r["tail"])
+            best = found if best is None else min(best, found)
+        after = (some[-1]["bound"], some[-1]["least"])
+        block *= 2
+    rows = [(best[2], best[1], best[0], best[3])] if best else []
+    return df.sparkSession.createDataFrame(rows, out)
 
 
 def attribution(df: DataFrame, by: list[str], value: str = "attribution") -> DataFrame:

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from ..fixtures import table, view
 from ..functions import geo
-from ..operators import features, models, relocate, sampling, tables
+from ..operators import boosting, features, models, relocate, sampling, stats, tables
 from ..operators.pyramid import box_sums
 from ..plans import jobs
 from ..sources import files
-from ..sources.tables import materialize, shared_folder
+from ..sources.tables import cut, materialize, shared_folder
 from ..streaming import answers
 from .base import query, xy
 from .spatial import meeting_sql, points, polygons, rounded
@@ -449,6 +449,28 @@ def ml4(spark, d):
     return rounded(models.evaluated(models.predict(models.fit(m.filter("fold < 2"), FITTED), m.filter("fold = 2")), ["ccode"]))
 
 
+PAIR = ["mean_wi", "std_wi"]
+
+
+def boosted(rows):
+    return boosting.fit(rows, NAMES, PAIR, trees=6, depth=3)
+
+
+@query("ML4_two_outputs")
+def ml4_two(spark, d):
+    """One tree for both outputs a step; the metrics of both on the rows that were left out."""
+    rows = cut(learned(spark, d).select("ccode", "fold", *PAIR, *NAMES))
+    return rounded(models.evaluated(boosting.predict(boosted(rows.filter("fold < 2")), rows.filter("fold = 2")), ["ccode"]))
+
+
+@query("AG49_attributed")
+def ag49_attributed(spark, d):
+    """Mean absolute attribution of each feature for each output over all rows."""
+    rows = cut(learned(spark, d).select("place_id", *PAIR, *NAMES))
+    each = boosting.attributions(boosted(rows), rows, "place_id")
+    return rounded(stats.attribution(each, ["output", "feature"]))
+
+
 @query("ML5_inference")
 def ml5(spark, d):
     m = matrix(spark, d)

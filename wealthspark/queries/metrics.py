@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..fixtures import view
-from ..operators import features, metrics, survey
+from ..operators import features, metrics, sampling, survey
+from ..operators.order import running
 from .base import query
 from .spatial import rounded
 
@@ -197,13 +198,13 @@ def wn2(spark, d):
 
 @query("WN4_closest_first", "SELECT place_id, row_number() OVER (PARTITION BY ccode ORDER BY std_wi, place_id) AS place FROM fx_place")
 def wn4(spark, d):
-    return view(spark, d, "fx_place").select("place_id", F.row_number().over(Window.partitionBy("ccode").orderBy("std_wi", "place_id")).alias("place"))
+    return sampling.numbered(view(spark, d, "fx_place"), F.col("std_wi"), "place_id", "place", ["ccode"]).select("place_id", "place")
 
 
 @query("WN5_sort_index", "SELECT place_id, row_number() OVER w AS i, round(sum(mean_wi) OVER w, 6) AS running FROM fx_place WINDOW w AS (PARTITION BY ccode ORDER BY mean_wi, place_id ROWS UNBOUNDED PRECEDING)")
 def wn5(spark, d):
-    w = Window.partitionBy("ccode").orderBy("mean_wi", "place_id")
-    return rounded(view(spark, d, "fx_place").select("place_id", F.row_number().over(w).alias("i"), F.sum("mean_wi").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("running")))
+    marked = view(spark, d, "fx_place").withColumns({"at": F.struct("mean_wi", "place_id"), "one": F.lit(1)})
+    return rounded(running(marked, "at", {"i": "one", "running": "mean_wi"}, ["ccode"]).select("place_id", "i", "running"))
 
 
 @query("WN6_least_per_side", "SELECT country, row_id, round(pred_mean, 6) AS pred_mean FROM fx_pred QUALIFY row_number() OVER (PARTITION BY country ORDER BY pred_mean, row_id) = 1")

@@ -157,9 +157,10 @@ def ag40(spark, d):
     return rounded(stats.linear(view(spark, d, "fx_pred"), ["country"], "true_mean", "pred_mean"))
 
 
-@query("AG41_power_law", """WITH v AS (SELECT true_mean AS v FROM fx_pred WHERE true_mean > 0), e AS (SELECT unnest(list_distinct(quantile_cont(v, [0.0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]))) AS low FROM v),
-t AS (SELECT low, v, count(*) OVER (PARTITION BY low) AS n, 1 + count(*) OVER (PARTITION BY low) / sum(ln(v / low)) OVER (PARTITION BY low) AS alpha, count(*) OVER (PARTITION BY low ORDER BY v RANGE UNBOUNDED PRECEDING) AS below FROM v JOIN e ON v >= low),
-k AS (SELECT low, alpha, n, max(abs(below / CAST(n AS DOUBLE) - (1 - pow(v / low, 1 - alpha)))) AS distance FROM t GROUP BY low, alpha, n) SELECT round(alpha, 6) AS alpha, round(low, 6) AS least, round(distance, 6) AS distance, n FROM k ORDER BY k.distance LIMIT 1""")
+@query("AG41_power_law", """WITH v AS (SELECT true_mean AS v, count(*) AS k FROM fx_pred WHERE true_mean > 0 GROUP BY true_mean), c AS (SELECT v, k, sum(k) OVER w AS n, sum(k * ln(v)) OVER w AS logs FROM v WINDOW w AS (ORDER BY v DESC)),
+e AS (SELECT v AS low, n, 1 + n / (logs - n * ln(v)) AS alpha FROM c WHERE logs - n * ln(v) > 1e-12 * n),
+d AS (SELECT low, e.n, alpha, max(abs((e.n - (c.n - c.k)) / CAST(e.n AS DOUBLE) - (1 - pow(v / low, 1 - alpha)))) AS distance FROM e JOIN c ON v >= low GROUP BY ALL)
+SELECT round(alpha, 6) AS alpha, round(low, 6) AS least, round(distance, 6) AS distance, CAST(n AS BIGINT) AS n FROM d ORDER BY d.distance, low LIMIT 1""")
 def ag41(spark, d):
     return rounded(stats.power_law(view(spark, d, "fx_pred"), "true_mean"))
 

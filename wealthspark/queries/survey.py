@@ -260,9 +260,9 @@ def sc22(spark, d):
     return view(spark, d, "fx_place").select("place_id", wealth.short_years(text).alias("years"), wealth.settlement(F.col("rural")).alias("settlement"))
 
 
-@query("SC9_line_ends", "SELECT place_id, 'POINT (' || CAST(round(lon, 5) AS VARCHAR) || ' ' || CAST(round(lat, 5) AS VARCHAR) || ')' AS start_point, 'POINT (' || CAST(round(lon + 1, 5) AS VARCHAR) || ' ' || CAST(round(lat, 5) AS VARCHAR) || ')' AS end_point FROM fx_place WHERE abs(lat) > 0.01")
+@query("SC9_line_ends", "SELECT place_id, 'POINT (' || CAST(round(lon, 5) AS VARCHAR) || ' ' || CAST(round(lat, 5) AS VARCHAR) || ')' AS start_point, 'POINT (' || CAST(round(lon + 1, 5) AS VARCHAR) || ' ' || CAST(round(lat, 5) AS VARCHAR) || ')' AS end_point FROM fx_place")
 def sc9(spark, d):
-    p = view(spark, d, "fx_place").filter("abs(lat) > 0.01")
+    p = view(spark, d, "fx_place")
     line = wealth.repaired_line(F.when(F.col("place_id") % 2 == 0, F.lit("?")), F.col("lon"), F.col("lat"), F.col("lon") + 1, F.col("lat"))
     ends = wealth.wkt_ends(line)
     return p.select("place_id", ends["start"].alias("start_point"), ends["end"].alias("end_point"))
