@@ -35,32 +35,29 @@ def assign(pairs: DataFrame) -> DataFrame:
 
     All places rank clusters alike, so deferred acceptance gives the same result in rounds: each cluster asks its best place of those left,
     each place holds the first of those that have asked, the others lose it. It ends when none has lost.
-    A cluster that loses a place moves on in its ranked list; only such clusters ask again, and what a round writes is what they ask for.
+    A cluster that loses a place moves on in its ranked list, past all places that are held by one before it; only such clusters ask again, and what a round
+    writes is what they ask for.
     """
     mine = Window.partitionBy("cluster_id")
     ranked = pairs.withColumns({"n": F.count(F.lit(1)).over(mine), "place": F.row_number().over(mine.orderBy("distance", "OSMID"))})
     ranked = cut(ranked)
     columns = ["OSMID", "n", "cluster_id", "place", "distance"]
     asking = ranked.filter("place = 1").select(columns)
-    won: list[DataFrame] = []  # who got a place in a round; it has it until one that comes before gets it
+    rounds: list[DataFrame] = []  # who asked for what; of those that ever asked for a place the first holds it
     first = lambda rows: rows.groupBy("OSMID").agg(F.min(F.struct(*columns[1:])).alias("best")).select("OSMID", "best.*")
     while True:
         asked = cut(asking)
+        rounds = [*rounds, asked] if len(rounds) < 8 else [cut(reduce(DataFrame.union, rounds)), asked]
+        every = reduce(DataFrame.union, rounds)
+        held = first(every)
         if asked.isEmpty():
-            break
-        if len(won) > 8:
-            won = [cut(first(reduce(DataFrame.union, won)))]
-        met = asked
-        if won:
-            met = met.union(first(reduce(DataFrame.union, won).join(asked.select("OSMID").distinct(), "OSMID", "left_semi")))
-        met = met.withColumn("r", F.row_number().over(Window.partitionBy("OSMID").orderBy("n", "cluster_id")))
-        met = cut(met)
-        won.append(met.filter("r = 1").select(columns))
-        lost = met.filter("r > 1").select("cluster_id", (F.col("place") + 1).alias("place"))
-        asking = ranked.join(lost, ["cluster_id", "place"]).select(columns)
-    if not won:
-        return asked.select("cluster_id", "OSMID", "distance")
-    return first(reduce(DataFrame.union, won)).select("cluster_id", "OSMID", "distance")
+            return held.select("cluster_id", "OSMID", "distance")
+        last = every.groupBy("cluster_id").agg(F.max(F.struct("place", "OSMID")).alias("last")).select("cluster_id", F.col("last.place").alias("lost"), "last.OSMID")
+        out = last.join(held.select("OSMID", F.col("cluster_id").alias("holder")), "OSMID").filter("cluster_id <> holder").select("cluster_id", "lost")
+        # the next place in the list that is free or held by one that comes later; holders only ever come earlier
+        rest = ranked.join(out, "cluster_id").filter("place > lost").join(held.select("OSMID", F.struct("n", "cluster_id").alias("holder")), "OSMID", "left")
+        rest = rest.filter(F.col("holder").isNull() | (F.struct("n", "cluster_id") < F.col("holder")))
+        asking = rest.groupBy("cluster_id").agg(F.min(F.struct("place", "OSMID", "n", "distance")).alias("next")).select("next.OSMID", "next.n", "cluster_id", "next.place", "next.distance")
 
 
 def relocate(clusters: DataFrame, places: DataFrame, option: str = "rc", strict_global: bool = True) -> DataFrame:
