@@ -32,7 +32,7 @@ CLASSES, FILL = 48, 0.25
 #: Steps in which sequences of the program are given up.
 PARTS = 10
 #: The gap between cover and bound at which the steps end, and a limit of steps, far above what it takes.
-GAP, STEPS = 0.05, 2000
+GAP, STEPS = 0.05, 800
 #: The rates at which prices fall in the first and in late steps and how it shrinks; what a step's cover and prices still count a step later; how far a
 #: configuration may be below the dearest.
 RATE, LAST_RATE, SHRINK, KEPT, MEAN, NEAR = 0.2, 0.02, 0.997, 0.99, 0.98, 0.01
