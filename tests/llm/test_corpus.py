@@ -279,5 +279,40 @@ def test_templates(spark, name, rewrites):
         assert found == [False, False, False, True, False, True, False, True]
 
 
+@pytest.mark.parametrize("name", ["plain", "with_end", "forgetful", "counting", "headed"])
+def test_templates_see_long_conversations_whole(spark, name):
+    """Beyond WINDOW turns, too, each output is the template's for all turns so far, and no rewriting goes unseen."""
+
+    def headed(turns):
+        """The first turn stands before all, and all but the last two are cut to a letter: the turn that leaves them is rewritten."""
+        return f"{turns[0][1]}|" + "".join(f"{role}: {text if k >= len(turns) - 2 else text[:1]}\n" for k, (role, text) in enumerate(turns))
+
+    template = {**templates(), "headed": headed}[name]
+    n = 2 * chat.WINDOW + 20
+    rows = [(1, t, ["user", "assistant"][t % 2], f"q{t}</s" if t % 2 == 0 else f"think#say {t}") for t in range(n)]
+    output, turns, end = "", [], 0
+    for r in chat.format_turns(spark, chats(spark, rows), template).orderBy("place").collect():
+        turns.append((r["role"], rows[r["place"]][3]))
+        whole = template(turns)
+        assert r["rewrites"] == (whole[:end] != output[:end])
+        output = output[: r["keep"]] + r["piece"]
+        assert output == whole
+        shown, end = output[r["start"] : r["end"]], r["end"]
+        if name != "headed" or len(turns) > 1:
+            assert (chat.unescaped(shown) if name == "plain" else shown) == turns[-1][1]
+    assert len(turns) == n
+
+
+@pytest.mark.parametrize("window", [1, 2, 3, chat.WINDOW])
+def test_turn_by_turn_windows(window):
+    """Windows change no row of a template that is made turn by turn."""
+    turns = [(["user", "assistant"][t % 2], NASTY[t * 7 % len(NASTY)] or "") for t in range(2 * chat.WINDOW + 20)]
+    a, b = chat.Renderer(chat.plain_template, window), chat.Renderer(lambda turns: chat.plain_template(turns))
+    for turn in turns:
+        assert a.add(*turn) == b.add(*turn)
+        assert len(a.turns) <= window + 1
+    assert len(b.turns) == len(turns)
+
+
 def test_chat_empty(spark):
     assert chat.read_back(chat.format_turns(spark, chats(spark, []))).count() == 0

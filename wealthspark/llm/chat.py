@@ -4,6 +4,9 @@ A template is any function from a list of turns to a text. The turns' successive
 kept, what follows is the new turn's piece. Where a turn's own text lies in the output is found by rendering the turn with two one-letter
 texts: the outputs differ from the text's first character on and agree again after its last. A template that rewrites history shows in
 an output that no longer begins with the turns before; such turns are marked, and each row still says exactly how to edit the output before it.
+
+A template gets all turns of a conversation, however many they are. Only a ``TurnByTurn`` is asked for the last turns alone: it is made so that the turns
+before cannot change what they show, nor be changed by them.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 Turn = tuple[str, str]  # role, text
 Template = Callable[[list[Turn]], str]
 
-#: Turns that are rendered together at most. A longer conversation goes in windows of so many turns; each begins with the last turn of the one before.
+#: Turns of a ``TurnByTurn`` that are rendered together. A longer conversation goes in windows of so many turns; each begins with the last turn of the one before.
 WINDOW = 64
 #: The control strings of the template below, and the escape character before them.
 BEGIN, BETWEEN, END, ESCAPE = "### ", ": ", "</turn>\n", "\\"
@@ -37,9 +40,22 @@ def unescaped(text: str) -> str:
     return _ESCAPED.sub(lambda m: m[1], text)
 
 
-def plain_template(turns: list[Turn]) -> str:
-    """Each turn as ``### role: text</turn>`` and a line end, roles and texts escaped."""
-    return "".join(f"{BEGIN}{escaped(role, _IN_ROLE)}{BETWEEN}{escaped(text)}{END}" for role, text in turns)
+class TurnByTurn:
+    """A template that shows one turn after the other. ``shown`` gives a turn's piece from its role and text and nothing else."""
+
+    def __init__(self, shown: Callable[[str, str], str]):
+        self.shown = shown
+
+    def __call__(self, turns: list[Turn]) -> str:
+        return "".join(self.shown(role, text) for role, text in turns)
+
+
+def _plain(role: str, text: str) -> str:
+    return f"{BEGIN}{escaped(role, _IN_ROLE)}{BETWEEN}{escaped(text)}{END}"
+
+
+#: Each turn as ``### role: text</turn>`` and a line end, roles and texts escaped.
+plain_template = TurnByTurn(_plain)
 
 
 def parsed(output: str) -> list[Turn]:
@@ -70,10 +86,10 @@ def _shared(a: str, b: str) -> int:
 
 
 class Renderer:
-    """The pieces of one conversation after the other, turn by turn, in memory for a window at a time."""
+    """The pieces of one conversation after the other, turn by turn; of a ``TurnByTurn`` a window is in memory at a time, else the conversation."""
 
     def __init__(self, template: Template, window: int = WINDOW):
-        self.template, self.window = template, window
+        self.template, self.window = template, window if isinstance(template, TurnByTurn) else None
         self.reset()
 
     def reset(self) -> None:
@@ -93,15 +109,13 @@ class Renderer:
 
     def add(self, role: str, text: str) -> tuple[int, str, int, int, bool]:
         """(characters kept of the output before, the piece behind them, the text's span, whether history was rewritten)."""
-        if len(self.turns) >= self.window:  # the last turn goes with the new ones
+        if self.window is not None and len(self.turns) >= self.window:  # the last turn goes with the new ones
             alone = self.template(self.turns[-1:])
-            place = self.fixed - (len(self.output) - len(alone))
-            if alone and self.output.endswith(alone):
-                self.before += len(self.output) - len(alone)
-                self.turns, self.output, self.fixed = self.turns[-1:], alone, max(0, place)
-            else:  # this template shows a turn otherwise when others stand before it
-                self.before += len(self.output)
-                self.turns, self.output, self.fixed = [], "", 0
+            if not self.output.endswith(alone):
+                raise ValueError("this template shows a turn otherwise when others stand before it")
+            gone = len(self.output) - len(alone)
+            self.turns, self.output = self.turns[-1:], alone
+            self.before, self.fixed = self.before + gone, self.fixed - gone
         output = self.template([*self.turns, (role, text)])
         span = self._place(role, text, output)
         keep = _shared(self.output, output)
@@ -121,8 +135,9 @@ def format_turns(spark: SparkSession, turns: DataFrame, template: Template = pla
     Turns go by ``turn``, then role and text; null turns first. Null roles and texts count as empty. Rows with a null id are one conversation;
     repeated rows are turns of their own. Texts are rendered whole. An empty table gives an empty table; other columns are not read.
 
-    Rows are sorted by conversation and turn and read as a stream, so that a conversation of any length takes the memory of a window. Beyond ``window`` turns
-    a template is seen through windows that share a turn: it can rewrite, and is caught rewriting, what lies in its window.
+    Rows are sorted by conversation and turn and read as a stream. A template is called with all turns so far, so that it can rewrite, and is caught rewriting, any turn:
+    one conversation is in memory and its work grows with the square of its turns. A ``TurnByTurn`` gives the same rows in the memory and time of ``window`` turns a call,
+    for conversations of any length; for other templates ``window`` has no meaning.
     """
     kind = turns.schema[id].dataType.simpleString()
     empty = F.lit("")
