@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wealthspark.functions import geo
-from wealthspark.operators import cover, features, pyramid
+from wealthspark.operators import cover, features, leaves, pyramid, spatial
 from wealthspark.operators.order import percentiles
 
 
@@ -94,3 +94,21 @@ def test_night_lights_of_missing_values_and_empty_boxes(spark):
     got = {r["place_id"]: r for r in features.night_lights(places, pixels, halves={"s": 5.0, "l": 10.0}).collect()}
     assert (got[1]["NTLL_count_s"], got[1]["NTLL_mean_s"], got[1]["NTLL_count_l"], got[1]["NTLL_median_l"], got[1]["NTLL_share_lit_area_l"]) == (1, 20.0, 3, 2.0, 0.2)
     assert (got[2]["NTLL_count_l"], got[2]["NTLL_sum_l"]) == (0, None)
+
+
+@pytest.mark.parametrize("ties", ["all", "lowest"])
+def test_nearest_in_crowds(spark, monkeypatch, ties):
+    """Rows look into leaves of a few points, not into fixed cells; crowds, repeated points, ties over leaves' edges, rows far away and without a position."""
+    monkeypatch.setattr(spatial, "near", None)
+    monkeypatch.setattr(spatial, "LEAF", 4)
+    monkeypatch.setattr(leaves, "planted", lambda points, size: leaves.Tree(*(np.array([r[v] for r in points.collect()]) for v in "xy"), size))
+    r = random.Random(8)
+    right = [(k, float(r.randrange(40)), float(r.randrange(40))) for k in range(300)] + [(400 + k, 7.0, 7.0) for k in range(30)] + [(500, 1e6, -1e6), (501, None, 0.0)]
+    left = [(f"p{k}", r.randrange(-20, 120) / 2, r.randrange(-20, 120) / 2) for k in range(400)] + [("far", -1e7, 2e7), ("none", None, 1.0)]
+    got = spatial.nearest(spark.createDataFrame(left, "a string, x double, y double"), spark.createDataFrame(right, "b long, x double, y double"), "a", "b", ties=ties)
+    want = []
+    for a, x, y in left:
+        d = {b: math.sqrt((x - u) ** 2 + (y - v) ** 2) for b, u, v in right if u is not None} if x is not None else {}
+        best = sorted(b for b in d if d[b] == min(d.values()))
+        want += [(a, b, d[b]) for b in (best if ties == "all" else best[:1])] or [(a, None, None)]
+    assert values(got, "a", "b", "distance") == sorted(want, key=str)
