@@ -392,3 +392,12 @@ def test_power_law_over_every_least_value(spark, seed, n):
         got = stats.power_law(df, "v", samples, block).first()
         assert (got["distance"], got["least"], got["alpha"], got["n"]) == pytest.approx(best)
     assert stats.power_law(df.filter("v <= 0"), "v").count() == 0 and stats.power_law(df.filter("v < 0.2").limit(1), "v").count() == 0
+
+
+def test_fits_read_a_written_table(spark, data):
+    """Each pass of a fit reads the rows; they must not be joined anew every time."""
+    from wealthspark.queries import jobs
+
+    rows = jobs.matrix(spark, data)
+    assert "Join" not in rows._jdf.queryExecution().toString()
+    assert rows.count() == spark.read.parquet(f"{data}/customer.parquet").join(spark.read.parquet(f"{data}/embeddings.parquet"), F.expr("c_custkey = vec_id")).count()
