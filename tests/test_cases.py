@@ -401,3 +401,16 @@ def test_fits_read_a_written_table(spark, data):
     rows = jobs.matrix(spark, data)
     assert "Join" not in rows._jdf.queryExecution().toString()
     assert rows.count() == spark.read.parquet(f"{data}/customer.parquet").join(spark.read.parquet(f"{data}/embeddings.parquet"), F.expr("c_custkey = vec_id")).count()
+
+
+def test_assignment_without_all_pairs(spark, monkeypatch):
+    """Lists of few places that grow ring by ring give what the table of all pairs gives: crowds of clusters, ties, more clusters than places."""
+    r = random.Random(6)
+    monkeypatch.setattr(relocate, "LISTED", 2)
+    spots = [(k, int(k % 4 > 0), float(r.randrange(-60, 60) * 100), float(r.randrange(-60, 60) * 100)) for k in range(60)] + [(100 + k, 1, 50.0 * k, 0.0) for k in range(20)] + [(200, 1, 1e6, 0.0)]
+    places = [(k, int(k % 3 > 0), float(r.randrange(-60, 60) * 100), float(r.randrange(-60, 60) * 100)) for k in range(70)]
+    clusters, towns = spark.createDataFrame(spots, "cluster_id long, rural int, x double, y double"), spark.createDataFrame(places, "OSMID long, rural int, x double, y double")
+    want = values(relocate.assign(relocate.candidates(clusters, towns, 0).union(relocate.candidates(clusters, towns, 1))), "cluster_id", "OSMID", "distance")
+    monkeypatch.setattr(relocate, "candidates", None)
+    assert values(relocate.assign_near(clusters, towns), "cluster_id", "OSMID", "distance") == want and len(want) > 30
+    assert relocate.relocate(clusters.withColumn("year", F.lit(2016)), towns, "ruc").filter("OSMID IS NOT NULL").count() == len(want)

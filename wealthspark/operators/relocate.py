@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import cut
 from . import spatial
+from .pyramid import box_sums
 from .sampling import mixed, numbered
 
 #: The displacement of survey positions in metres by settlement (0 urban, 1 rural), the extra reach, the share of rows that may use it.
@@ -60,6 +62,74 @@ def assign(pairs: DataFrame) -> DataFrame:
         asking = rest.groupBy("cluster_id").agg(F.min(F.struct("place", "OSMID", "n", "distance")).alias("next")).select("next.OSMID", "next.n", "cluster_id", "next.place", "next.distance")
 
 
+#: Places that a cluster's first list has, about.
+LISTED = 8
+
+
+def _listed(going: DataFrame, places: DataFrame, held: DataFrame | None) -> DataFrame:
+    """(cluster_id, n, OSMID, distance): the places of each cluster's ring (beyond ``least``, up to ``reach``) and square that are free or held by a later cluster."""
+    levels = [r["k"] for r in going.select("k").distinct().collect()]  # a few powers of two
+    half = F.when(F.col("rural") == 0, (MOST[0] + EXTRA[0]) / 2).otherwise((MOST[1] + EXTRA[1]) / 2)
+    reach = 2 * half / F.pow(F.lit(2.0), F.col("k"))
+    at = lambda v: F.floor(v / (2 * F.col("reach"))).cast("long")
+    a = going.withColumns({"half": half, "reach": reach})
+    for v, g in (("x", "gx"), ("y", "gy")):
+        a = a.withColumn(g, F.explode(F.sequence(at(F.col(v) - F.col("reach")), at(F.col(v) + F.col("reach")))))
+    b = places.select("OSMID", "rural", F.col("x").alias("px"), F.col("y").alias("py"), F.explode(F.array(*map(F.lit, levels))).alias("k")).withColumn("reach", reach)
+    b = b.withColumns({"gx": at(F.col("px")), "gy": at(F.col("py"))}).drop("reach")
+    pairs = a.join(b, ["rural", "k", "gx", "gy"]).withColumn("distance", spatial.geo.distance(F.col("x"), F.col("y"), F.col("px"), F.col("py")))
+    square = [F.col(f"p{v}").between(F.col(v) - F.col("half"), F.col(v) + F.col("half")) for v in "xy"]
+    pairs = pairs.filter(square[0] & square[1] & (F.col("distance") > F.col("least")) & (F.col("distance") <= F.col("reach"))).select("cluster_id", "n", "OSMID", "distance")
+    return pairs if held is None else _open(pairs, held)
+
+
+def _open(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """Pairs whose place is free or held by a later cluster; holders only ever come earlier."""
+    out = pairs.join(held.select("OSMID", F.struct("n", "cluster_id").alias("holder")), "OSMID", "left")
+    return out.filter(F.col("holder").isNull() | (F.struct("n", "cluster_id") < F.col("holder"))).select(pairs.columns)
+
+
+def assign_near(clusters: DataFrame, places: DataFrame) -> DataFrame:
+    """JN27: what ``assign`` gives for all places of the same settlement in each cluster's square (see ``candidates``), without a table of all pairs.
+
+    The numbers of candidates are box sums. Clusters have lists of the nearest few places only; one that finds all of them held by earlier clusters gets
+    those of a ring twice as wide that are not, up to its whole square. ``clusters``: cluster_id, rural, x, y; ``places``: OSMID, rural, x, y.
+    """
+    spots = clusters.select("cluster_id", "rural", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    counted = []
+    for rural in MOST:
+        own = [t.filter(F.col("rural") == rural) for t in (spots, places)]
+        counted.append(box_sums(*own, "cluster_id", {"square": (MOST[rural] + EXTRA[rural]) / 2}, {"n": F.lit(1)}))
+    k = F.greatest(F.floor(F.log2(F.col("n") * (math.pi / LISTED)) / 2), F.lit(0)).cast("int")
+    going = cut(spots.join(reduce(DataFrame.union, counted).withColumnRenamed("n_in_square", "n").filter("n > 0"), "cluster_id").withColumns({"k": k, "least": F.lit(-1.0)}))
+    places = cut(places.select("OSMID", "rural", "x", "y"))
+    columns = ["OSMID", "n", "cluster_id", "distance"]
+    first = lambda rows: rows.groupBy("OSMID").agg(F.min(F.struct(*columns[1:])).alias("best")).select("OSMID", "best.*")
+    next_one = lambda rows: rows.groupBy("cluster_id").agg(F.min(F.struct("distance", "OSMID", "n")).alias("next")).select("next.OSMID", "next.n", "cluster_id", "next.distance")
+    lists: list[DataFrame] = []
+    rounds: list[DataFrame] = []  # who asked for what, as in ``assign``
+    held = rings = None
+    while True:
+        lists = [*lists, cut(_listed(going, places, held))]
+        asked = cut(next_one(lists[-1]))
+        while not asked.isEmpty():
+            rounds = [*rounds, asked] if len(rounds) < 8 else [cut(reduce(DataFrame.union, rounds)), asked]
+            every = reduce(DataFrame.union, rounds)
+            held = cut(first(every))
+            last = every.groupBy("cluster_id").agg(F.max(F.struct("distance", "OSMID")).alias("lost"))
+            out = last.join(held.select(F.col("OSMID").alias("_of"), F.col("cluster_id").alias("holder")), F.col("lost.OSMID") == F.col("_of")).filter("cluster_id <> holder").select("cluster_id", "lost")
+            rest = reduce(DataFrame.union, lists).join(out, "cluster_id").filter(F.struct("distance", "OSMID") > F.col("lost")).drop("lost")
+            asked = cut(next_one(_open(rest, held)))
+        # each cluster's widest ring so far; those that lost a place to a cluster of this ring may need their next one too
+        widest = F.min_by(F.struct(*[c for c in going.columns if c != "cluster_id"]), "k").alias("ring")
+        rings = going if rings is None else cut(rings.unionByName(going).groupBy("cluster_id").agg(widest).select("cluster_id", "ring.*"))
+        left = rings if held is None else rings.join(held, "cluster_id", "left_anti")
+        reach = 2 * F.when(F.col("rural") == 0, (MOST[0] + EXTRA[0]) / 2).otherwise((MOST[1] + EXTRA[1]) / 2) / F.pow(F.lit(2.0), F.col("k"))
+        going = cut(left.filter("k > 0").withColumn("least", reach).withColumn("k", F.col("k") - 1).select(going.columns))
+        if going.isEmpty():
+            return (first(lists[0]).limit(0) if held is None else held).select("cluster_id", "OSMID", "distance")
+
+
 def relocate(clusters: DataFrame, places: DataFrame, option: str = "rc", strict_global: bool = True) -> DataFrame:
     """REL1, REL2: 'none', 'rc' (rural only) or 'ruc' (both), per settlement and, newest first, per year.
 
@@ -75,9 +145,7 @@ def relocate(clusters: DataFrame, places: DataFrame, option: str = "rc", strict_
     for year in years:
         free = places if done is None or not strict_global else places.join(done, "OSMID", "left_anti")
         # settlements share neither clusters nor places: one assignment serves both
-        of_year = moving.filter(F.col("year") == year)
-        pairs = candidates(of_year, free, 1) if option == "rc" else candidates(of_year, free, 0).union(candidates(of_year, free, 1))
-        got = cut(assign(pairs))
+        got = cut(assign_near(moving.filter(F.col("year") == year), free))
         done = got if done is None else done.union(got)
     if done is None:  # no clusters
         return unmoved(clusters)
