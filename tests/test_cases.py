@@ -414,3 +414,12 @@ def test_assignment_without_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(relocate, "candidates", None)
     assert values(relocate.assign_near(clusters, towns), "cluster_id", "OSMID", "distance") == want and len(want) > 30
     assert relocate.relocate(clusters.withColumn("year", F.lit(2016)), towns, "ruc").filter("OSMID IS NOT NULL").count() == len(want)
+
+
+def test_crossings_deal_a_segment_to_two_blocks(spark, data):
+    """Before, each segment was dealt 50 times and each pair was judged in full."""
+    made = catalog.QUERIES["SC7_segments_cross"](spark, data)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence" not in plan and "LeftSemi" in plan
+    n = spark.read.parquet(f"{data}/orders.parquet").count()
+    assert made.count() == n - 1 and made.filter("meets = 0 AND x IS NOT NULL").count() == 0
