@@ -112,3 +112,20 @@ def test_nearest_in_crowds(spark, monkeypatch, ties):
         best = sorted(b for b in d if d[b] == min(d.values()))
         want += [(a, b, d[b]) for b in (best if ties == "all" else best[:1])] or [(a, None, None)]
     assert values(got, "a", "b", "distance") == sorted(want, key=str)
+
+
+def test_night_lights_make_no_pairs(spark, monkeypatch):
+    """Against all pairs by numpy, in leaves of a few places, without a table of places and pixels."""
+    monkeypatch.setattr(spatial, "near", None)
+    monkeypatch.setattr(leaves, "planted", lambda points, size: leaves.Tree(*(np.array([r[v] for r in points.collect()]) for v in "xy"), 5))
+    r = random.Random(11)
+    spots, pixels = [(k, r.uniform(0, 40), r.uniform(0, 40)) for k in range(60)], [(float(r.randrange(40)), float(r.randrange(40)), float(r.randrange(30)), 1.0) for _ in range(500)]
+    made = features.night_lights(spark.createDataFrame(spots, "place_id long, x double, y double"), spark.createDataFrame(pixels, "x double, y double, avg_rad double, area double"), halves={"s": 3.0, "l": 8.0})
+    got = {row["place_id"]: row for row in made.collect()}
+    for k, x, y in spots:
+        for label, h in (("s", 3.0), ("l", 8.0)):
+            v = np.array([p[2] for p in pixels if abs(p[0] - x) <= h and abs(p[1] - y) <= h])
+            assert got[k][f"NTLL_count_{label}"] == len(v)
+            if len(v):
+                want = [np.median(v), v[v <= np.quantile(v, 0.33)].mean(), v[v >= np.quantile(v, 0.66)].mean(), (v >= 10).mean()]
+                assert [got[k][f"NTLL_{n}_{label}"] for n in ("median", "mean_low", "mean_high", "share_lit_area")] == pytest.approx(want)
